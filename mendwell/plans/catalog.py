@@ -28,7 +28,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+def rounded(df: DataFrame, places: int = 8) -> DataFrame:
     """Round doubles, whose last digits depend on the order of summation."""
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -504,12 +504,12 @@ def _similar(spark: SparkSession, sf_dir: str, same_asset: bool) -> DataFrame:
 
 @query
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, True).withColumn("rank", long("rank")).withColumn("score", F.round("score", 4))
+    return _similar(spark, sf_dir, True).withColumn("rank", long("rank"))
 
 
 @query
 def similar_any_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, False).withColumn("rank", long("rank")).withColumn("score", F.round("score", 4))
+    return _similar(spark, sf_dir, False).withColumn("rank", long("rank"))
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -714,19 +714,19 @@ def metric_increase_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def metric_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materializations per second by asset and status over five minutes."""
-    return rounded(metrics.rate(tables.metric_events(spark, sf_dir), ["asset", "status"], 300, 60), 6)
+    return rounded(metrics.rate(tables.metric_events(spark, sf_dir), ["asset", "status"], 300, 60))
 
 
 @query
 def metric_rate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed rows per second by asset over five minutes."""
-    return rounded(metrics.rate(tables.metric_events(spark, sf_dir), ["asset"], 300, 60, F.col("rows")), 6)
+    return rounded(metrics.rate(tables.metric_events(spark, sf_dir), ["asset"], 300, 60, F.col("rows")))
 
 
 @query
 def metric_rate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check outcomes per second by name over ten minutes."""
-    return rounded(metrics.rate(tables.metric_events(spark, sf_dir), ["check_name", "result"], 600, 60), 6)
+    return rounded(metrics.rate(tables.metric_events(spark, sf_dir), ["check_name", "result"], 600, 60))
 
 
 @query
@@ -746,7 +746,7 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dq_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.metric_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return rounded(metrics.pass_rate(events, ["day"]), 6)
+    return rounded(metrics.pass_rate(events, ["day"]))
 
 
 @query

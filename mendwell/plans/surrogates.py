@@ -57,9 +57,9 @@ def bronze_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "orders")
         .groupBy(F.to_date("o_orderdate").alias("date"))
         .agg(
-            (F.max(price) / 10000).alias("temperature_2m_max"),
-            (F.min(price) / 10000).alias("temperature_2m_min"),
-            ((F.max(price) + F.min(price)) / 20000).alias("temperature_2m_mean"),
+            (F.max(price) / 1000).alias("temperature_2m_max"),
+            (F.min(price) / 1000).alias("temperature_2m_min"),
+            ((F.max(price) + F.min(price)) / 2000).alias("temperature_2m_mean"),
             F.count("*").cast("double").alias("precipitation_sum"),
             flag("o_orderstatus", "F").alias("rain_sum"),
             flag("o_orderpriority", "1-URGENT").alias("snowfall_sum"),
