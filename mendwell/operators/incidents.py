@@ -44,7 +44,9 @@ def fold_run_log(log: DataFrame) -> DataFrame:
         usable = F.col("is_failure") & (F.col(column) != "")
         return F.max_by(column, F.when(usable, F.col("seq"))).alias(column)
 
-    return log.groupBy("run_id").agg(
+    # Other lines cannot be the last of anything; dropping them early spares the sort.
+    telling = log.filter(F.col("asset_key").isNotNull() | F.col("is_failure"))
+    return telling.groupBy("run_id").agg(
         F.max_by("asset_key", F.when(F.col("asset_key").isNotNull(), F.col("seq"))).alias("asset_key"),
         last("error_type"),
         last("error_message"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import non_empty
+from mendwell.session import broadcast_if_small
 
 PLACES = 6
 # Query vectors sent to every task: at 384 doubles each about 6 MB.
@@ -94,7 +95,7 @@ def _by_blocks(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool,
 
     if not same_asset:
         queries, index = (d.withColumn("asset", F.lit("")) for d in (queries, index))
-    blocks = sized(queries, "q_blocks").join(sized(index, "i_blocks"), "asset")
+    blocks = broadcast_if_small(sized(queries, "q_blocks").join(sized(index, "i_blocks"), "asset"))
 
     def placed(df: DataFrame, own: str, other: str) -> DataFrame:
         spread = df.join(blocks, "asset")

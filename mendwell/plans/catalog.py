@@ -37,6 +37,11 @@ def long(name: str) -> Column:
     return F.col(name).cast("bigint").alias(name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that several operators read: computed once and written to the work folder."""
+    return files.write_table(df, work_dir(df.sparkSession, name))
+
+
 def joined(name: str, separator: str = ",") -> Column:
     return F.array_join(name, separator).alias(name)
 
@@ -143,14 +148,32 @@ def land_new_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "landing")
     trips = tables.trips_by_pickup_month(spark, sf_dir)
     landing.land(trips.filter(F.col("year") <= 1997), root)
-    before = files.write_table(landing.landed_partitions(spark, root), work_dir(spark, "manifest"))
+    before = stored(landing.landed_partitions(spark, root), "manifest")
     status = landing.land(trips, root, before)
-    stored = spark.read.parquet(root).groupBy("year", "month").agg(F.count("*").alias("stored_rows"))
-    return status.join(stored, ["year", "month"], "full").select(
+    landed = spark.read.parquet(root).groupBy("year", "month").agg(F.count("*").alias("stored_rows"))
+    return status.join(landed, ["year", "month"], "full").select(
         long("year"), long("month"), "status", "rows", "stored_rows"
     )
 
 
+@query
+def scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips landed by month, scanned back for two months behind the schema gate."""
+    root = work_dir(spark, "scan")
+    trips = tables.trips_by_pickup_month(spark, sf_dir)
+    files.write_partitions(trips, root, landing.KEYS)
+    scan = files.scan_partitions(spark, root, trips.schema, partitions=[(1996, 2), (1997, 11)])
+    return scan.select("tpep_pickup_datetime", "VendorID", "PULocationID", long("year"), long("month"))
+
+
+@query
+def seed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone seed as a CSV file with a header, read with a fixed schema."""
+    path = work_dir(spark, "seed")
+    tables.zone_seed(spark, sf_dir).write.option("header", True).csv(path)
+    return files.publish_view(medallion.dim_zones(files.read_seed(spark, path)), "dim_zones")
+
+
 @query
 def latest_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = tables.trips_by_pickup_month(spark, sf_dir).select("year", "month").distinct()
@@ -320,7 +343,7 @@ def _suite() -> list[quality.Check]:
 @query
 def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole suite; staged trips are written once and read by all checks."""
-    trips = files.write_table(stage_trips(spark, sf_dir), work_dir(spark, "staged"))
+    trips = stored(stage_trips(spark, sf_dir), "staged")
     weather = medallion.stage_weather(tables.bronze_weather(spark, sf_dir))
     daily = medallion.trips_daily_from_staging(trips, weather)
     zones = medallion.dim_zones(tables.zone_seed(spark, sf_dir))
@@ -399,6 +422,15 @@ def fault_detection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- incidents ------------------------------------------------------------------------
 
 
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(tables.captured(spark, sf_dir).drop("recent_metadata"), "captured")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = _captured(spark, sf_dir)
+    return stored(incidents.incident_state(opened, tables.changes(spark, sf_dir, opened)), "state")
+
+
 @query
 def capture_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.captured(spark, sf_dir).drop("recent_metadata")
@@ -462,7 +494,8 @@ def lineage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = context.recent_runs(tables.captured(spark, sf_dir), tables.runs(spark, sf_dir), 10)
+    runs = stored(tables.runs(spark, sf_dir), "runs")
+    ranked = context.recent_runs(_captured(spark, sf_dir), runs, 10)
     return ranked.select("asset_key", long("position"), "run_id", "status")
 
 
@@ -492,41 +525,44 @@ def incident_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _similar(spark: SparkSession, sf_dir: str, same_asset: bool) -> DataFrame:
-    """The tick's incidents against the vectors of every incident."""
-    state = files.write_table(tables.state(spark, sf_dir).drop("recent_metadata"), work_dir(spark, "state"))
+def _similar(spark: SparkSession, sf_dir: str, state: DataFrame, queue: DataFrame, same_asset: bool) -> DataFrame:
+    """The queue's incidents against the vectors of every incident."""
     index = tables.incident_vectors(spark, sf_dir, state)
-    queue = incidents.diagnosis_queue(state, 10).select("incident_id")
-    wanted = index.join(F.broadcast(queue), F.col("id") == F.col("incident_id"), "left_semi")
+    wanted = index.join(queue.select(F.col("incident_id").alias("id")), "id", "left_semi")
     hits = similarity.similar_incidents(wanted, index, 5, same_asset=same_asset, exclude_self=True)
     return similarity.with_payload(hits, state)
 
 
+def _tick_similar(spark: SparkSession, sf_dir: str, same_asset: bool) -> DataFrame:
+    state = _state(spark, sf_dir)
+    queue = incidents.diagnosis_queue(state, 10)
+    return _similar(spark, sf_dir, state, queue, same_asset).withColumn("rank", long("rank"))
+
+
 @query
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, True).withColumn("rank", long("rank"))
+    return _tick_similar(spark, sf_dir, True)
 
 
 @query
 def similar_any_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, False).withColumn("rank", long("rank"))
+    return _tick_similar(spark, sf_dir, False)
 
 
-def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All undiagnosed incidents with every context source."""
-    state = files.write_table(tables.state(spark, sf_dir).drop("recent_metadata"), work_dir(spark, "state"))
-    queue = incidents.classify(incidents.undiagnosed(state))
+def _context(spark: SparkSession, sf_dir: str, queue: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """Incidents of ``queue``, classified, with every context source."""
+    queue = incidents.classify(queue)
     nodes, edges = tables.incident_lineage(spark, sf_dir)
     neighbours = context.neighbour_lists(context.lineage_neighbours(queue, nodes, edges))
-    runs = context.run_lists(context.recent_runs(queue, tables.runs(spark, sf_dir)))
+    runs = context.run_lists(context.recent_runs(queue, stored(tables.runs(spark, sf_dir), "runs")))
     log = tables.run_log(spark, sf_dir).withColumn("line", F.concat_ws(" ", "error_type", "error_message"))
     logs = context.log_tail(log, "run_id", "seq", "line")
-    return context.context_bundle(queue, neighbours, runs, logs)
+    return context.context_bundle(queue, neighbours, runs, logs, similar)
 
 
 @query
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundle = _context(spark, sf_dir)
+    bundle = _context(spark, sf_dir, stored(incidents.undiagnosed(_state(spark, sf_dir)), "queue"))
     return bundle.select(
         "incident_id",
         "asset_key",
@@ -540,14 +576,24 @@ def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnosis.build_prompts(_context(spark, sf_dir))
+    queue = stored(incidents.undiagnosed(_state(spark, sf_dir)), "queue")
+    return diagnosis.build_prompts(_context(spark, sf_dir, queue))
+
+
+@query
+def tick_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of one tick's incidents, similar past incidents included."""
+    state = _state(spark, sf_dir)
+    queue = stored(incidents.diagnosis_queue(state, 10), "queue")
+    similar = context.similar_lists(_similar(spark, sf_dir, state, queue, True))
+    return diagnosis.build_prompts(_context(spark, sf_dir, queue, similar))
 
 
 # --- diagnosis and remediation ----------------------------------------------------------
 
 
 def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = incidents.classify(tables.captured(spark, sf_dir).drop("recent_metadata"))
+    opened = incidents.classify(_captured(spark, sf_dir))
     return diagnosis.diagnose(opened, tables.responses(opened), remediation.ALLOWLIST)
 
 
@@ -565,10 +611,13 @@ def diagnose_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnosed(spark, sf_dir).select("incident_id", "category_hint", *diagnosis.DIAGNOSIS, "diagnosis_error")
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(tables.bronze_manifest(spark, sf_dir), "manifest")
+
+
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remediation.decide_actions(
-        _diagnosed(spark, sf_dir), tables.flags(spark, sf_dir), tables.bronze_manifest(spark, sf_dir)
-    )
+    diagnosed = stored(_diagnosed(spark, sf_dir), "diagnosed")
+    return remediation.decide_actions(diagnosed, tables.flags(spark, sf_dir), _manifest(spark, sf_dir))
 
 
 @query
@@ -585,9 +634,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "reports")
     built = diagnosis.build_reports(context.context_bundle(_decided(spark, sf_dir)), NOW)
     files.write_reports(built, root)
-    stored = files.read_reports(spark, root)
+    back = files.read_reports(spark, root)
     path = lambda p: F.get_json_object("report", f"$.{p}")
-    return stored.select(
+    return back.select(
         "incident_id",
         path("category_hint").alias("category_hint"),
         path("diagnosis.category").alias("category"),
@@ -606,18 +655,16 @@ def tick_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = tables.captured(spark, sf_dir).drop("recent_metadata", "created_at")
-    dated = tables.captured(spark, sf_dir).drop("recent_metadata")
+    opened = _captured(spark, sf_dir)
     decided = remediation.decide_approvals(
-        tables.approvals(spark, sf_dir, opened), dated, tables.flags(spark, sf_dir),
-        tables.bronze_manifest(spark, sf_dir),
-    )
+        tables.approvals(spark, sf_dir, opened), opened, tables.flags(spark, sf_dir), _manifest(spark, sf_dir)
+    )
     return decided.select("approval_id", "action", "status", "detail")
 
 
 def _plan(spark: SparkSession, sf_dir: str, action: str) -> DataFrame:
-    opened = tables.captured(spark, sf_dir).drop("recent_metadata")
-    return remediation.plan(opened, action, tables.flags(spark, sf_dir), tables.bronze_manifest(spark, sf_dir))
+    opened = _captured(spark, sf_dir)
+    return remediation.plan(opened, action, tables.flags(spark, sf_dir), _manifest(spark, sf_dir))
 
 
 @query
@@ -665,9 +712,9 @@ def coerce_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{work_dir(spark, 'bronze')}/_quarantine/tlc/yellow"
     rows = remediation.quarantine_rows(bronze, plans)
     files.write_partitions(rows, root, landing.KEYS)
-    stored = spark.read.schema(rows.schema).parquet(root)
+    back = spark.read.schema(rows.schema).parquet(root)
     kept = ["tpep_pickup_datetime", "VendorID", "passenger_count", "PULocationID", "DOLocationID", "fare_amount"]
-    return stored.select(*kept, long("year"), long("month"))
+    return back.select(*kept, long("year"), long("month"))
 
 
 @query
@@ -825,8 +872,8 @@ def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _event_stream(spark, sf_dir).withColumns({"year": F.year("ts"), "month": F.month("ts")})
     for _ in range(2):
         jobs.landing_stream(keyed, root, checkpoint).awaitTermination()
-    stored = spark.read.parquet(root).groupBy("year", "month", "event_type")
-    return stored.agg(F.count("*").alias("rows")).select(long("year"), long("month"), "event_type", "rows")
+    back = spark.read.parquet(root).groupBy("year", "month", "event_type")
+    return back.agg(F.count("*").alias("rows")).select(long("year"), long("month"), "event_type", "rows")
 
 
 @query
@@ -845,7 +892,7 @@ def stream_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened_dir, path, checkpoint = (work_dir(spark, n) for n in ("opened", "stream-reports", "checkpoint"))
     opened = files.write_table(tables.captured(spark, sf_dir).drop("recent_metadata"), opened_dir)
     stream = jobs.file_stream(spark, opened_dir, opened.schema)
-    flags, manifest = tables.flags(spark, sf_dir), tables.bronze_manifest(spark, sf_dir)
+    flags, manifest = tables.flags(spark, sf_dir), _manifest(spark, sf_dir)
     for _ in range(2):
         jobs.diagnosis_stream(
             stream, tables.responses(opened), flags, manifest, NOW, path, checkpoint

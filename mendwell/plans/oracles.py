@@ -393,6 +393,15 @@ sql(
     FROM lineitem GROUP BY 1, 2, 3
     """,
 )
+sql(
+    "scan_partitions",
+    """
+    SELECT l_shipdate AS tpep_pickup_datetime, l_linenumber AS VendorID, l_suppkey AS PULocationID,
+           year(l_shipdate) AS year, month(l_shipdate) AS month
+    FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') IN ('1996-02', '1997-11')
+    """,
+)
+sql("seed_scan", "SELECT * FROM zones", "zones")
 sql(
     "latest_partition",
     "SELECT year(max(l_shipdate)) AS year, month(max(l_shipdate)) AS month FROM lineitem",
@@ -669,6 +678,34 @@ _SIMILAR = """
     """
 sql("similar_incidents", _SIMILAR.format(same="x.asset_key = q.asset_key AND"), "vectors", "queue")
 sql("similar_any_asset", _SIMILAR.format(same=""), "vectors", "queue")
+sql(
+    "tick_prompts",
+    f"""
+    SELECT w.incident_id, concat_ws(chr(10), 'Heuristic category guess (you may override): ' || category_hint,
+           'INCIDENT', 'asset_key: ' || w.asset_key, 'partition_key: ' || coalesce(w.partition_key, ''),
+           'error_type: ' || w.error_type, 'error_message: ' || w.error_message, '', 'CONTEXT',
+           'upstream: ' || coalesce(p.listed, '[]'), 'downstream: []',
+           'recent_runs: ' || coalesce(r.n, 0) || ' entries', 'recent_log_excerpts (tail):', coalesce(t.shown, ''), '',
+           'SIMILAR PAST INCIDENTS', coalesce(s.block, '(none)'), '', 'Return JSON only.') AS prompt
+    FROM waiting w
+    JOIN queue USING (incident_id)
+    JOIN (SELECT incident_id, category_hint FROM classified) USING (incident_id)
+    LEFT JOIN parents p ON p.name = regexp_extract(w.asset_key, '[^/.]+$')
+    LEFT JOIN (SELECT asset_key, count(*) AS n FROM recent GROUP BY 1) r USING (asset_key)
+    LEFT JOIN tails t USING (run_id)
+    LEFT JOIN (SELECT incident_id, string_agg('- asset=' || asset_key || ' error_type=' || error_type || ' score='
+                          || printf('%.2f', score) || ' prior_fix=' || prior_fix, chr(10) ORDER BY rank) AS block
+               FROM ({_SIMILAR.format(same="x.asset_key = q.asset_key AND")}) WHERE rank <= 3 GROUP BY 1) s
+        USING (incident_id)
+    """,
+    "waiting",
+    "queue",
+    "classified",
+    "parents",
+    "recent",
+    "tails",
+    "vectors",
+)
 sql(
     "context_bundle",
     """

@@ -75,6 +75,12 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def publish_view(df: DataFrame, name: str) -> DataFrame:
+    """Register a staging result as a lazy view for SQL."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
+
+
 def write_reports(reports: DataFrame, root: str) -> None:
     """Append report rows ``(incident_id, report_date, report)`` as text JSON by date."""
     line = F.to_json(F.struct("incident_id", "report"))
