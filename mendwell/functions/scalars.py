@@ -73,7 +73,8 @@ def bare_name(asset_key: Column) -> Column:
 
 def after_slack(col: Column, now: datetime, slack_hours: int) -> Column:
     """True where ``col`` lies more than ``slack_hours`` past ``now``."""
-    limit = F.lit(now).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(slack_hours))
+    # As text, so that neither Python's nor the session's time zone shifts it.
+    limit = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(slack_hours))
     return col.cast("timestamp_ntz") > limit
 
 

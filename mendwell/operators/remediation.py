@@ -80,10 +80,14 @@ def guard_passes(fix: Column) -> Column:
     ).otherwise(False)
 
 
+# Datasets an asset name can point to, in this order.
+DATASETS = ["tlc", "weather"]
+
+
 def bronze_dataset() -> Column:
     """Dataset an asset's files belong to."""
     asset = F.lower(_text("asset_key"))
-    return F.when(asset.contains("tlc"), "tlc").when(asset.contains("weather"), "weather")
+    return first_match([(asset.contains(d), F.lit(d)) for d in DATASETS], None)
 
 
 def _with_cleared_flags(df: DataFrame, fix: str, runs: str, flags: DataFrame) -> DataFrame:
@@ -113,6 +117,8 @@ def _with_bronze_object(df: DataFrame, manifest: DataFrame) -> DataFrame:
     An incident without a partition takes the newest landed one of its dataset.
     ``manifest`` has ``dataset, partition_key, path, rows``, one row per partition.
     """
+    manifest = manifest.filter(F.col("dataset").isin(DATASETS))
+    # One row per dataset, so at most two.
     newest = manifest.groupBy("dataset").agg(F.max("partition_key").alias("_newest"))
     objects = manifest.select(
         "dataset",

@@ -149,17 +149,22 @@ def with_payload(hits: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def build_index(texts: DataFrame, id_column: str, text_column: str, dims: int = 384) -> DataFrame:
-    """Unit vectors of hashed word counts; blank text is skipped, one row per id."""
+    """Unit vectors of hashed word counts; blank text is skipped, one row per id.
+
+    The texts become vectors where they are read: only ids, vectors and other
+    payload columns are shuffled to keep one row per id.
+    """
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    spoken = texts.filter(non_empty(F.trim(text_column)).isNotNull()).dropDuplicates([id_column])
+    spoken = texts.filter(non_empty(F.trim(text_column)).isNotNull())
     words = F.filter(F.split(F.lower(text_column), r"\s+"), lambda w: w != "")
     counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(
         spoken.withColumn("_words", words)
     )
     scaled = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
-    return scaled.withColumn("vector", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+    vectors = scaled.withColumn("vector", vector_to_array("_unit", "float32"))
+    return vectors.drop("_words", "_tf", "_unit", text_column).dropDuplicates([id_column])
 
 
 def upsert_index(index: DataFrame, fresh: DataFrame, id_column: str) -> DataFrame:

@@ -188,7 +188,7 @@ def _drifting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_partitions(good, root, ["year"])
     files.write_partitions(faults.rename_trip_column(bad), root, ["year"])
     return footers.file_schemas(spark, root).withColumns(
-        {"dataset": F.lit("trips"), "year": landing.path_part(F.col("path"), "year")}
+        {"dataset": F.lit("trips"), "year": footers.path_part(F.col("path"), "year")}
     )
 
 
@@ -214,7 +214,7 @@ def dq_expected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = drift.missing_columns(
         _drifting_files(spark, sf_dir).select("path", "columns"), ["VendorID", "tpep_pickup_datetime"]
     )
-    year = landing.path_part(F.col("path"), "year").cast("bigint").alias("year")
+    year = footers.path_part(F.col("path"), "year").cast("bigint").alias("year")
     return gaps.select(year, "missing_column").distinct()
 
 
@@ -451,6 +451,14 @@ def incident_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.listing_line(incidents.open_incidents(tables.state(spark, sf_dir), 20))
 
 
+@query
+def append_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured incidents that a log of the first half of the month lacks."""
+    opened = _captured(spark, sf_dir)
+    log = opened.filter(F.dayofmonth("created_at") <= 15)
+    return incidents.append_new(log, opened.unionByName(log)).select("incident_id", "created_at")
+
+
 @query
 def undiagnosed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.undiagnosed(tables.state(spark, sf_dir)).select("incident_id", "created_at", "asset_key")
@@ -525,6 +533,17 @@ def incident_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table after half of its labels were indexed again with doubled vectors."""
+    index = tables.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    doubled = F.transform("embedding", lambda x: x * F.lit(2).cast("float"))
+    fresh = index.filter(F.col("label") < 5).withColumn("embedding", doubled)
+    updated = similarity.upsert_index(index, fresh, "vec_id")
+    first = F.col("embedding")[0].cast("double")
+    return rounded(updated.select("vec_id", long("label"), first.alias("first_value")))
+
+
 def _similar(spark: SparkSession, sf_dir: str, state: DataFrame, queue: DataFrame, same_asset: bool) -> DataFrame:
     """The queue's incidents against the vectors of every incident."""
     index = tables.incident_vectors(spark, sf_dir, state)

@@ -604,6 +604,7 @@ sql(
     """,
     "state",
 )
+sql("append_incidents", "SELECT incident_id, created_at FROM captured WHERE day(created_at) > 15", "captured")
 sql("undiagnosed_queue", "SELECT incident_id, created_at, asset_key FROM waiting", "waiting")
 sql("diagnosis_queue", "SELECT incident_id, created_at FROM queue JOIN state USING (incident_id)", "queue")
 sql("classify_incidents", "SELECT incident_id, error_type, category_hint FROM classified", "classified")
@@ -665,6 +666,14 @@ sql(
     FROM documents
     """,
 )
+sql(
+    "upsert_vectors",
+    """
+    SELECT vec_id, CAST(label AS BIGINT) AS label,
+           round(CAST(embedding[1] AS DOUBLE) * CASE WHEN label < 5 THEN 2 ELSE 1 END, 8) AS first_value
+    FROM embeddings
+    """,
+)
 _SIMILAR = """
     SELECT h.incident_id, similar_id, score, rank, s.asset_key, s.error_type,
            coalesce(s.proposed_fix, '') AS prior_fix

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendwell.operators.drift import missing_columns
-from mendwell.sources.footers import file_schemas
+from mendwell.sources.footers import file_schemas, path_part
 
 ZONE_SEED = T.StructType(
     [
@@ -37,32 +37,42 @@ def scan_partitions(
     A column renamed in one partition reads as nulls in Spark. The gate compares
     the Parquet footers with the schema first and stops on any missing column.
     """
+    chosen = None if partitions is None else list(partitions)
+
+    def wanted(path: str | None = None) -> Column:
+        """Condition on the partition columns, or on a path that spells them."""
+        keep = F.lit(False)
+        for year, month in chosen:
+            parts = [F.col(k) if path is None else path_part(F.col(path), k) for k in ("year", "month")]
+            keep = keep | ((parts[0] == year) & (parts[1] == month))
+        return keep
+
     if gate:
         expected = [f.name for f in schema.fields if f.name not in ("year", "month")]
-        gaps = missing_columns(file_schemas(spark, root), expected).limit(5).collect()
+        footers = file_schemas(spark, root, None if chosen is None else wanted("path"))
+        gaps = missing_columns(footers, expected).limit(5).collect()
         if gaps:
             shown = ", ".join(f"{g['path']}: {g['missing_column']}" for g in gaps)
             raise SchemaGateError(f"files without expected columns: {shown}")
     df = spark.read.schema(schema).parquet(root)
-    if partitions is None:
-        return df
-    keep = F.lit(False)
-    for year, month in partitions:
-        keep = keep | ((F.col("year") == year) & (F.col("month") == month))
-    return df.filter(keep)
+    return df if chosen is None else df.filter(wanted())
 
 
 def read_seed(spark: SparkSession, path: str, schema: T.StructType = ZONE_SEED) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def write_partitions(df: DataFrame, root: str, keys: list[str], replace: bool = False) -> None:
+def write_partitions(
+    df: DataFrame, root: str, keys: list[str], replace: bool = False, clustered: bool = False
+) -> None:
     """Write zstd Parquet by ``keys``; ``replace`` swaps only the partitions present in ``df``.
 
     The rebalance hint groups rows by partition for few files and splits a
-    partition that is much larger than the others over several tasks.
+    partition that is much larger than the others over several tasks. Input that
+    is already ``clustered``, such as files of single partitions, is not shuffled.
     """
-    writer = df.hint("rebalance", *[F.col(k) for k in keys]).write.option("compression", "zstd").partitionBy(*keys)
+    placed = df if clustered else df.hint("rebalance", *[F.col(k) for k in keys])
+    writer = placed.write.option("compression", "zstd").partitionBy(*keys)
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
     else:

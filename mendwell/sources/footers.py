@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SCHEMA = "path STRING, columns ARRAY<STRUCT<name: STRING, dtype: STRING>>"
 _ARROW = pa.schema(
@@ -48,7 +49,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def file_schemas(spark: SparkSession, root: str) -> DataFrame:
-    """One row per Parquet file: its path and its columns in file order."""
-    tasks = spark.sparkContext.defaultParallelism * 4
-    return list_files(spark, root).select("path").coalesce(tasks).mapInArrow(_read_footers, _SCHEMA)
+def path_part(path: Column, key: str) -> Column:
+    """Value of the partition folder ``key=`` in a path."""
+    return F.regexp_extract(path, rf"/{key}=(\d+)/", 1).try_cast("int")
+
+
+def file_schemas(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
+    """One row per Parquet file: its path and its columns in file order.
+
+    ``wanted`` is a condition on ``path`` that spares the footers of other files.
+    """
+    files = list_files(spark, root).select("path")
+    if wanted is not None:
+        files = files.filter(wanted)
+    return files.coalesce(spark.sparkContext.defaultParallelism * 4).mapInArrow(_read_footers, _SCHEMA)

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendwell.session import broadcast_if_small
 from mendwell.sources.files import write_partitions
-from mendwell.sources.footers import list_files
+from mendwell.sources.footers import list_files, path_part
 
 KEYS = ["year", "month"]
 
 
-def path_part(path: Column, key: str) -> Column:
-    return F.regexp_extract(path, rf"/{key}=(\d+)/", 1).try_cast("int")
-
-
 def landed_partitions(spark: SparkSession, root: str) -> DataFrame:
     """Distinct ``(year, month)`` below ``root``, taken from the file listing."""
     files = list_files(spark, root)
@@ -28,23 +24,26 @@ def split_incoming(incoming: DataFrame, landed: DataFrame) -> tuple[DataFrame, D
     return incoming.join(small, KEYS, "left_anti"), incoming.join(small, KEYS, "left_semi")
 
 
-def land(incoming: DataFrame, root: str, landed: DataFrame | None = None, force: bool = False) -> DataFrame:
+def land(
+    incoming: DataFrame, root: str, landed: DataFrame | None = None, force: bool = False, clustered: bool = False
+) -> DataFrame:
     """Land ``incoming`` and report one row per partition: ``landed`` or ``skipped``.
 
     ``landed`` is the manifest from before this call. A landed partition is left
-    alone unless ``force`` asks to replace it. The status rows are counted once,
-    before the write, so that re-reading them does not see the new files.
+    alone unless ``force`` asks to replace it. The status compares with ``landed``
+    alone, so it does not change with the files this call writes. ``clustered``
+    input is copied without a shuffle.
     """
     counts = incoming.groupBy(*KEYS).agg(F.count("*").alias("rows"))
     if landed is None:
-        write_partitions(incoming, root, KEYS, replace=force)
+        write_partitions(incoming, root, KEYS, replace=force, clustered=clustered)
         return counts.withColumn("status", F.lit("landed"))
     before = landed.select(*KEYS).distinct()
     if force:
-        write_partitions(incoming, root, KEYS, replace=True)
+        write_partitions(incoming, root, KEYS, replace=True, clustered=clustered)
         return counts.withColumn("status", F.lit("landed"))
     fresh, _ = split_incoming(incoming, before)
-    write_partitions(fresh, root, KEYS)
+    write_partitions(fresh, root, KEYS, clustered=clustered)
     known = before.withColumn("known", F.lit(True))
     status = F.when(F.col("known"), "skipped").otherwise("landed")
     return counts.join(known, KEYS, "left").select(*KEYS, "rows", status.alias("status"))
