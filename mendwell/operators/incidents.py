@@ -32,26 +32,36 @@ def incident_id(run_id: Column, asset_key: Column) -> Column:
     return short_hash(F.concat_ws("|", run_id, asset_key), 32)
 
 
-def fold_run_log(log: DataFrame) -> DataFrame:
-    """One row per run: the last non-empty error fields and the last asset key.
+FOLDED = ["asset_key", "error_type", "error_message", "stack_trace"]
+
+
+def partial_fold(log: DataFrame) -> DataFrame:
+    """One row per run: for each field its last value and the line that gave it.
 
     ``log`` has ``run_id, seq, asset_key, is_failure, error_type, error_message,
-    stack_trace``. The fold is an aggregate with a map-side part, so a run that
-    owns a large share of all lines is reduced before anything is shuffled.
+    stack_trace``. The asset key is the last one named on any line, the error
+    fields the last non-empty ones of failure lines. The fold has a map-side part,
+    so a run that owns a large share of all lines is reduced before the shuffle.
     """
-    def last(column: str) -> Column:
-        # max_by keeps the value of the largest key; a null key never wins.
-        usable = F.col("is_failure") & (F.col(column) != "")
-        return F.max_by(column, F.when(usable, F.col("seq"))).alias(column)
+
+    def newest(name: str) -> Column:
+        usable = F.col(name).isNotNull() if name == "asset_key" else F.col("is_failure") & (F.col(name) != "")
+        return F.max(F.when(usable, F.struct("seq", F.col(name).alias("value")))).alias(name)
 
     # Other lines cannot be the last of anything; dropping them early spares the sort.
     telling = log.filter(F.col("asset_key").isNotNull() | F.col("is_failure"))
-    return telling.groupBy("run_id").agg(
-        F.max_by("asset_key", F.when(F.col("asset_key").isNotNull(), F.col("seq"))).alias("asset_key"),
-        last("error_type"),
-        last("error_message"),
-        last("stack_trace"),
-    )
+    return telling.groupBy("run_id").agg(*[newest(c) for c in FOLDED])
+
+
+def merge_folds(parts: DataFrame) -> DataFrame:
+    """One partial fold per run from several of them, as streaming batches leave behind."""
+    return parts.groupBy("run_id").agg(*[F.max(c).alias(c) for c in FOLDED])
+
+
+def folded_values(fold: DataFrame) -> DataFrame:
+    """The fold without the line numbers; runs that never name an asset are dropped."""
+    named = fold.filter(F.col("asset_key").isNotNull())
+    return named.select("run_id", *[F.col(c)["value"].alias(c) for c in FOLDED])
 
 
 def capture_incidents(runs: DataFrame, log: DataFrame) -> DataFrame:
@@ -60,9 +70,12 @@ def capture_incidents(runs: DataFrame, log: DataFrame) -> DataFrame:
     ``runs`` has ``run_id, job_name, status, partition_key, ended_at``. The log is
     folded to one row per run before it meets the runs.
     """
+    return incidents_of(runs, partial_fold(log))
+
+
+def incidents_of(runs: DataFrame, fold: DataFrame) -> DataFrame:
     failed = runs.filter(F.col("status") == "FAILURE")
-    folded = fold_run_log(log).filter(F.col("asset_key").isNotNull())
-    joined = failed.join(folded, "run_id")
+    joined = failed.join(folded_values(fold), "run_id")
     return joined.select(
         incident_id(F.col("run_id"), F.col("asset_key")).alias("incident_id"),
         F.col("ended_at").alias("created_at"),

@@ -575,7 +575,7 @@ def _context(spark: SparkSession, sf_dir: str, queue: DataFrame, similar: DataFr
     neighbours = context.neighbour_lists(context.lineage_neighbours(queue, nodes, edges))
     runs = context.run_lists(context.recent_runs(queue, stored(tables.runs(spark, sf_dir), "runs")))
     log = tables.run_log(spark, sf_dir).withColumn("line", F.concat_ws(" ", "error_type", "error_message"))
-    logs = context.log_tail(log, "run_id", "seq", "line")
+    logs = context.log_tail(log, "run_id", "seq", "line", wanted=queue)
     return context.context_bundle(queue, neighbours, runs, logs, similar)
 
 

@@ -46,14 +46,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` is seen to have at most ``max_rows`` rows.
+def small_or_none(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` hinted for broadcast if it is seen to have at most ``max_rows`` rows, else None.
 
     At most one row beyond the bound is fetched, and a small ``df`` is not computed
-    a second time for the join. A larger one is left to Spark, which shuffles both
-    sides and splits skewed partitions.
+    a second time for the join.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df
+        return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint behind a check of the size.
+
+    A larger ``df`` is left to Spark, which shuffles both sides and splits skewed
+    partitions.
+    """
+    small = small_or_none(df, max_rows)
+    return df if small is None else small

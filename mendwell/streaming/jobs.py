@@ -51,38 +51,21 @@ def landing_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQu
 
 
 def incident_stream(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Failure lines to incidents: each batch is folded and only new ids are kept.
+    """Fold each batch of log lines to one row per run.
 
-    A run may log over several batches. Batches therefore only append their part
-    of the fold, one row per run; :func:`streamed_incidents` folds those again.
+    A run may log over several batches, so its incident is only known from the
+    merged folds: see :func:`streamed_incidents`.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(partial_fold(batch), path, batch_id)
+        _write_batch(incidents.partial_fold(batch), path, batch_id)
 
     return _start(log, checkpoint, sink)
 
 
-_FOLDED = ["asset_key", "error_type", "error_message", "stack_trace"]
-
-
-def partial_fold(log: DataFrame) -> DataFrame:
-    """Last value per run of each field together with the line it came from."""
-
-    def newest(name: str) -> Column:
-        usable = F.col(name).isNotNull() if name == "asset_key" else F.col("is_failure") & (F.col(name) != "")
-        return F.max(F.when(usable, F.struct("seq", F.col(name).alias("value")))).alias(name)
-
-    return log.groupBy("run_id").agg(*[newest(c) for c in _FOLDED])
-
-
 def streamed_incidents(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
     """Incidents of everything the incident stream has written so far."""
-    parts = spark.read.parquet(path)
-    merged = parts.groupBy("run_id").agg(*[F.max(c)["value"].alias(c) for c in _FOLDED])
-    # The merged fold is a log of one failure line per run.
-    line = merged.withColumns({"seq": F.lit(0), "is_failure": F.lit(True)})
-    return incidents.capture_incidents(runs, line)
+    return incidents.incidents_of(runs, incidents.merge_folds(spark.read.parquet(path)))
 
 
 def diagnosis_stream(

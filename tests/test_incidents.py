@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendwell.operators import context, incidents
-from mendwell.streaming.jobs import partial_fold
 
 LOG = "run_id STRING, seq BIGINT, asset_key STRING, is_failure BOOLEAN, error_type STRING, error_message STRING, stack_trace STRING"
 RUNS = "run_id STRING, job_name STRING, status STRING, partition_key STRING, ended_at TIMESTAMP_NTZ"
@@ -49,7 +48,7 @@ def test_capture_is_deterministic_and_appends_once(spark, runs, log):
 
 
 def test_partial_fold_keeps_the_line_numbers(log):
-    row = partial_fold(log).filter("run_id = 'r1'").first()
+    row = incidents.partial_fold(log).filter("run_id = 'r1'").first()
     assert (row.error_type.seq, row.error_type.value) == (2, "HTTPStatusError")
     assert row.asset_key.seq == 1
 
