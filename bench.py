@@ -1,7 +1,8 @@
-"""Time every query at one scale and print one JSON line.
+"""Time queries at one scale and print one JSON line.
 
-BENCH_SF_DIR names the table folder, BENCH_CPUS the cores, BENCH_QUERIES an
-optional comma-separated choice and BENCH_RUNS the repetitions (the median counts).
+BENCH_SF_DIR names the table folder, BENCH_CPUS the cores, BENCH_QUERIES a
+comma-separated choice or ``all`` (the headline queries by default) and BENCH_RUNS
+the repetitions, of which the median counts.
 """
 
 from __future__ import annotations
@@ -15,12 +16,47 @@ import time
 from mendwell.plans.catalog import QUERIES
 from mendwell.session import build_session
 
+# At least one query per group of operators.
+HEADLINE = [
+    "trips_daily",
+    "trips_weather",
+    "interim_trips_weather",
+    "missing_partitions",
+    "partition_profile",
+    "land_new_partitions",
+    "schema_drift",
+    "json_columns_to_rows",
+    "dq_unique_combo",
+    "dq_relationships",
+    "dq_summary",
+    "fault_detection_matrix",
+    "capture_incidents",
+    "incident_state",
+    "classify_incidents",
+    "lineage_neighbours",
+    "recent_runs",
+    "log_tail",
+    "incident_index",
+    "similar_incidents",
+    "build_prompts",
+    "validate_responses",
+    "decide_actions",
+    "coerce_quarantine",
+    "metric_rate",
+    "metric_increase_day",
+    "latency_p95",
+    "retry_plan",
+    "stream_incidents",
+    "stream_metric_windows",
+]
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    chosen = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or list(QUERIES)
+    asked = os.environ.get("BENCH_QUERIES", "")
+    chosen = list(QUERIES) if asked == "all" else [q for q in asked.split(",") if q] or HEADLINE
     spark = build_session(
         "mendwell-bench",
         f"local[{cpus}]",

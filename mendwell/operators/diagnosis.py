@@ -15,7 +15,11 @@ FALLBACK_FIX = "file incident for human review"
 TRUE_TEXTS = ["1", "true", "t", "yes", "y", "on"]
 FALSE_TEXTS = ["0", "false", "f", "no", "n", "off"]
 
-# What a prompt shows of the lists.
+# Headings of a prompt, and what it shows of the lists.
+HINT = "Heuristic category guess (you may override): "
+INCIDENT_HEAD, CONTEXT_HEAD, SIMILAR_HEAD = "INCIDENT", "CONTEXT", "SIMILAR PAST INCIDENTS"
+LOG_HEAD, CLOSING = "recent_log_excerpts (tail):", "Return JSON only."
+SIMILAR_LINE = "- asset=%s error_type=%s score=%.2f prior_fix=%s"
 PROMPT_LOG_LINES = 10
 PROMPT_SIMILAR = 3
 
@@ -30,13 +34,7 @@ def _listed(arr: Column) -> Column:
 def similar_block(similar: Column) -> Column:
     """One line per similar incident, or ``(none)``."""
     def line(hit: Column) -> Column:
-        return F.format_string(
-            "- asset=%s error_type=%s score=%.2f prior_fix=%s",
-            hit["asset_key"],
-            hit["error_type"],
-            hit["score"],
-            hit["prior_fix"],
-        )
+        return F.format_string(SIMILAR_LINE, *[hit[c] for c in ("asset_key", "error_type", "score", "prior_fix")])
 
     lines = F.array_join(F.transform(F.slice(similar, 1, PROMPT_SIMILAR), line), "\n")
     return F.when(F.size(similar) == 0, "(none)").otherwise(lines)
@@ -54,25 +52,25 @@ def build_prompts(context: DataFrame) -> DataFrame:
         return F.concat(F.lit(f"{name}: "), F.coalesce(F.col(name), F.lit("")))
 
     logs = F.array_join(F.transform(tail(F.col("log_lines"), PROMPT_LOG_LINES), lambda x: F.concat(F.lit("  "), x)), "\n")
-    hint = F.concat(F.lit("Heuristic category guess (you may override): "), F.col("category_hint"))
+    hint = F.concat(F.lit(HINT), F.col("category_hint"))
     # concat_ws leaves out the null hint and keeps empty lines.
     prompt = F.concat_ws(
         "\n",
         hint,
-        F.lit("INCIDENT"),
+        F.lit(INCIDENT_HEAD),
         *[field(c) for c in ("asset_key", "partition_key", "error_type", "error_message")],
         F.lit(""),
-        F.lit("CONTEXT"),
+        F.lit(CONTEXT_HEAD),
         F.concat(F.lit("upstream: "), neighbour_line("upstream")),
         F.concat(F.lit("downstream: "), neighbour_line("downstream")),
         F.concat(F.lit("recent_runs: "), F.size("recent_runs").cast("string"), F.lit(" entries")),
-        F.lit("recent_log_excerpts (tail):"),
+        F.lit(LOG_HEAD),
         logs,
         F.lit(""),
-        F.lit("SIMILAR PAST INCIDENTS"),
+        F.lit(SIMILAR_HEAD),
         similar_block(F.col("similar_incidents")),
         F.lit(""),
-        F.lit("Return JSON only."),
+        F.lit(CLOSING),
     )
     return context.select("incident_id", prompt.alias("prompt"))
 

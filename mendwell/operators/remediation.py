@@ -31,6 +31,17 @@ LATE_TYPES = ["NotFound"]
 SCHEMA_MESSAGES = ["schema", "vendor_id", "temperature_2m", "column", "type", "did not match"]
 SCHEMA_TYPES = ["ValidationError", "SchemaError"]
 
+# Reasons for skipping and descriptions of what was planned.
+NOT_AUTOMATIC = "diagnosis.can_auto_remediate=false"
+OFF_LIST = "proposed_fix '%s' not on allowlist"
+NOT_WIRED = "no remediation deps wired"
+GUARD_REJECTED = "guard rejected"
+FLAG_CLEARED = "cleared chaos flag '%s' and queued re-materialization"
+NO_FLAG = "queued re-materialization (no flag to clear)"
+SLIPPED = "slipped partition %s -> %s"
+QUARANTINED = "wrote %d coerced rows to %s; queued re-ingest"
+NO_OBJECT = "could not locate bronze parquet for asset"
+
 # Prefix of the tags put on planned runs.
 TAG = "mendwell"
 
@@ -170,15 +181,15 @@ def with_plans(df: DataFrame, fix: str, runs: str, flags: DataFrame, manifest: D
     description = (
         F.when(
             (f == RETRY) & F.col("cleared_flag").isNotNull(),
-            F.format_string("cleared chaos flag '%s' and queued re-materialization", "cleared_flag"),
+            F.format_string(FLAG_CLEARED, "cleared_flag"),
         )
-        .when(f == RETRY, F.lit("queued re-materialization (no flag to clear)"))
-        .when(f == SLIP, F.format_string("slipped partition %s -> %s", "partition_key", "slipped_partition"))
+        .when(f == RETRY, F.lit(NO_FLAG))
+        .when(f == SLIP, F.format_string(SLIPPED, "partition_key", "slipped_partition"))
         .when(
             F.col("quarantine_key").isNotNull(),
-            F.format_string("wrote %d coerced rows to %s; queued re-ingest", "bronze_rows", "quarantine_key"),
+            F.format_string(QUARANTINED, "bronze_rows", "quarantine_key"),
         )
-        .otherwise(F.lit("could not locate bronze parquet for asset"))
+        .otherwise(F.lit(NO_OBJECT))
     )
     target = F.when(f == SLIP, F.col("slipped_partition")).otherwise(F.col("partition_key"))
     next_run = F.struct(
@@ -221,10 +232,10 @@ def decide_actions(
     fix = F.coalesce(F.col("proposed_fix"), F.lit(""))
     allowed = fix.isin(ALLOWLIST)
     reason = (
-        F.when(~F.coalesce(F.col("can_auto_remediate"), F.lit(False)), "diagnosis.can_auto_remediate=false")
-        .when(~allowed, F.format_string("proposed_fix '%s' not on allowlist", fix))
-        .when(F.lit(not wired), "no remediation deps wired")
-        .when(~guard_passes(fix), "guard rejected")
+        F.when(~F.coalesce(F.col("can_auto_remediate"), F.lit(False)), NOT_AUTOMATIC)
+        .when(~allowed, F.format_string(OFF_LIST, fix))
+        .when(F.lit(not wired), NOT_WIRED)
+        .when(~guard_passes(fix), GUARD_REJECTED)
     )
     judged = diagnosed.withColumns({"action_reason": reason, "_runs": reason.isNull()})
     planned = with_plans(judged, "proposed_fix", "_runs", flags, manifest, tag)
@@ -234,7 +245,7 @@ def decide_actions(
         .when(F.col("success"), "executed")
         .otherwise("execute_returned_failure")
     )
-    named = F.col("_runs") | (F.col("action_reason") == "guard rejected")
+    named = F.col("_runs") | (F.col("action_reason") == GUARD_REJECTED)
     return planned.withColumns(
         {
             "action_status": status,

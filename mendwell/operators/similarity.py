@@ -67,7 +67,13 @@ def _best(queries: pd.DataFrame, index: pd.DataFrame, k: int, exclude_self: bool
 
 def _by_scan(queries: pd.DataFrame, index: DataFrame, k: int, exclude_self: bool, same_asset: bool) -> DataFrame:
     """Few queries: every task scores its index rows and passes on only k per query."""
-    groups = dict(list(queries.groupby("asset"))) if same_asset else {None: queries}
+    # None stands for a search over all assets.
+    if same_asset:
+        keyed = queries[queries["asset"].fillna("") != ""]
+        groups = dict(list(keyed.groupby("asset")))
+        groups |= {None: rest} if len(rest := queries.drop(keyed.index)) else {}
+    else:
+        groups = {None: queries}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict = {}
@@ -121,7 +127,8 @@ def similar_incidents(
 ) -> DataFrame:
     """The ``k`` most similar index rows of every query: ``incident_id, similar_id, score, rank``.
 
-    Both sides have ``id, asset, vector``. A diagnosis tick has a handful of
+    Both sides have ``id, asset, vector``. With ``same_asset`` a query meets the rows
+    of its own asset, or all rows if it has none. A diagnosis tick has a handful of
     queries: after a bounded count they go to the tasks that scan the index, and
     the index is not shuffled. Larger query tables take the blocked form.
     """
@@ -130,8 +137,12 @@ def similar_incidents(
     few = queries.limit(max_broadcast + 1).toPandas()
     if len(few) <= max_broadcast:
         partial = _by_scan(few, index, k, exclude_self, same_asset)
+    elif same_asset:
+        keyed = non_empty(F.col("asset")).isNotNull()
+        partial = _by_blocks(queries.filter(keyed), index.filter(keyed), k, exclude_self, True)
+        partial = partial.unionByName(_by_blocks(queries.filter(~keyed), index, k, exclude_self, False))
     else:
-        partial = _by_blocks(queries, index, k, exclude_self, same_asset)
+        partial = _by_blocks(queries, index, k, exclude_self, False)
     place = Window.partitionBy("incident_id").orderBy(F.desc("score"), "similar_id")
     return partial.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 

@@ -106,8 +106,8 @@ CTES = {
         SELECT c.*, f.proposed_fix, r.resolved_at,
                CASE WHEN r.resolved_at IS NULL THEN 'open' ELSE 'resolved' END AS status
         FROM captured c
-        LEFT JOIN (SELECT run_id, max(ts) AS resolved_at FROM log WHERE event_type = 'purchase'
-                   GROUP BY 1) r USING (run_id)
+        LEFT JOIN (SELECT run_id, ts AS resolved_at FROM log WHERE event_type = 'purchase'
+                   QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_id DESC) = 1) r USING (run_id)
         LEFT JOIN (SELECT run_id, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'retry-with-backoff' WHEN 2 THEN 'rerun-dbt'
                                   ELSE 'coerce-to-string' END AS proposed_fix
                    FROM log WHERE event_type = 'signup'
@@ -643,7 +643,8 @@ sql(
     """
     SELECT 'customer_' || c_custkey AS name, 1::BIGINT AS upstream_count, count(o_orderkey) AS downstream_count,
            'model.shop.nation_' || c_nationkey AS upstream,
-           coalesce(string_agg('model.shop.order_' || o_orderkey, ',' ORDER BY 'model.shop.order_' || o_orderkey), '')
+           CASE WHEN count(o_orderkey) <= 1000 THEN coalesce(
+               string_agg('model.shop.order_' || o_orderkey, ',' ORDER BY 'model.shop.order_' || o_orderkey), '') END
                AS downstream
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey
     WHERE c_custkey IN (SELECT user_id FROM events) GROUP BY c_custkey, c_nationkey

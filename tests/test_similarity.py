@@ -16,6 +16,7 @@ def vectors():
     for i in range(300):
         # A third of all rows and more share one asset; some vectors repeat.
         asset = "hot" if i % 2 else f"a{i % 7}"
+        asset = None if i in (4, 8) else asset
         rows.append((f"v{i:03d}", asset, rng.normal(size=8).round(2).tolist()))
     rows += [(f"w{i:03d}", "hot", rows[1][2]) for i in range(20)]
     return rows
@@ -26,7 +27,7 @@ def brute(queries, index, k, same_asset, exclude_self):
     for qid, qasset, q in queries:
         scored = []
         for vid, vasset, v in index:
-            if (same_asset and vasset != qasset) or (exclude_self and vid == qid):
+            if (same_asset and qasset and vasset != qasset) or (exclude_self and vid == qid):
                 continue
             a, b = np.float32(q).astype(float), np.float32(v).astype(float)
             scored.append((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), vid))
