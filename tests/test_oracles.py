@@ -24,8 +24,11 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_matches_sql(spark, sf_dir, con, name):
-    assert differences(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == ""
+def test_matches_sql(spark, sf_dir, con, plan, name):
+    df = QUERIES[name](spark, sf_dir)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+    assert differences(df, con, ORACLES[name]) == ""
 
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
