@@ -7,7 +7,7 @@ incident's row after its length is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import bare_name
@@ -58,13 +58,13 @@ def neighbour_lists(neighbours: DataFrame, inline: int = INLINE_NEIGHBOURS) -> D
     place = Window.partitionBy("asset_key", "direction").orderBy("neighbour")
     few = neighbours.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= inline)
 
-    def listed(direction: str) -> F.Column:
+    def listed(direction: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("direction") == direction, F.col("neighbour"))))
 
     lists = few.groupBy("asset_key").agg(listed("upstream").alias("upstream"), listed("downstream").alias("downstream"))
     joined = counts.join(lists, "asset_key")
 
-    def bounded(direction: str) -> F.Column:
+    def bounded(direction: str) -> Column:
         return F.when(F.col(f"{direction}_count") <= inline, F.col(direction)).alias(direction)
 
     return joined.select(

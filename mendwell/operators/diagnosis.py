@@ -149,8 +149,11 @@ def diagnose(incidents: DataFrame, responses: DataFrame, allowlist: list[str], t
     )
 
 
-def build_reports(decided: DataFrame, generated_at: datetime) -> DataFrame:
-    """One JSON report per incident, keys in alphabetical order at every level."""
+def build_reports(decided: DataFrame, generated_at: datetime, keep: list[str] | None = None) -> DataFrame:
+    """One JSON report per incident, keys in alphabetical order at every level.
+
+    Columns named in ``keep`` stay beside the report.
+    """
     def group(names: list[str], **more: Column) -> Column:
         fields = {n: F.col(n) for n in names} | more
         return F.struct(*[fields[n].alias(n) for n in sorted(fields)])
@@ -180,7 +183,7 @@ def build_reports(decided: DataFrame, generated_at: datetime) -> DataFrame:
         }
     )
     return decided.select(
-        "incident_id", F.lit(generated_at.date()).alias("report_date"), report.alias("report")
+        "incident_id", F.lit(generated_at.date()).alias("report_date"), report.alias("report"), *(keep or [])
     )
 
 

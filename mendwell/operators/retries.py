@@ -42,13 +42,15 @@ def retry_plan(
 ) -> DataFrame:
     """Number the attempts of each request and plan what follows each of them.
 
-    A request is given up at ``max_attempts``, so rows past that number cannot
-    come from the policy and are not planned; dropping them early also keeps the
-    numbering of a request with endless attempts out of a single sort.
+    ``request`` and ``order`` identify an attempt. Only the attempts within the
+    policy are numbered; any later ones stay in the result without a number, as
+    exhausted as the last. The numbers come back by both keys, so a request with
+    very many attempts does not end up in one task.
     """
     position = Window.partitionBy(request).orderBy(order)
-    numbered = attempts.withColumn("attempt", F.row_number().over(position)).filter(F.col("attempt") <= max_attempts)
-    last = F.col("attempt") >= max_attempts
+    first = attempts.select(request, order, F.row_number().over(position).alias("attempt"))
+    numbered = attempts.join(first.filter(F.col("attempt") <= max_attempts), [request, order], "left")
+    last = F.coalesce(F.col("attempt") >= max_attempts, F.lit(True))
     return numbered.select(
         "*",
         retryable.alias("retryable"),

@@ -1019,12 +1019,12 @@ sql(
     """,
 )
 _PLAN = """
-    SELECT request, event_id, attempt, retryable, retryable AND attempt = {last} AS exhausted,
+    SELECT request, event_id, CASE WHEN attempt <= {last} THEN attempt END AS attempt, retryable,
+           retryable AND attempt >= {last} AS exhausted,
            CASE WHEN retryable AND attempt < {last}
                 THEN least(greatest(pow(2, attempt - 1), 2), {cap})::DOUBLE END AS wait_seconds
     FROM (SELECT {request} AS request, event_id, {retryable} AS retryable,
                  row_number() OVER (PARTITION BY {request} ORDER BY event_id) AS attempt FROM events)
-    WHERE attempt <= {last}
     """
 sql(
     "retry_plan",

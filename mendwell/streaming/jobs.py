@@ -77,14 +77,27 @@ def diagnosis_stream(
     path: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Diagnose every newly opened incident once and write its report."""
+    """Diagnose every newly opened incident once and write its report.
+
+    A flag that an earlier batch cleared is not active for the later ones.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(diagnosed_reports(batch, responses, flags, manifest, generated_at), path, batch_id)
+        active = active_flags(flags, path, batch_id)
+        _write_batch(diagnosed_reports(batch, responses, active, manifest, generated_at), path, batch_id)
 
     return _start(opened, checkpoint, sink)
 
 
+def active_flags(flags: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Flags that no batch before ``batch_id`` has cleared."""
+    if batch_id == 0:
+        return flags
+    earlier = flags.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id)
+    cleared = earlier.select(F.col("cleared_flag").alias("flag")).dropna().distinct()
+    return flags.join(cleared, "flag", "left_anti")
+
+
 def diagnosed_reports(
     opened: DataFrame, responses: DataFrame, flags: DataFrame, manifest: DataFrame, generated_at: datetime
 ) -> DataFrame:
@@ -93,7 +106,7 @@ def diagnosed_reports(
     classified = incidents.classify(opened)
     diagnosed = diagnosis.diagnose(classified, responses, remediation.ALLOWLIST)
     decided = remediation.decide_actions(diagnosed, flags, manifest)
-    return diagnosis.build_reports(context_bundle(decided), generated_at)
+    return diagnosis.build_reports(context_bundle(decided), generated_at, keep=["cleared_flag"])
 
 
 def window_totals(

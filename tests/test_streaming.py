@@ -82,6 +82,13 @@ def test_diagnosis_ticks_once_per_incident(spark, tmp_path, source):
     found = {r.incident_id: r.s for r in spark.read.parquet(out).select("incident_id", status.alias("s")).collect()}
     assert found == {"a": "executed", "b": "skipped", "c": "skipped"}
     assert spark.read.parquet(out).count() == 3
+    # A later tick no longer finds the flag that the first one cleared.
+    source([("d", *rows[0][1:])], schema)
+    more = responses.unionByName(spark.createDataFrame([("d", good)], responses.schema))
+    stream = jobs.file_stream(spark, root, spark.read.parquet(root).schema)
+    jobs.diagnosis_stream(stream, more, flags, manifest, datetime(2024, 1, 3), out, checkpoint).awaitTermination()
+    cleared = {r.incident_id: r.cleared_flag for r in spark.read.parquet(out).collect()}
+    assert cleared == {"a": "tlc_5xx", "b": None, "c": None, "d": None}
 
 
 def test_streamed_windows_equal_batch(spark, tmp_path, source):
