@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import bare_name
-from mendwell.session import small_or_none
+from mendwell.session import broadcast_if_small
 
 # Neighbours listed inside a report. Longer lists are counted there and read
 # in full from the neighbour table.
@@ -103,12 +103,10 @@ def log_tail(
 ) -> DataFrame:
     """The last ``limit`` lines of every run in order: ``run, log_lines``.
 
-    ``wanted`` names the runs that are asked for. Few of them filter the log where
-    it is read; with many, all runs are cut to their tails, which takes no join.
+    ``wanted`` names the runs that are asked for, however many; only those are returned.
     """
-    few = None if wanted is None else small_or_none(wanted.select(run).distinct())
-    if few is not None:
-        log = log.join(few, run, "left_semi")
+    if wanted is not None:
+        log = log.join(broadcast_if_small(wanted.select(run).distinct()), run, "left_semi")
     newest = Window.partitionBy(run).orderBy(F.col(seq).desc())
     kept = log.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit)
     ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(line).alias("line"))))

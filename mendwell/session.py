@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a dimension that may be broadcast. With the narrow dimensions used
-# here (about a hundred bytes per row) this is some 20 MB.
-BROADCAST_ROWS = 200_000
+# Bytes of a dimension that may be broadcast.
+BROADCAST_BYTES = 20_000_000
 
 
 def build_session(app_name: str = "mendwell", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,34 +33,29 @@ def build_session(app_name: str = "mendwell", master: str | None = None, **conf:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach, for written intermediate tables.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
-    local session without that setting falls back to this machine's disk.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Where that is
+    unset, the warehouse folder takes its place, which is shared as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="mendwell-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_or_none(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` hinted for broadcast if it is seen to have at most ``max_rows`` rows, else None.
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and about how many bytes they take; each task passes on two numbers."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows, size
 
-    At most one row beyond the bound is fetched, and a small ``df`` is not computed
-    a second time for the join.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` may be broadcast."""
+    return size_of(df)[1] <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint behind a check of the size.
 
     A larger ``df`` is left to Spark, which shuffles both sides and splits skewed
     partitions.
     """
-    small = small_or_none(df, max_rows)
-    return df if small is None else small
+    return F.broadcast(df) if is_small(df, max_bytes) else df

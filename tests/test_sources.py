@@ -128,8 +128,8 @@ def test_broadcast_only_within_the_bound(spark, plan):
     big, small = spark.range(1000), spark.range(10).withColumnRenamed("id", "k")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        within = big.join(broadcast_if_small(small, 10), F.col("id") == F.col("k"))
-        beyond = big.join(broadcast_if_small(small, 9), F.col("id") == F.col("k"))
+        within = big.join(broadcast_if_small(small, 80), F.col("id") == F.col("k"))
+        beyond = big.join(broadcast_if_small(small, 79), F.col("id") == F.col("k"))
         assert "BroadcastHashJoin" in plan(within)
         assert "SortMergeJoin" in plan(beyond)
         assert within.count() == beyond.count() == 10
