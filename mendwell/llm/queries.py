@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, length_histogram, line_rules, token_files
+from mendwell.llm import chat_format, length_histogram, line_rules, near_dups, token_files
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,10 +94,12 @@ WITH docs AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
   FROM documents
-), places AS (
-  SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM docs
 ), windows AS (
-  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(w[k:k + 4], ' ')) AS n FROM places
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, five) AS n FROM (
+    SELECT doc_id, unnest(range(1, len(w) - 3)) AS k,
+      unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS five
+    FROM docs
+  )
 ), doubled AS (
   SELECT doc_id, count(DISTINCT k + i) AS n_repeat_words
   FROM windows, (SELECT unnest(range(0, 5)) AS i) WHERE n > 1 GROUP BY doc_id
@@ -128,3 +130,9 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept
 FROM counted
 """
+
+
+@query
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` that share 85 of 100 three-word shingles."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
