@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, length_histogram, line_rules, near_dups, token_files
+from mendwell.llm import chat_format, length_histogram, line_rules, near_dups, token_files, toxicity
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,11 @@ FROM counted
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` that share 85 of 100 three-word shingles."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_sentences")
