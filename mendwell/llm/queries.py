@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, length_histogram, line_rules, near_dups, token_files, toxicity
+from mendwell.llm import chat_format, length_histogram, line_rules, mixing, near_dups, token_files, toxicity
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_sentences")
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all ``documents`` takes of each."""
+    return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken()
