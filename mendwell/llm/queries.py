@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, length_histogram, line_rules, mixing, near_dups, token_files, toxicity
+from mendwell.llm import chat_format, decontaminate, length_histogram, line_rules, mixing, near_dups, token_files, toxicity
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all ``documents`` takes of each."""
     return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken()
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark``."""
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
