@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, decontaminate, length_histogram, line_rules, mixing, near_dups, token_files, toxicity
+from mendwell.llm import chat_format, decontaminate, length_histogram, line_rules, mixing, near_dups, token_files, toxicity, url_filter
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +156,71 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark``."""
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A history of list entries about the hosts, parent domains and sections of ``pages``, chosen by hashes of their names."""
+    url = F.col("url")
+    named = pages.select(url_filter.host_of(url).alias("host"), url_filter.section_of(url).alias("section")).distinct()
+    parent = F.substring_index("host", ".", -2)
+    patterns = named.select(F.explode(F.array("host", parent, F.concat("host", F.lit("/"), "section"))).alias("pattern")).distinct()
+    mark = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("int")
+    marked = patterns.select("pattern", mark.alias("mark"))
+    day = F.date_add(F.lit("2023-01-01").cast("date"), F.col("mark") % 400)
+
+    def entry(chosen: str, later: int, action: str):
+        which = F.when(F.col("mark") % 3 == 0, "allow").otherwise("block")
+        return F.when(F.expr(chosen), F.struct(which.alias("list"), F.date_add(day, later).alias("day"), F.lit(action).alias("action")))
+
+    history = F.array(entry("mark % 2 = 0", 0, "add"), entry("mark % 4 = 0", 120, "remove"), entry("mark % 8 = 0", 300, "add"), entry("mark % 5 = 0", 300, "remove"))
+    return marked.select("pattern", F.inline(F.filter(history, lambda e: e.isNotNull())))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the entries active on the day its id stands for."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") * 7919 % 900).cast("int"))
+    captures = pages.withColumn("fetched_at", fetched)
+    return url_filter.judged(captures, dated_entries(pages))
+
+
+ORACLES["op9_url_filter"] = """
+WITH captures AS (
+  SELECT page_id, url, DATE '2023-01-01' + (page_id * 7919 % 900)::INT AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)', 1)) AS section
+  FROM pages
+), keyed AS (
+  SELECT *, string_split(host, '.') AS labels FROM captures
+), patterns AS (
+  SELECT DISTINCT unnest([host, array_to_string(labels[-2:], '.'), host || '/' || section]) AS pattern FROM keyed
+), marked AS (
+  SELECT pattern, ('0x' || substr(md5(pattern), 1, 6))::INT AS mark FROM patterns
+), history AS (
+  SELECT lower(pattern) AS pattern, CASE WHEN mark % 3 = 0 THEN 'allow' ELSE 'block' END AS list,
+    DATE '2023-01-01' + (mark % 400) + unnest([0, 120, 300, 300]) AS day,
+    unnest(['add', 'remove', 'add', 'remove']) AS action,
+    unnest([mark % 2 = 0, mark % 4 = 0, mark % 8 = 0, mark % 5 = 0]) AS chosen
+  FROM marked
+), daily AS (
+  SELECT pattern, list, day, bool_and(action = 'add') AS is_on FROM history WHERE chosen GROUP BY ALL
+), turns AS (
+  SELECT * FROM (SELECT *, coalesce(lag(is_on) OVER w, false) AS was_on FROM daily WINDOW w AS (PARTITION BY pattern, list ORDER BY day))
+  WHERE is_on <> was_on
+), intervals AS (
+  SELECT * FROM (
+    SELECT pattern, list, is_on, day::DATE AS valid_from,
+      coalesce(lead(day) OVER (PARTITION BY pattern, list ORDER BY day), DATE '9999-12-31')::DATE AS valid_to FROM turns
+  ) WHERE is_on
+), asked AS (
+  SELECT page_id, fetched_at, unnest(range(1, len(labels) + 1)) AS depth, unnest(list_transform(range(1, len(labels) + 1), lambda k: array_to_string(labels[len(labels) - k + 1:], '.'))) AS pattern
+  FROM keyed WHERE host <> ''
+  UNION ALL SELECT page_id, fetched_at, 1000, host || '/' || section FROM keyed WHERE host <> '' AND section <> ''
+), hits AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, list) AS n
+  FROM asked JOIN intervals USING (pattern) WHERE fetched_at >= valid_from AND fetched_at < valid_to
+)
+SELECT page_id, url, c.fetched_at, coalesce(list, 'none') AS verdict, pattern, valid_from, valid_to
+FROM captures c LEFT JOIN (SELECT * FROM hits WHERE n = 1) h USING (page_id)
+"""
