@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, decontaminate, length_histogram, line_rules, mixing, near_dups, token_files, toxicity, url_filter
+from mendwell.llm import chat_format, decontaminate, html_blocks, length_histogram, line_rules, mixing, near_dups, token_files, toxicity, url_filter
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,3 +224,10 @@ WITH captures AS (
 SELECT page_id, url, c.fetched_at, coalesce(list, 'none') AS verdict, pattern, valid_from, valid_to
 FROM captures c LEFT JOIN (SELECT * FROM hits WHERE n = 1) h USING (page_id)
 """
+
+
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extracted(pages, html_blocks.train(pages)).drop("html")
