@@ -27,7 +27,7 @@ BANDS, ROWS = 28, 5
 SEED = 20240229
 # Classes of a bucket that are compared in one block.
 BLOCK = 1000
-SKETCH = "doc_id long, n_shingles long, digest binary, keys array<long>, minima binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>, minima binary"
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -94,11 +94,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                     keys.append(each.view(np.int64))
                     lows.append(low.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "keys", "minima"],
+                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "keys", "minima"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return given.mapInArrow(sketch, SKETCH)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -160,10 +161,10 @@ def in_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int, n_
     return met.join(texts, "digest").groupBy("key", "_a", "_b").applyInPandas(connect, "u binary, v binary")
 
 
-def near_duplicates(
+def labelled(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Words are what stands between white space, A-Z in lower case. Documents are
     linked if ``100 * intersection >= percent * union`` of their distinct
@@ -219,9 +220,29 @@ def near_duplicates(
     classes = rooted(worded.groupBy("digest").agg(F.min("doc_id").alias("_id")), "digest", "root")
     smallest = classes.groupBy("root").agg(F.min("_id").alias("_smallest"))
     named = classes.join(smallest, "root").select("digest", "_smallest")
-    out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = sketch.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_smallest", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``, see ``labelled``."""
+    return labelled(docs, **options).drop("text_hash")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id, and all rows without id.
+
+    Of rows that agree in id and text one stays. Only what goes is joined with the documents.
+    """
+    found = labelled(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept")
+    found = stored(found.filter("_id IS NOT NULL"), "verdicts")
+    gone = found.filter("NOT kept").select("_id", "_hash").distinct()
+    own = docs.select("*", F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    if not found.filter("kept").groupBy("_id", "_hash").count().filter("count > 1").isEmpty():
+        named = own.filter("_id IS NOT NULL").dropDuplicates(["_id", "_hash"])
+        own = named.unionByName(own.filter("_id IS NULL"))
+    return own.join(broadcast_if_small(gone), ["_id", "_hash"], "left_anti").select(*docs.columns)
 
 
 def _of_digest(width: int):
