@@ -37,7 +37,7 @@ PATH, WORDS, UNITS = 512, 64, 24
 INPUTS = PATH + WORDS + 5
 SEED = 11
 # Pages that the labeller learns from, at most, and variants of each.
-MAX_TRAIN, VARIANTS, EPOCHS = 300, 5, 8
+MAX_TRAIN, VARIANTS, EPOCHS = 400, 5, 10
 
 # Names by which blocks are taught: parts of pages that aren't the text, and containers of the text.
 OTHER = frozenset(
@@ -209,7 +209,7 @@ def variants(pages: list[list[Block]], seed: int = SEED, each: int = VARIANTS) -
             for k, b in enumerate(core):
                 leaf = b.path[-1] if b.path and b.path[-1][0] not in MAIN_TAGS else ("p", ())
                 extra = (pick([("ul", ()), ("ol", ())]), ("li", ())) if rng.random() < 0.15 else (pick([("blockquote", ()), ("pre", ()), ("h2", ()), ("td", ())]),) if rng.random() < 0.08 else (leaf,)
-                text = b.text if rng.random() < 0.8 else " ".join(b.text.split()[: int(rng.integers(1, 12))])
+                text = b.text if rng.random() < 0.6 else " ".join(b.text.split()[: int(rng.integers(1, 6))])
                 made.append((Block((*inner, *((("header", ()),) if k == 0 and leaf[0] == "h1" and rng.random() < 0.1 else ()), *extra), text, 0), True))
                 if rng.random() < 0.12:
                     made += [(x, False) for x in aside_part(inner)]
@@ -238,7 +238,7 @@ def fit(pages: list[str]) -> Labeller:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_train: int = MAX_TRAIN) -> Labeller:
-    """A labeller learnt in one task from up to ``max_train`` pages, chosen by a hash of their ids and contents; the result is the same for the same rows."""
+    """A labeller learnt in one task from up to ``max_train`` pages, chosen by a hash of their ids and contents; the result is the same for the same rows. Without pages it is one that has learnt nothing."""
     chosen = pages.select(F.col(html_col).alias("html"), F.xxhash64(id_col, html_col).alias("_h")).filter("html IS NOT NULL").orderBy("_h", "html").limit(max_train)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,6 +247,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max
         yield pd.DataFrame({"name": list(weights), "shape": [list(w.shape) for w in weights.values()], "held": [w.astype("<f4").tobytes() for w in weights.values()]})
 
     rows = stored(chosen.repartition(1).mapInPandas(learn, "name string, shape array<int>, held binary"), "labeller").collect()
+    if not rows:
+        return Labeller.fresh(INPUTS, UNITS, SEED)
     return Labeller({r.name: np.frombuffer(bytes(r.held), "<f4").reshape(r.shape) for r in rows})
 
 

@@ -19,6 +19,8 @@ PREFIXES = (3, 4, 5, 6)
 # Labelled documents that are learnt from, at most.
 MAX_TRAIN = 12_000
 THRESHOLD = 0.3
+# Log-odds of a sentence where nothing was learnt.
+UNTAUGHT = -20.0
 HELD_OUT = 2
 
 
@@ -58,7 +60,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0
                 doc_of.append(d)
     weights, bias = np.zeros(BUCKETS), -6.0
     if not doc_of:
-        return weights, bias
+        return weights, UNTAUGHT
     tokens, sentence_of, doc_of = np.array(tokens), np.array(sentence_of), np.array(doc_of)
     each = [features(w) for w in vocabulary]
     owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -156,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights, bias = fit(frame["_text"].tolist(), frame["_label"].to_numpy(dtype=float))
         yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
 
-    row: Row = stored(sample.repartition(1).mapInPandas(learn, "weights binary, bias double"), "toxicity").first()
-    return Scorer(bytes(row.weights), row.bias)
+    row: Row | None = stored(sample.repartition(1).mapInPandas(learn, "weights binary, bias double"), "toxicity").first()
+    # Without rows no task runs.
+    return Scorer(bytes(row.weights), row.bias) if row else Scorer(np.zeros(BUCKETS, "<f4").tobytes(), UNTAUGHT)
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
