@@ -1,8 +1,7 @@
 """What is known around an incident: lineage, run history, log tail, similar ones.
 
-Sources are joined from the left and any of them may be absent. Lists that can
-grow with the data stay tables of their own; a list is only put into an
-incident's row after its length is bounded.
+Sources are joined from the left and any of them may be absent. Runs, log lines and
+similar incidents are cut to the newest or best by definition; neighbours are listed in full.
 """
 
 from __future__ import annotations
@@ -13,9 +12,6 @@ from pyspark.sql import functions as F
 from mendwell.functions.scalars import bare_name
 from mendwell.session import broadcast_if_small
 
-# Neighbours listed inside a report. Longer lists are counted there and read
-# in full from the neighbour table.
-INLINE_NEIGHBOURS = 1000
 NODE_KINDS = ["model.", "seed.", "snapshot."]
 
 
@@ -48,28 +44,19 @@ def lineage_neighbours(assets: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     return up.unionByName(down).distinct()
 
 
-def neighbour_lists(neighbours: DataFrame, inline: int = INLINE_NEIGHBOURS) -> DataFrame:
-    """Per asset the exact counts, and sorted lists where they have at most ``inline`` entries."""
-    counts = neighbours.groupBy("asset_key").agg(
-        F.count_if(F.col("direction") == "upstream").alias("upstream_count"),
-        F.count_if(F.col("direction") == "downstream").alias("downstream_count"),
-    )
-    # One more than the bound is enough to tell that a list is too long.
-    place = Window.partitionBy("asset_key", "direction").orderBy("neighbour")
-    few = neighbours.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= inline)
-
-    def listed(direction: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("direction") == direction, F.col("neighbour"))))
+def neighbour_lists(neighbours: DataFrame) -> DataFrame:
+    """Per asset the counts and the sorted lists of all its neighbours.
 
-    lists = few.groupBy("asset_key").agg(listed("upstream").alias("upstream"), listed("downstream").alias("downstream"))
-    joined = counts.join(lists, "asset_key")
+    A prompt and a report name every neighbour, so the list has to fit in a row;
+    ``lineage_neighbours`` is the same as a table.
+    """
 
-    def bounded(direction: str) -> Column:
-        return F.when(F.col(f"{direction}_count") <= inline, F.col(direction)).alias(direction)
+    def listed(direction: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("direction") == direction, F.col("neighbour")))).alias(direction)
 
-    return joined.select(
-        "asset_key", "upstream_count", "downstream_count", bounded("upstream"), bounded("downstream")
-    )
+    lists = neighbours.groupBy("asset_key").agg(listed("upstream"), listed("downstream"))
+    sizes = [F.size(c).cast("bigint").alias(f"{c}_count") for c in ("upstream", "downstream")]
+    return lists.select("asset_key", *sizes, "upstream", "downstream")
 
 
 def recent_runs(assets: DataFrame, runs: DataFrame, limit: int = 10) -> DataFrame:
@@ -155,11 +142,6 @@ def context_bundle(
             out = out.join(source, key, "left")
     for name, dtype in _ABSENT.items():
         blank = F.lit(0).cast(dtype) if dtype == "bigint" else F.array().cast(dtype)
-        if name in ("upstream", "downstream"):
-            # A known count without a list is a list too long to inline: stays null.
-            too_long = F.coalesce(F.col(f"{name}_count"), F.lit(0)) > 0 if f"{name}_count" in out.columns else F.lit(False)
-            value = F.coalesce(F.col(name), F.when(~too_long, blank)) if name in out.columns else blank
-        else:
-            value = F.coalesce(F.col(name), blank) if name in out.columns else blank
+        value = F.coalesce(F.col(name), blank) if name in out.columns else blank
         out = out.withColumn(name, value)
     return out

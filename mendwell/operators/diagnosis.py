@@ -40,12 +40,6 @@ def similar_block(similar: Column) -> Column:
     return F.when(F.size(similar) == 0, "(none)").otherwise(lines)
 
 
-def neighbour_line(name: str) -> Column:
-    """The listed neighbours, or their number where the list is too long to inline."""
-    counted = F.concat(F.col(f"{name}_count").cast("string"), F.lit(" nodes"))
-    return F.coalesce(_listed(F.col(name)), counted)
-
-
 def build_prompts(context: DataFrame) -> DataFrame:
     """``incident_id, prompt`` for classified incidents with their context bundle."""
     def field(name: str) -> Column:
@@ -61,8 +55,8 @@ def build_prompts(context: DataFrame) -> DataFrame:
         *[field(c) for c in ("asset_key", "partition_key", "error_type", "error_message")],
         F.lit(""),
         F.lit(CONTEXT_HEAD),
-        F.concat(F.lit("upstream: "), neighbour_line("upstream")),
-        F.concat(F.lit("downstream: "), neighbour_line("downstream")),
+        F.concat(F.lit("upstream: "), _listed(F.col("upstream"))),
+        F.concat(F.lit("downstream: "), _listed(F.col("downstream"))),
         F.concat(F.lit("recent_runs: "), F.size("recent_runs").cast("string"), F.lit(" entries")),
         F.lit(LOG_HEAD),
         logs,
@@ -129,8 +123,9 @@ def diagnose(incidents: DataFrame, responses: DataFrame, allowlist: list[str], t
     """Classified incidents with a diagnosis each, a fallback where no valid response exists.
 
     ``responses`` has one row per incident at most: ``incident_id`` and the text.
+    Columns of an earlier diagnosis are replaced.
     """
-    answered = incidents.join(responses.select("incident_id", text), "incident_id", "left")
+    answered = incidents.drop(*DIAGNOSIS).join(responses.select("incident_id", text), "incident_id", "left")
     parsed = parse_responses(answered, text)
     ok = F.col("error").isNull()
     known = normalise(parsed, allowlist)

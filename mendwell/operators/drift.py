@@ -24,27 +24,36 @@ def missing_columns(files: DataFrame, expected: list[str]) -> DataFrame:
 
 
 def schema_drift(files: DataFrame, dataset: str, partition: str) -> DataFrame:
-    """Compare every partition's schema with the partition before it.
+    """Compare the schemas of all files of every partition with those of the partition before it.
 
-    ``files`` has ``columns`` per file plus the two key columns. A partition whose
-    own files disagree is reported through ``n_schemas``.
+    ``files`` has ``columns`` per file plus the two key columns. The fingerprint of a
+    partition is that of its files, or of all their fingerprints where they disagree (``n_schemas``).
+    ``added`` are columns that some file before lacks and some file now has,
+    ``removed`` those that some file before has and some file now lacks; both are empty without a change.
     """
+    key = [dataset, partition]
     printed = schema_fingerprint(files)
-    # First file by path stands for its partition; the count shows disagreement.
-    per_partition = printed.groupBy(dataset, partition).agg(
-        F.min_by("schema_fingerprint", "path").alias("schema_fingerprint"),
-        F.min_by("columns", "path").alias("columns"),
-        F.count_distinct("schema_fingerprint").alias("n_schemas"),
+    prints = F.sort_array(F.collect_set("schema_fingerprint"))
+    each = printed.groupBy(*key).agg(F.count("*").alias("_files"), prints.alias("_prints"))
+    pair = F.explode(F.array_distinct(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["dtype"]))))
+    held = printed.select(*key, pair.alias("_pair")).groupBy(*key, "_pair").agg(F.count("*").alias("_n"))
+    some = held.join(each.select(*key, "_files"), key).groupBy(*key).agg(
+        F.sort_array(F.collect_list("_pair")).alias("_some"),
+        F.sort_array(F.collect_list(F.when(F.col("_n") == F.col("_files"), F.col("_pair")))).alias("_all"),
+    )
+    print_ = F.when(F.size("_prints") == 1, F.col("_prints")[0]).otherwise(short_hash(F.array_join("_prints", ",")))
+    per_partition = each.join(some, key, "left").select(
+        *key, print_.alias("schema_fingerprint"), F.size("_prints").cast("long").alias("n_schemas"), "_some", "_all"
     )
     order = Window.partitionBy(dataset).orderBy(partition)
     before = per_partition.select(
         "*",
         F.lag("schema_fingerprint").over(order).alias("previous_fingerprint"),
-        F.lag("columns").over(order).alias("previous_columns"),
+        F.lag("_some").over(order).alias("_some_before"),
+        F.lag("_all").over(order).alias("_all_before"),
     )
-    pair = lambda c: F.concat_ws(":", c["name"], c["dtype"])
-    now, then = F.transform("columns", pair), F.transform("previous_columns", pair)
     changed = F.coalesce(F.col("schema_fingerprint") != F.col("previous_fingerprint"), F.lit(False))
+    none = F.array().cast("array<string>")
     return before.select(
         dataset,
         partition,
@@ -52,6 +61,6 @@ def schema_drift(files: DataFrame, dataset: str, partition: str) -> DataFrame:
         "previous_fingerprint",
         "n_schemas",
         changed.alias("changed"),
-        F.coalesce(F.array_except(now, then), F.array()).alias("added"),
-        F.coalesce(F.array_except(then, now), F.array()).alias("removed"),
+        F.when(changed, F.array_except("_some", "_all_before")).otherwise(none).alias("added"),
+        F.when(changed, F.array_except("_some_before", "_all")).otherwise(none).alias("removed"),
     )

@@ -53,9 +53,10 @@ def null_spike(df: DataFrame, ordinal: Column, column: str | None = None) -> Dat
     return df.withColumn(target, F.when(ordinal % NULL_STRIDE != 0, F.col(target)))
 
 
-def volume_drop(df: DataFrame, ordinal: Column) -> DataFrame:
-    """Keep the first 5 % of the rows, at least one."""
-    total = df.agg(F.count("*").alias("n")).select(
-        F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(KEEP_SHARE))).alias("keep")
-    )
-    return df.filter(ordinal < total.scalar())
+def volume_drop(df: DataFrame, ordinal: Column, keys: list[str] | None = None) -> DataFrame:
+    """Keep the first 5 % of the rows, at least one; with ``keys`` of the rows of each partition."""
+    keep = F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(KEEP_SHARE))).alias("_keep")
+    if keys is None:
+        return df.filter(ordinal < df.agg(keep).scalar())
+    totals = df.groupBy(*keys).agg(keep)
+    return df.withColumn("_ordinal", ordinal).join(broadcast_if_small(totals), keys).filter("_ordinal < _keep").select(*df.columns)

@@ -92,8 +92,9 @@ def incidents_of(runs: DataFrame, fold: DataFrame) -> DataFrame:
 
 
 def append_new(opened: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Captured incidents that the log does not hold yet, one per id."""
-    fresh = incoming.dropDuplicates(["incident_id"])
+    """Captured incidents that the log does not hold yet; of those that share an id the one created first."""
+    each = incoming.groupBy("incident_id").agg(F.min_by(F.struct("*"), "created_at").alias("_first"))
+    fresh = each.select("_first.*")
     return fresh.join(opened.select("incident_id"), "incident_id", "left_anti")
 
 
@@ -137,8 +138,14 @@ def summaries(state: DataFrame) -> DataFrame:
 
 
 def details(state: DataFrame, reports: DataFrame) -> DataFrame:
-    """Incident columns with their report, null where there is none or it is unreadable."""
-    readable = reports.filter(F.try_parse_json("report").isNotNull()).dropDuplicates(["incident_id"])
+    """Incident columns with their report, null where there is none or it is unreadable.
+
+    Of several reports the last one counts, by the time it states or else by its text.
+    """
+    stated = F.coalesce(F.get_json_object("report", "$.generated_at"), F.lit(""))
+    readable = reports.filter(F.try_parse_json("report").isNotNull()).groupBy("incident_id").agg(
+        F.max_by("report", F.struct(stated, F.col("report"))).alias("report")
+    )
     return state.join(readable.select("incident_id", "report"), "incident_id", "left").select(
         *SUMMARY, "error_message", "recent_metadata", "resolved_at", F.col("report").alias("incident_report")
     )

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendwell.session import work_dir
+from mendwell.sources.files import write_table
+
 # Attempts and waits (seconds) of fetches and of model calls, and
 # the model-call errors worth another attempt.
 FETCH_ATTEMPTS, FETCH_MAX_WAIT = 5, 30
@@ -42,15 +45,22 @@ def retry_plan(
 ) -> DataFrame:
     """Number the attempts of each request and plan what follows each of them.
 
-    ``request`` and ``order`` identify an attempt. Only the attempts within the
-    policy are numbered; any later ones stay in the result without a number, as
-    exhausted as the last. The numbers come back by both keys, so a request with
-    very many attempts does not end up in one task.
+    Every attempt is numbered; those at or past ``max_attempts`` are exhausted. Attempts are
+    dealt by ranges of request and order, numbered within each range, and moved on by
+    the counts of the ranges before it, so that a request of very many attempts is numbered by several
+    tasks. The dealt rows are written, as ranges drawn twice may differ.
     """
-    position = Window.partitionBy(request).orderBy(order)
-    first = attempts.select(request, order, F.row_number().over(position).alias("attempt"))
-    numbered = attempts.join(first.filter(F.col("attempt") <= max_attempts), [request, order], "left")
-    last = F.coalesce(F.col("attempt") >= max_attempts, F.lit(True))
+    ranges = attempts.repartitionByRange(request, order).withColumn("_range", F.spark_partition_id())
+    dealt = write_table(ranges, work_dir(attempts.sparkSession, "attempts"))
+    before = Window.partitionBy(request).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(request, "_range").agg(F.count("*").alias("_n"))
+    earlier = counts.select(F.col(request).alias("_request"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(request, "_range").orderBy(order)
+    placed = dealt.withColumn("_at", F.row_number().over(inside))
+    same = F.col(request).eqNullSafe(F.col("_request")) & (F.col("_range") == F.col("_of"))
+    attempt = (F.col("_before") + F.col("_at")).cast("int").alias("attempt")
+    numbered = placed.join(earlier, same).select(*attempts.columns, attempt)
+    last = F.col("attempt") >= max_attempts
     return numbered.select(
         "*",
         retryable.alias("retryable"),

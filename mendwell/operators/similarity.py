@@ -134,9 +134,8 @@ def similar_incidents(
     """
     columns = ["id", "asset", "vector"]
     queries, index = queries.select(*columns), index.select(*columns)
-    few = queries.limit(max_broadcast + 1).toPandas()
-    if len(few) <= max_broadcast:
-        partial = _by_scan(few, index, k, exclude_self, same_asset)
+    if queries.count() <= max_broadcast:
+        partial = _by_scan(queries.toPandas(), index, k, exclude_self, same_asset)
     elif same_asset:
         keyed = non_empty(F.col("asset")).isNotNull()
         partial = _by_blocks(queries.filter(keyed), index.filter(keyed), k, exclude_self, True)
@@ -178,7 +177,13 @@ def build_index(texts: DataFrame, id_column: str, text_column: str, dims: int =
     return vectors.drop("_words", "_tf", "_unit", text_column).dropDuplicates([id_column])
 
 
-def upsert_index(index: DataFrame, fresh: DataFrame, id_column: str) -> DataFrame:
-    """The index with rows of ``fresh`` added or replaced by id."""
+def upsert_index(index: DataFrame, fresh: DataFrame, id_column: str, written: str | None = None) -> DataFrame:
+    """The index with rows of ``fresh`` added or replaced by id.
+
+    ``written`` is a column of ``fresh`` that tells the last write of an id; without
+    it ids may not repeat.
+    """
+    if written is not None:
+        fresh = fresh.groupBy(id_column).agg(F.max_by(F.struct("*"), written).alias("_last")).select("_last.*")
     kept = index.join(fresh.select(id_column), id_column, "left_anti")
     return kept.unionByName(fresh.select(*index.columns))

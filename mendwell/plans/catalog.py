@@ -117,12 +117,14 @@ def next_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def published_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next months of every supplier that at least one order was placed in."""
+    """Next months of every supplier that are published: those three months after a month of orders."""
     landed = tables.table(spark, sf_dir, "lineitem").select(
         "l_suppkey", month_start(F.col("l_shipdate")).alias("partition_date")
     )
-    due = partitions.next_partition(landed.filter(F.col("partition_date") < F.lit(date(2001, 6, 1))), TODAY, ["l_suppkey"])
-    published = tables.table(spark, sf_dir, "orders").select(month_start(F.col("o_orderdate")).alias("candidate"))
+    due = partitions.next_partition(landed, date(2002, 1, 15), ["l_suppkey"])
+    published = tables.table(spark, sf_dir, "orders").select(
+        month_start(F.add_months(F.to_date("o_orderdate"), 3)).alias("candidate")
+    )
     ready = partitions.unpublished_filter(due, published, ["candidate"])
     return ready.select("l_suppkey", partition_key(F.col("candidate")).alias("candidate"))
 
@@ -148,8 +150,7 @@ def land_new_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "landing")
     trips = tables.trips_by_pickup_month(spark, sf_dir)
     landing.land(trips.filter(F.col("year") <= 1997), root)
-    before = stored(landing.landed_partitions(spark, root), "manifest")
-    status = landing.land(trips, root, before)
+    status = landing.land(trips, root)
     landed = spark.read.parquet(root).groupBy("year", "month").agg(F.count("*").alias("stored_rows"))
     return status.join(landed, ["year", "month"], "full").select(
         long("year"), long("month"), "status", "rows", "stored_rows"
@@ -181,10 +182,11 @@ def latest_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drifting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land trips by year with the column rename applied to 1998, and read the footers back."""
+    """Land trips by year with the column rename applied to 1998 and to some files of 1996, and read the footers back."""
     root = work_dir(spark, "drift")
     trips = tables.trips_by_pickup_month(spark, sf_dir).drop("month")
-    good, bad = trips.filter(F.col("year") != 1998), trips.filter(F.col("year") == 1998)
+    renamed = (F.col("year") == 1998) | ((F.col("year") == 1996) & (F.col("PULocationID") % 2 == 1))
+    good, bad = trips.filter(~renamed), trips.filter(renamed)
     files.write_partitions(good, root, ["year"])
     files.write_partitions(faults.rename_trip_column(bad), root, ["year"])
     return footers.file_schemas(spark, root).withColumns(
@@ -540,8 +542,8 @@ def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = F.transform("embedding", lambda x: x * F.lit(2).cast("float"))
     fresh = index.filter(F.col("label") < 5).withColumn("embedding", doubled)
     updated = similarity.upsert_index(index, fresh, "vec_id")
-    first = F.col("embedding")[0].cast("double")
-    return rounded(updated.select("vec_id", long("label"), first.alias("first_value")))
+    millionths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string"))
+    return updated.select("vec_id", long("label"), F.array_join(millionths, ",").alias("millionths"))
 
 
 def _similar(spark: SparkSession, sf_dir: str, state: DataFrame, queue: DataFrame, same_asset: bool) -> DataFrame:
@@ -647,12 +649,18 @@ def decide_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _reports(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
+    decided = stored(decided, "decided")
+    state = _state(spark, sf_dir)
+    similar = context.similar_lists(_similar(spark, sf_dir, state, decided, True))
+    return diagnosis.build_reports(_context(spark, sf_dir, decided, similar), NOW)
+
+
 @query
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports written by date and read back, looked up per incident."""
+    """Reports of all incidents with their context, written by date and read back, looked up per incident."""
     root = work_dir(spark, "reports")
-    built = diagnosis.build_reports(context.context_bundle(_decided(spark, sf_dir)), NOW)
-    files.write_reports(built, root)
+    files.write_reports(_reports(spark, sf_dir, _decided(spark, sf_dir)), root)
     back = files.read_reports(spark, root)
     path = lambda p: F.get_json_object("report", f"$.{p}")
     return back.select(
@@ -661,11 +669,29 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         path("diagnosis.category").alias("category"),
         path("proposed_action.status").alias("action_status"),
         path("proposed_action.reason").alias("action_reason"),
+        path("context_summary.upstream_count").cast("bigint").alias("upstream_count"),
         path("context_summary.recent_run_count").cast("bigint").alias("recent_run_count"),
+        path("context_summary.similar_incident_count").cast("bigint").alias("similar_incident_count"),
         path("errors[0]").alias("first_error"),
     )
 
 
+@query
+def second_tick_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still undiagnosed once the reports of one tick have stamped their fixes on the incident log."""
+    opened = _captured(spark, sf_dir)
+    log = tables.changes(spark, sf_dir, opened)
+    state = stored(incidents.incident_state(opened, log), "state")
+    queue = stored(incidents.classify(incidents.diagnosis_queue(state, 10)), "queue")
+    diagnosed = diagnosis.diagnose(queue, tables.responses(queue), remediation.ALLOWLIST)
+    decided = remediation.decide_actions(stored(diagnosed, "diagnosed"), tables.flags(spark, sf_dir), _manifest(spark, sf_dir))
+    written = diagnosis.build_reports(context.context_bundle(decided), NOW)
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).scalar()
+    fixes = diagnosis.proposed_fixes(written, last + 1, F.lit(NOW).cast("timestamp_ntz"))
+    after = incidents.incident_state(opened, log.unionByName(fixes.select(*log.columns)))
+    return incidents.undiagnosed(after).select("incident_id", "created_at")
+
+
 @query
 def tick_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = _decided(spark, sf_dir).withColumn("failed", F.col("diagnosis_error").isNotNull())

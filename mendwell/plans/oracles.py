@@ -362,9 +362,8 @@ sql(
     "published_candidates",
     """
     SELECT l_suppkey, strftime(n, '%Y-%m-%d') AS candidate
-    FROM (SELECT l_suppkey, date_trunc('month', max(l_shipdate)) + INTERVAL 1 MONTH AS n FROM lineitem
-          WHERE l_shipdate < TIMESTAMP '2001-06-01' GROUP BY 1)
-    WHERE n <= TIMESTAMP '2001-09-14' AND n IN (SELECT date_trunc('month', o_orderdate) FROM orders)
+    FROM (SELECT l_suppkey, date_trunc('month', max(l_shipdate)) + INTERVAL 1 MONTH AS n FROM lineitem GROUP BY 1)
+    WHERE n <= TIMESTAMP '2002-01-14' AND n IN (SELECT date_trunc('month', o_orderdate) + INTERVAL 3 MONTH FROM orders)
     """,
 )
 sql(
@@ -409,9 +408,9 @@ sql(
 sql(
     "schema_drift",
     """
-    SELECT DISTINCT y AS year, y IN (1998, 1999) AS changed, 1::BIGINT AS n_schemas,
-           CASE y WHEN 1998 THEN 'vendor_id_renamed' WHEN 1999 THEN 'VendorID' ELSE '' END AS added,
-           CASE y WHEN 1998 THEN 'VendorID' WHEN 1999 THEN 'vendor_id_renamed' ELSE '' END AS removed
+    SELECT DISTINCT y AS year, y BETWEEN 1996 AND 1999 AS changed, CASE y WHEN 1996 THEN 2 ELSE 1 END::BIGINT AS n_schemas,
+           CASE WHEN y IN (1996, 1998) THEN 'vendor_id_renamed' WHEN y IN (1997, 1999) THEN 'VendorID' ELSE '' END AS added,
+           CASE WHEN y IN (1996, 1998) THEN 'VendorID' WHEN y IN (1997, 1999) THEN 'vendor_id_renamed' ELSE '' END AS removed
     FROM (SELECT year(l_shipdate) AS y FROM lineitem)
     """,
 )
@@ -419,7 +418,7 @@ sql(
     "dq_expected_columns",
     """
     SELECT DISTINCT year(l_shipdate) AS year, 'VendorID' AS missing_column FROM lineitem
-    WHERE year(l_shipdate) = 1998
+    WHERE year(l_shipdate) IN (1996, 1998)
     """,
 )
 sql(
@@ -643,8 +642,7 @@ sql(
     """
     SELECT 'customer_' || c_custkey AS name, 1::BIGINT AS upstream_count, count(o_orderkey) AS downstream_count,
            'model.shop.nation_' || c_nationkey AS upstream,
-           CASE WHEN count(o_orderkey) <= 1000 THEN coalesce(
-               string_agg('model.shop.order_' || o_orderkey, ',' ORDER BY 'model.shop.order_' || o_orderkey), '') END
+           coalesce(string_agg('model.shop.order_' || o_orderkey, ',' ORDER BY 'model.shop.order_' || o_orderkey), '')
                AS downstream
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey
     WHERE c_custkey IN (SELECT user_id FROM events) GROUP BY c_custkey, c_nationkey
@@ -671,7 +669,8 @@ sql(
     "upsert_vectors",
     """
     SELECT vec_id, CAST(label AS BIGINT) AS label,
-           round(CAST(embedding[1] AS DOUBLE) * CASE WHEN label < 5 THEN 2 ELSE 1 END, 8) AS first_value
+           array_to_string(list_transform(embedding, lambda x: CAST(round(
+               CAST(x AS DOUBLE) * CASE WHEN label < 5 THEN 2 ELSE 1 END * 1000000) AS BIGINT)), ',') AS millionths
     FROM embeddings
     """,
 )
@@ -793,11 +792,32 @@ sql(
 sql(
     "reports",
     """
-    SELECT incident_id, category_hint, category, action_status, action_reason, 0::BIGINT AS recent_run_count,
+    SELECT d.incident_id, category_hint, category, action_status, action_reason,
+           coalesce(p.n, 0) AS upstream_count, coalesce(r.n, 0) AS recent_run_count,
+           coalesce(s.n, 0) AS similar_incident_count,
            coalesce(diagnosis_error, CASE WHEN action_status = 'failed' THEN action_reason END) AS first_error
-    FROM decided
+    FROM decided d
+    LEFT JOIN (SELECT name, len(string_split(upstream, ',')) AS n FROM parents) p
+        ON p.name = regexp_extract(d.asset_key, '[^/.]+$')
+    LEFT JOIN (SELECT asset_key, count(*) AS n FROM recent GROUP BY 1) r ON r.asset_key = d.asset_key
+    LEFT JOIN (SELECT incident_id, least(5, count(*) OVER (PARTITION BY asset_key) - 1) AS n FROM vectors) s
+        ON s.incident_id = d.incident_id
     """,
     "decided",
+    "parents",
+    "recent",
+    "vectors",
+)
+sql(
+    "second_tick_queue",
+    """
+    SELECT incident_id, created_at FROM waiting
+    WHERE incident_id NOT IN (SELECT incident_id FROM queue JOIN diagnosed USING (incident_id)
+                              WHERE coalesce(diagnosed.proposed_fix, '') <> '')
+    """,
+    "waiting",
+    "queue",
+    "diagnosed",
 )
 sql(
     "tick_summary",
@@ -1019,7 +1039,7 @@ sql(
     """,
 )
 _PLAN = """
-    SELECT request, event_id, CASE WHEN attempt <= {last} THEN attempt END AS attempt, retryable,
+    SELECT request, event_id, attempt, retryable,
            retryable AND attempt >= {last} AS exhausted,
            CASE WHEN retryable AND attempt < {last}
                 THEN least(greatest(pow(2, attempt - 1), 2), {cap})::DOUBLE END AS wait_seconds

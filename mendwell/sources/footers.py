@@ -39,7 +39,10 @@ def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Data files below ``root``; contents are not read."""
+    """Data files below ``root``, none if there is no such folder; contents are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.createDataFrame([], "path STRING, length BIGINT")
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

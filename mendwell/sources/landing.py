@@ -29,15 +29,15 @@ def land(
 ) -> DataFrame:
     """Land ``incoming`` and report one row per partition: ``landed`` or ``skipped``.
 
-    ``landed`` is the manifest from before this call. A landed partition is left
+    ``landed`` is the manifest from before this call, by default what the folder
+    holds, so that landing the same rows again adds nothing. A landed partition is left
     alone unless ``force`` asks to replace it. The status compares with ``landed``
     alone, so it does not change with the files this call writes. ``clustered``
     input is copied without a shuffle.
     """
     counts = incoming.groupBy(*KEYS).agg(F.count("*").alias("rows"))
     if landed is None:
-        write_partitions(incoming, root, KEYS, replace=force, clustered=clustered)
-        return counts.withColumn("status", F.lit("landed"))
+        landed = landed_partitions(incoming.sparkSession, root)
     before = landed.select(*KEYS).distinct()
     if force:
         write_partitions(incoming, root, KEYS, replace=True, clustered=clustered)

@@ -95,7 +95,7 @@ def test_prompts(spark, opened):
     )
     logs = spark.createDataFrame([("r", [f"line {i}" for i in range(12)])], "run_id STRING, log_lines ARRAY<STRING>")
     lineage = spark.createDataFrame(
-        [("bronze/tlc_yellow", 0, 2, [], ["x", "y"]), ("m", 0, 5000, [], None)],
+        [("bronze/tlc_yellow", 0, 2, [], ["x", "y"]), ("m", 0, 5000, [], [f"n{i}" for i in range(5000)])],
         "asset_key STRING, upstream_count BIGINT, downstream_count BIGINT, upstream ARRAY<STRING>, downstream ARRAY<STRING>",
     )
     bundle = context.context_bundle(opened, lineage, logs=logs, similar=context.similar_lists(hits))
@@ -107,7 +107,7 @@ def test_prompts(spark, opened):
     assert ok.count("- asset=a error_type=E score=") == 3 and "score=0.63 prior_fix=fix" in ok
     assert "SIMILAR PAST INCIDENTS\n(none)" in prompts["silent"]
     assert "partition_key: \n" in prompts["silent"]
-    assert "downstream: 5000 nodes" in prompts["silent"]
+    assert prompts["silent"].count("'n") == 5000
 
 
 def test_reports(spark, diagnosed):

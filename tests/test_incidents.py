@@ -140,12 +140,13 @@ def test_lineage(spark, graph):
     assert lists == {"db/silver": expected, "db.silver": expected, "silver": expected}
 
 
-def test_long_neighbour_lists_are_counted_not_cut(spark, graph):
+def test_long_neighbour_lists_are_whole(spark, graph):
     assets = spark.createDataFrame([("hub",)], "asset_key STRING")
     found = context.lineage_neighbours(assets, *graph)
     assert found.count() == 50
-    row = context.neighbour_lists(found, inline=10).first()
-    assert (row.downstream_count, row.downstream, row.upstream) == (50, None, [])
+    row = context.neighbour_lists(found).first()
+    assert (row.downstream_count, row.upstream) == (50, [])
+    assert row.downstream == sorted(r.neighbour for r in found.collect())
 
 
 def test_recent_runs_per_asset(spark):

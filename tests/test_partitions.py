@@ -53,11 +53,14 @@ def test_fingerprint_depends_on_order_and_types(spark):
 
 def test_drift_reports_changes_once(spark):
     old, new = [("VendorID", "int"), ("fare", "double")], [("vendor", "int"), ("fare", "double")]
-    rows = files(spark, [("d", 1, "1", old), ("d", 2, "2", new), ("d", 3, "3", new), ("d", 3, "4", old), ("e", 1, "5", new)])
+    rows = files(spark, [("d", 1, "1", old), ("d", 2, "2", new), ("d", 3, "3", new), ("d", 3, "4", old), ("d", 4, "6", old), ("d", 4, "7", new), ("e", 1, "5", new)])
     found = {(r.dataset, r.month): r for r in drift.schema_drift(rows, "dataset", "month").collect()}
-    assert [found["d", m].changed for m in (1, 2, 3)] == [False, True, False]
+    assert [found["d", m].changed for m in (1, 2, 3, 4)] == [False, True, True, False]
     assert found["d", 2].added == ["vendor:int"] and found["d", 2].removed == ["VendorID:int"]
+    # Any file counts, not only the first.
     assert found["d", 3].n_schemas == 2
+    assert found["d", 3].added == ["VendorID:int"] and found["d", 3].removed == ["vendor:int"]
+    assert found["d", 4].added == found["d", 4].removed == []
     assert not found["e", 1].changed
 
 

@@ -52,8 +52,9 @@ def test_tail_of_a_hot_run(rows, plan):
 def test_retry_plan_of_a_hot_request(rows):
     plan = retries.retry_plan(rows, "key", "seq", F.lit(True), 5, 30)
     assert plan.count() == N
-    hot = plan.filter("key = 0 AND attempt IS NOT NULL").orderBy("attempt").collect()
-    assert [(r.attempt, r.seq) for r in hot] == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
+    hot = plan.filter("key = 0").orderBy("seq").collect()
+    assert [(r.attempt, r.seq) for r in hot] == [(k + 1, i) for k, i in enumerate(i for i in range(N) if i % 3)]
+    assert [r.exhausted for r in hot[:6]] == [False] * 4 + [True] * 2 and all(r.exhausted for r in hot[4:])
 
 
 def test_hot_duplicates_and_windows(rows):

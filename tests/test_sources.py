@@ -39,6 +39,8 @@ def test_landing_is_idempotent(spark, tmp_path):
     first = spark.createDataFrame([(1, 2024, 1), (2, 2024, 1)], ROWS)
     both = first.unionByName(spark.createDataFrame([(3, 2024, 2)], ROWS))
     assert [r.status for r in landing.land(first, root).collect()] == ["landed"]
+    assert [r.status for r in landing.land(first, root).collect()] == ["skipped"]
+    assert spark.read.parquet(root).count() == 2
     before = landing.landed_partitions(spark, root)
     known = spark.createDataFrame(before.collect(), before.schema)
     report = {r.month: (r.status, r.rows) for r in landing.land(both, root, known).collect()}
@@ -128,8 +130,8 @@ def test_broadcast_only_within_the_bound(spark, plan):
     big, small = spark.range(1000), spark.range(10).withColumnRenamed("id", "k")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        within = big.join(broadcast_if_small(small, 80), F.col("id") == F.col("k"))
-        beyond = big.join(broadcast_if_small(small, 79), F.col("id") == F.col("k"))
+        within = big.join(broadcast_if_small(small, 70), F.col("id") == F.col("k"))
+        beyond = big.join(broadcast_if_small(small, 69), F.col("id") == F.col("k"))
         assert "BroadcastHashJoin" in plan(within)
         assert "SortMergeJoin" in plan(beyond)
         assert within.count() == beyond.count() == 10
