@@ -93,7 +93,7 @@ def test_backoff_plan(spark):
     plan = retries.retry_plan(df, "request", "at", F.lit(True), 5, 30).orderBy("at").collect()
     assert [(r.attempt, r.wait_seconds, r.exhausted) for r in plan] == [
         (1, 2.0, False), (2, 2.0, False), (3, 4.0, False), (4, 8.0, False), (5, None, True),
-        (None, None, True), (None, None, True),
+        (6, None, True), (7, None, True),
     ]
     waits = spark.createDataFrame([(6,), (7,), (5000,)], "a INT")
     assert [r.w for r in waits.select(retries.backoff_seconds(F.col("a")).alias("w")).collect()] == [30.0, 30.0, 30.0]
