@@ -102,6 +102,12 @@ def top_failing(outcomes: DataFrame, n: int = 10) -> DataFrame:
     return failed.orderBy(F.desc("failures"), "check_name").limit(n)
 
 
+def last_hours(events: DataFrame, hours: int, ts: str = "ts") -> DataFrame:
+    """The events of the hours up to the newest one."""
+    newest = events.agg(F.max(ts).alias("_t")).scalar()
+    return events.filter(F.col(ts) > newest - F.make_dt_interval(F.lit(0), F.lit(hours)))
+
+
 def landing_totals(events: DataFrame) -> DataFrame:
     """Materializations and landed rows per asset and status."""
     return events.groupBy("asset", "status").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import bare_name, month_end, month_start, partition_key
@@ -317,13 +317,30 @@ def dq_row_count_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.empty_partitions(expected, events, ["user_id", "day"])
 
 
+def _partitions_outside(given: dict[str, DataFrame]) -> DataFrame:
+    """Months of bronze trips with a tenth more or fewer rows than the mean of the three months before."""
+    month = F.format_string("%04d-%02d", "year", "month").alias("partition_key")
+    counts = given["bronze"].groupBy("year", "month").agg(F.count("*").alias("n")).select(F.lit("trips").alias("dataset"), month, "n")
+    before = Window.partitionBy("dataset").orderBy("partition_key").rowsBetween(-3, -1)
+    expected = counts.withColumn("expected", F.avg("n").over(before))
+    return expected.filter((F.col("n") < F.col("expected") * 0.9) | (F.col("n") > F.col("expected") * 1.1))
+
+
 def _suite() -> list[quality.Check]:
     row, table = quality.RowCheck, quality.TableCheck
     avg_fare = F.col("avg_fare").isNotNull()
     return [
-        row("pickup_ts_not_null", "trips", quality.is_missing("pickup_ts"), "warn"),
-        row("dropoff_ts_not_null", "trips", quality.is_missing("dropoff_ts")),
-        row("pickup_zone_not_null", "trips", quality.is_missing("pickup_zone_id")),
+        # Staging leaves out trips without a pickup time, so nulls are looked for before it.
+        row("pickup_ts_not_null", "bronze", quality.is_missing("tpep_pickup_datetime"), "warn"),
+        row("dropoff_ts_not_null", "bronze", quality.is_missing("tpep_dropoff_datetime")),
+        row("pickup_zone_not_null", "bronze", quality.is_missing("PULocationID")),
+        row("silver_pickup_ts_not_null", "silver", quality.is_missing("pickup_ts")),
+        row("silver_pickup_zone_not_null", "silver", quality.is_missing("pickup_zone_id")),
+        row("weather_date_not_null", "weather", quality.is_missing("weather_date")),
+        row("daily_date_not_null", "daily", quality.is_missing("pickup_date")),
+        row("daily_zone_not_null", "daily", quality.is_missing("pickup_zone_id")),
+        row("daily_trip_count_not_null", "daily", quality.is_missing("trip_count")),
+        table("partition_row_count", "bronze", _partitions_outside, "warn"),
         quality.NonEmptyCheck("rowcount_positive", "trips"),
         table(
             "pickup_zone_known",
@@ -344,12 +361,24 @@ def _suite() -> list[quality.Check]:
 
 @query
 def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole suite; staged trips are written once and read by all checks."""
+    """The whole suite; tables that several checks read are written once.
+
+    Planted faults: bronze trips of every 19th zone have no pickup time, and the dimension lacks every tenth zone.
+    """
+    bronze = tables.bronze_trips(spark, sf_dir)
+    pickup = F.when(F.col("PULocationID") % 19 != 0, F.col("tpep_pickup_datetime"))
+    bronze = stored(bronze.withColumn("tpep_pickup_datetime", pickup), "bronze")
     trips = stored(stage_trips(spark, sf_dir), "staged")
     weather = medallion.stage_weather(tables.bronze_weather(spark, sf_dir))
-    daily = medallion.trips_daily_from_staging(trips, weather)
-    zones = medallion.dim_zones(tables.zone_seed(spark, sf_dir))
-    return quality.run_suite({"trips": trips, "daily": daily, "zones": zones, "weather": weather}, _suite())
+    given = {
+        "bronze": bronze,
+        "trips": trips,
+        "silver": medallion.trips_weather(trips, weather),
+        "daily": stored(medallion.trips_daily_from_staging(trips, weather), "daily"),
+        "zones": medallion.dim_zones(tables.zone_seed(spark, sf_dir)),
+        "weather": weather,
+    }
+    return quality.run_suite(given, _suite())
 
 
 # --- faults ---------------------------------------------------------------------------
@@ -846,6 +875,33 @@ def top_failing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_failing(tables.metric_events(spark, sf_dir), 10)
 
 
+@query
+def latency_p95_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p95 per source in windows of five minutes."""
+    start = F.window("ts", "5 minutes")["start"].alias("window_start")
+    events = tables.metric_events(spark, sf_dir).select("source", "seconds", start)
+    buckets = metrics.bucket_counts(events, ["source", "window_start"], "seconds")
+    return rounded(metrics.histogram_quantile(buckets, ["source", "window_start"], 0.95))
+
+
+@query
+def dq_pass_rate_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass rate of the last 24 hours of outcomes, those of the suite's runner among them."""
+    return rounded(metrics.pass_rate(metrics.last_hours(_outcomes(spark, sf_dir), 24), ["check_name"]))
+
+
+@query
+def top_failing_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.top_failing(metrics.last_hours(_outcomes(spark, sf_dir), 24), 10)
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of earlier checks and of one run of the suite, an hour after the last of them."""
+    earlier = tables.metric_events(spark, sf_dir).select("ts", "check_name", "result")
+    now = F.lit(earlier.agg(F.timestamp_add("HOUR", F.lit(1), F.max("ts"))).first()[0]).cast("timestamp_ntz")
+    return earlier.unionByName(quality.suite_events(stored(dq_summary(spark, sf_dir), "summary"), now))
+
+
 @query
 def landing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.landing_totals(tables.metric_events(spark, sf_dir))

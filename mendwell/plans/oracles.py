@@ -515,14 +515,23 @@ sql(
     WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND CAST(x.ts AS DATE) = CAST(e.d AS DATE))
     """,
 )
-sql(
-    "dq_summary",
-    """
+_SUMMARY = """
     SELECT check_name, target, severity, failures, failures = 0 AS passed FROM (
-        SELECT 'pickup_ts_not_null' AS check_name, 'trips' AS target, 'warn' AS severity,
-               count(*) FILTER (pickup_ts IS NULL) AS failures FROM trips
-        UNION ALL SELECT 'dropoff_ts_not_null', 'trips', 'error', count(*) FILTER (dropoff_ts IS NULL) FROM trips
-        UNION ALL SELECT 'pickup_zone_not_null', 'trips', 'error', count(*) FILTER (pickup_zone_id IS NULL) FROM trips
+        SELECT 'pickup_ts_not_null' AS check_name, 'bronze' AS target, 'warn' AS severity,
+               count(*) FILTER (l_suppkey % 19 = 0 OR l_shipdate IS NULL) AS failures FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL SELECT 'dropoff_ts_not_null', 'bronze', 'error', count(*) FILTER (l_shipdate IS NULL) FROM lineitem
+        UNION ALL SELECT 'pickup_zone_not_null', 'bronze', 'error', count(*) FILTER (l_suppkey IS NULL) FROM lineitem
+        UNION ALL SELECT 'partition_row_count', 'bronze', 'warn', count(*) FROM (
+            SELECT n, avg(n) OVER (ORDER BY m ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS expected FROM (
+                SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1))
+            WHERE n < expected * 0.9 OR n > expected * 1.1
+        UNION ALL SELECT 'silver_pickup_ts_not_null', 'silver', 'error', count(*) FILTER (pickup_ts IS NULL) FROM trips
+        UNION ALL SELECT 'silver_pickup_zone_not_null', 'silver', 'error', count(*) FILTER (pickup_zone_id IS NULL) FROM trips
+        UNION ALL SELECT 'weather_date_not_null', 'weather', 'error', count(*) FILTER (weather_date IS NULL) FROM weather
+        UNION ALL SELECT 'daily_date_not_null', 'daily', 'error', count(*) FILTER (pickup_date IS NULL) FROM daily
+        UNION ALL SELECT 'daily_zone_not_null', 'daily', 'error', count(*) FILTER (pickup_zone_id IS NULL) FROM daily
+        UNION ALL SELECT 'daily_trip_count_not_null', 'daily', 'error', count(*) FILTER (trip_count IS NULL) FROM daily
         UNION ALL SELECT 'rowcount_positive', 'trips', 'error', CAST(count(*) = 0 AS BIGINT) FROM trips
         UNION ALL SELECT 'pickup_zone_known', 'trips', 'warn', count(*) FROM trips
             WHERE pickup_zone_id NOT IN (SELECT zone_id FROM zones WHERE zone_id % 10 > 0)
@@ -537,10 +546,8 @@ sql(
         UNION ALL SELECT 'borough_accepted', 'zones', 'error',
             count(*) FILTER (borough NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) FROM zones
         UNION ALL SELECT 'weather_date_unique', 'weather', 'error', count(*) - count(DISTINCT weather_date) FROM weather)
-    """,
-    "daily",
-    "zones",
-)
+    """
+sql("dq_summary", _SUMMARY, "daily", "zones")
 
 # --- faults ---------------------------------------------------------------------------
 
@@ -1023,6 +1030,44 @@ sql(
     """,
     "metric",
 )
+sql(
+    "latency_p95_5m",
+    """
+    SELECT source, window_start, round(CASE WHEN le IS NULL THEN 300.0
+                                            ELSE low + (le - low) * (r - before) / (cum - before) END, 8) AS quantile
+    FROM (SELECT source, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, low, le, 0.95::DOUBLE * count(*) AS r,
+                 count(*) FILTER (le IS NULL OR seconds <= le) AS cum, count(*) FILTER (bucket > 0 AND seconds <= low) AS before
+          FROM metric CROSS JOIN (
+              SELECT unnest(range(10)) AS bucket, unnest([0, 0.5, 1, 2, 5, 10, 30, 60, 120, 300]::DOUBLE[]) AS low,
+                     unnest([0.5, 1, 2, 5, 10, 30, 60, 120, 300, NULL]::DOUBLE[]) AS le)
+          WHERE seconds IS NOT NULL GROUP BY source, window_start, bucket, low, le)
+    WHERE cum >= r AND before < r
+    """,
+    "metric",
+)
+_LAST_DAY = f"""
+    FROM (SELECT ts, check_name, result FROM metric
+          UNION ALL SELECT (SELECT max(ts) FROM metric) + INTERVAL 1 HOUR, check_name, CASE WHEN passed THEN 'pass' ELSE 'fail' END
+          FROM ({_SUMMARY}))
+    WHERE ts > (SELECT max(ts) FROM metric) - INTERVAL 23 HOUR"""
+sql(
+    "dq_pass_rate_24h",
+    f"""
+    SELECT check_name, round(count(*) FILTER (result = 'pass') / count(*)::DOUBLE, 8) AS pass_rate {_LAST_DAY} GROUP BY 1
+    """,
+    "metric",
+    "daily",
+    "zones",
+)
+sql(
+    "top_failing_24h",
+    f"""
+    SELECT check_name, count(*) AS failures {_LAST_DAY} AND result = 'fail' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10
+    """,
+    "metric",
+    "daily",
+    "zones",
+)
 sql(
     "landing_totals",
     """
