@@ -405,6 +405,22 @@ sql(
     "latest_partition",
     "SELECT year(max(l_shipdate)) AS year, month(max(l_shipdate)) AS month FROM lineitem",
 )
+_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+_DESCRIBED = " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS file_name, row_number() OVER () AS place, column_name, column_type FROM (DESCRIBE {t})" for t in _TABLES
+)
+sql(
+    "schema_fingerprint",
+    f"""
+    SELECT file_name, count(*) AS n_columns, left(sha256(string_agg(column_name || ':' || CASE column_type
+               WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+               WHEN 'TIMESTAMP' THEN 'timestamp[us]' WHEN 'FLOAT[]' THEN 'list<element: float>' END, ',' ORDER BY place)), 16)
+               AS schema_fingerprint
+    FROM ({_DESCRIBED}) GROUP BY 1
+    """,
+)
 sql(
     "schema_drift",
     """
