@@ -30,6 +30,7 @@ LATE_MESSAGES = ["late_partition", "not yet published", "404"]
 LATE_TYPES = ["NotFound"]
 SCHEMA_MESSAGES = ["schema", "vendor_id", "temperature_2m", "column", "type", "did not match"]
 SCHEMA_TYPES = ["ValidationError", "SchemaError"]
+LATE_FLAG = "late_partition"
 
 # Reasons for skipping and descriptions of what was planned.
 NOT_AUTOMATIC = "diagnosis.can_auto_remediate=false"
@@ -193,7 +194,11 @@ def with_plans(df: DataFrame, fix: str, runs: str, flags: DataFrame, manifest: D
     )
     target = F.when(f == SLIP, F.col("slipped_partition")).otherwise(F.col("partition_key"))
     next_run = F.struct(
-        F.col("asset_key").alias("asset_key"), target.alias("partition_key"), _tags(f, tag).alias("run_tags")
+        F.col("asset_key").alias("asset_key"),
+        target.alias("partition_key"),
+        _tags(f, tag).alias("run_tags"),
+        # A quarantined partition is landed already and has to be replaced.
+        (f == COERCE).alias("force"),
     )
     undo = F.map_filter(
         F.create_map(
@@ -292,6 +297,31 @@ def decide_approvals(
     )
 
 
+def flags_after(flags: DataFrame, done: DataFrame) -> DataFrame:
+    """The flags that stay raised: carried-out retries clear theirs, any carried-out slip the one of late partitions.
+
+    ``done`` has ``action, success, cleared_flag``.
+    """
+    slipped = F.when(F.col("success") & (F.col("action") == SLIP), LATE_FLAG)
+    gone = done.select(F.explode(F.array("cleared_flag", slipped)).alias("flag")).dropna().distinct()
+    return flags.join(gone, "flag", "left_anti")
+
+
+def approved_fixes(decided: DataFrame, seq: Column, at: Column) -> DataFrame:
+    """State changes that stamp the action of each applied approval on its incident."""
+    applied = decided.filter(F.col("status") == "applied")
+    return applied.select(
+        "incident_id", seq.alias("seq"), F.lit("fix").alias("kind"), at.alias("changed_at"), F.col("action").alias("proposed_fix")
+    )
+
+
+def forced_partitions(runs: DataFrame) -> DataFrame:
+    """Distinct ``(year, month)`` that planned runs have to replace."""
+    month = F.to_date("partition_key")
+    forced = runs.filter(F.col("force") & month.isNotNull())
+    return forced.select(F.year(month).alias("year"), F.month(month).alias("month")).distinct()
+
+
 def pending_runs(plans: DataFrame, completed: DataFrame) -> DataFrame:
     """Planned runs that have not completed, for whatever launches them."""
     due = plans.filter(F.col("next_run").isNotNull()).select("incident_id", "next_run.*")

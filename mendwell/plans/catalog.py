@@ -721,6 +721,14 @@ def second_tick_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.undiagnosed(after).select("incident_id", "created_at")
 
 
+@query
+def flags_after_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flags, and whether they are still raised after all decided actions."""
+    before = tables.flags(spark, sf_dir)
+    after = remediation.flags_after(before, _decided(spark, sf_dir)).withColumn("raised", F.lit(True))
+    return before.join(after, "flag", "left").select("flag", F.coalesce("raised", F.lit(False)).alias("raised"))
+
+
 @query
 def tick_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = _decided(spark, sf_dir).withColumn("failed", F.col("diagnosis_error").isNotNull())
@@ -736,6 +744,32 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("approval_id", "action", "status", "detail")
 
 
+@query
+def approved_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes of incidents whose approval was applied, as the incident log has them afterwards."""
+    opened = _captured(spark, sf_dir)
+    decided = remediation.decide_approvals(
+        tables.approvals(spark, sf_dir, opened), opened, tables.flags(spark, sf_dir), _manifest(spark, sf_dir)
+    )
+    log = tables.changes(spark, sf_dir, opened)
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).scalar()
+    stamped = stored(remediation.approved_fixes(decided, last + 1, F.lit(NOW).cast("timestamp_ntz")), "stamped")
+    after = incidents.incident_state(opened, log.unionByName(stamped.select(*log.columns)))
+    return after.join(stamped.select("incident_id"), "incident_id", "left_semi").select("incident_id", "proposed_fix")
+
+
+@query
+def forced_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips landed twice: the second time only the months of quarantined partitions are replaced."""
+    root = work_dir(spark, "forced")
+    trips = tables.trips_by_pickup_month(spark, sf_dir)
+    landing.land(trips, root)
+    runs = _plan(spark, sf_dir, remediation.COERCE).filter("success").select("next_run.*")
+    status = landing.land(trips, root, forced=stored(remediation.forced_partitions(runs), "forced-months"))
+    kept = spark.read.parquet(root).groupBy("year", "month").agg(F.count("*").alias("stored_rows"))
+    return status.join(kept, ["year", "month"], "full").select(long("year"), long("month"), "status", "rows", "stored_rows")
+
+
 def _plan(spark: SparkSession, sf_dir: str, action: str) -> DataFrame:
     opened = _captured(spark, sf_dir)
     return remediation.plan(opened, action, tables.flags(spark, sf_dir), _manifest(spark, sf_dir))

@@ -886,6 +886,34 @@ sql(
     "guards",
     "flags",
 )
+sql(
+    "flags_after_actions",
+    """
+    SELECT flag, flag NOT IN (SELECT cleared_flag FROM decided WHERE cleared_flag IS NOT NULL)
+           AND NOT (flag = 'late_partition' AND EXISTS (SELECT 1 FROM decided WHERE action_status = 'executed'
+                                                                                AND action = 'partition-window-slip')) AS raised
+    FROM flags
+    """,
+    "decided",
+)
+sql(
+    "approved_fixes",
+    f"""
+    SELECT c.incident_id, a.action AS proposed_fix
+    FROM ({ORACLES["approvals"]}) a JOIN captured c ON c.run_id = a.approval_id WHERE a.status = 'applied'
+    """,
+    "captured",
+)
+sql(
+    "forced_reingest",
+    """
+    SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, count(*) AS rows, count(*) AS stored_rows,
+           CASE WHEN strftime(l_shipdate, '%Y-%m-01') IN (SELECT partition_key FROM guards WHERE coerce_ok AND target IS NOT NULL)
+                THEN 'landed' ELSE 'skipped' END AS status
+    FROM lineitem GROUP BY 1, 2, 5
+    """,
+    "guards",
+)
 sql(
     "plan_retry",
     """

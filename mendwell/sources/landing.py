@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.session import broadcast_if_small
-from mendwell.sources.files import write_partitions
+from mendwell.session import broadcast_if_small, work_dir
+from mendwell.sources.files import write_partitions, write_table
 from mendwell.sources.footers import list_files, path_part
 
 KEYS = ["year", "month"]
@@ -25,25 +25,34 @@ def split_incoming(incoming: DataFrame, landed: DataFrame) -> tuple[DataFrame, D
 
 
 def land(
-    incoming: DataFrame, root: str, landed: DataFrame | None = None, force: bool = False, clustered: bool = False
+    incoming: DataFrame,
+    root: str,
+    landed: DataFrame | None = None,
+    force: bool = False,
+    clustered: bool = False,
+    forced: DataFrame | None = None,
 ) -> DataFrame:
     """Land ``incoming`` and report one row per partition: ``landed`` or ``skipped``.
 
     ``landed`` is the manifest from before this call, by default what the folder
     holds, so that landing the same rows again adds nothing. A landed partition is left
-    alone unless ``force`` asks to replace it. The status compares with ``landed``
+    alone unless ``force`` asks to replace it, or ``forced`` (year, month) names it. The status compares with ``landed``
     alone, so it does not change with the files this call writes. ``clustered``
     input is copied without a shuffle.
     """
     counts = incoming.groupBy(*KEYS).agg(F.count("*").alias("rows"))
     if landed is None:
-        landed = landed_partitions(incoming.sparkSession, root)
+        # Taken down before anything is written: replaced files can't be listed any more.
+        spark = incoming.sparkSession
+        landed = write_table(landed_partitions(spark, root), work_dir(spark, "landed"))
     before = landed.select(*KEYS).distinct()
     if force:
         write_partitions(incoming, root, KEYS, replace=True, clustered=clustered)
         return counts.withColumn("status", F.lit("landed"))
+    if forced is not None:
+        before = before.join(forced.select(*KEYS), KEYS, "left_anti")
     fresh, _ = split_incoming(incoming, before)
-    write_partitions(fresh, root, KEYS, clustered=clustered)
+    write_partitions(fresh, root, KEYS, replace=forced is not None, clustered=clustered)
     known = before.withColumn("known", F.lit(True))
     status = F.when(F.col("known"), "skipped").otherwise("landed")
     return counts.join(known, KEYS, "left").select(*KEYS, "rows", status.alias("status"))

@@ -48,6 +48,16 @@ def test_landing_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(root).count() == 3
 
 
+def test_named_partitions_are_replaced(spark, tmp_path):
+    root = str(tmp_path / "bronze")
+    landing.land(spark.createDataFrame([(1, 2024, 1), (2, 2024, 2)], ROWS), root)
+    again = spark.createDataFrame([(9, 2024, 1), (8, 2024, 2), (7, 2024, 3)], ROWS)
+    named = spark.createDataFrame([(2024, 2)], "year INT, month INT")
+    report = {r.month: r.status for r in landing.land(again, root, forced=named).collect()}
+    assert report == {1: "skipped", 2: "landed", 3: "landed"}
+    assert sorted(r.id for r in spark.read.parquet(root).collect()) == [1, 7, 8]
+
+
 def test_forced_landing_replaces_only_its_partitions(spark, tmp_path):
     root = str(tmp_path / "bronze")
     landing.land(spark.createDataFrame([(1, 2024, 1), (2, 2024, 2)], ROWS), root)
