@@ -100,6 +100,7 @@ def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
+    # The error texts.
     error = (
         F.when(F.col(text).isNull(), "no response")
         .when(~F.col("_json"), "model returned non-JSON")
@@ -131,6 +132,7 @@ def diagnose(incidents: DataFrame, responses: DataFrame, allowlist: list[str], t
     known = normalise(parsed, allowlist)
     fallback = {
         "category": F.coalesce("category_hint", F.lit("unknown")),
+        # Fixed value: the prefix of a failure.
         "root_cause": F.concat(F.lit("agent diagnose failed: "), F.col("error")),
         "proposed_fix": F.lit(FALLBACK_FIX),
         "confidence": F.lit(0.0),

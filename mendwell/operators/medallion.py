@@ -45,6 +45,7 @@ def stage_trips(bronze: DataFrame) -> DataFrame:
 
 
 def stage_weather(bronze: DataFrame) -> DataFrame:
+    # Source and staged column names.
     renames = {
         "temperature_2m_max": "temp_max_c",
         "temperature_2m_min": "temp_min_c",

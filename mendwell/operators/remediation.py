@@ -14,6 +14,7 @@ from mendwell.functions.scalars import (
 )
 from mendwell.session import broadcast_if_small
 
+# Names of the actions.
 RETRY, SLIP, COERCE = "retry-with-backoff", "partition-window-slip", "coerce-to-string"
 ALLOWLIST = [COERCE, SLIP, RETRY]
 
@@ -176,6 +177,7 @@ def with_plans(df: DataFrame, fix: str, runs: str, flags: DataFrame, manifest: D
             "quarantine_key": F.when(does & (f == COERCE), quarantine_path(F.col("bronze_path"))),
         }
     )
+    # Fixed value: the error text.
     unparsed = does & (f == SLIP) & F.col("slipped_partition").isNull()
     error = F.when(unparsed, F.concat(F.lit("unparseable partition_key: '"), F.col("partition_key"), F.lit("'")))
     success = F.when(does & error.isNull(), (f != COERCE) | F.col("quarantine_key").isNotNull())
@@ -274,6 +276,7 @@ def decide_approvals(
         .when(~F.col("_runs") | F.col("action_error").isNotNull(), "guard_failed")
         .otherwise("applied")
     )
+    # The texts of the outcomes.
     detail = (
         F.when(status == "not_found", F.format_string("no incident '%s'", "incident_id"))
         .when(

@@ -58,13 +58,13 @@ CTES = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         WHERE year(l_shipdate) = year(o_orderdate) AND month(l_shipdate) = month(o_orderdate)""",
     "daily": """
-        SELECT CAST(pickup_ts AS DATE) AS pickup_date, pickup_zone_id, count(*) AS trip_count,
-               CAST(sum(passenger_count) AS BIGINT) AS passengers, avg(trip_distance) AS avg_distance,
-               avg(total_amount) AS avg_fare, avg(CASE WHEN tip_amount > 0 THEN 1.0 ELSE 0.0 END) AS tip_rate,
-               max(temp_max_c) AS temp_max_c, max(temp_min_c) AS temp_min_c,
-               max(precipitation_mm) AS precipitation_mm, max(snowfall_cm) AS snowfall_cm
-        FROM trips LEFT JOIN weather ON CAST(pickup_ts AS DATE) = weather_date
-        GROUP BY 1, 2""",
+        SELECT t.*, temp_max_c, temp_min_c, precipitation_mm, snowfall_cm
+        FROM (SELECT CAST(pickup_ts AS DATE) AS pickup_date, pickup_zone_id, count(*) AS trip_count,
+                     CAST(sum(passenger_count) AS BIGINT) AS passengers, sum(trip_distance) / count(trip_distance) AS avg_distance,
+                     sum(total_amount) / count(total_amount) AS avg_fare,
+                     count(*) FILTER (tip_amount > 0) / count(*)::DOUBLE AS tip_rate
+              FROM trips GROUP BY 1, 2) t
+        LEFT JOIN weather ON weather_date = pickup_date""",
     "zones": """
         SELECT CAST(s_suppkey AS INTEGER) AS zone_id, r_name AS borough, s_name AS zone_name, n_name AS service_zone
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",

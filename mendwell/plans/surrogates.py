@@ -149,7 +149,7 @@ def _asset(k: Column) -> Column:
     )
 
 
-# Error type and message of an ``error`` event by k % 13.
+# Error type and message of an ``error`` event by k % 13. The words that guards and rules look for.
 ERRORS = [
     ("ChaosTriggered", "chaos:tlc_5xx upstream 5xx"),
     ("ChaosTriggered", "chaos:weather_429 rate limit"),
