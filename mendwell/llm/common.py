@@ -30,14 +30,24 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, so that no later job computes it again.
 
-    A lost executor costs nothing that was written.
+    A lost executor costs nothing that was written. ``batch`` is how many rows at a time go to Python
+    while it is computed; whole texts go in short batches to bound the memory of a task.
     """
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    before = spark.conf.get(BATCH)
+    if batch:
+        spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def as_uri(folder: str) -> str:

@@ -102,4 +102,4 @@ def quantiles(curve: DataFrame, shares: list[float]) -> DataFrame:
 
 def length_curve(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """The limit curve of a table of texts. The histogram is written once, as the curve reads it twice."""
-    return limit_curve(stored(histogram(encoded_lengths(docs, tokenizer, text_col)), "lengths"))
+    return limit_curve(stored(histogram(encoded_lengths(docs, tokenizer, text_col)), "lengths", batch=1000))

@@ -178,7 +178,7 @@ def labelled(
     1.5e-5 at 0.8 and 7e-8 at 0.85 with the defaults. The minima of a class take 560 bytes; no group is
     gathered whole.
     """
-    sketch = stored(sketches(docs, id_col, text_col, width, bands, rows), "sketch")
+    sketch = stored(sketches(docs, id_col, text_col, width, bands, rows), "sketch", batch=1000)
     worded = sketch.filter(F.col("digest").isNotNull())
     banded = worded.select("digest", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("_top")).filter("hub <> _top").drop("_top")
@@ -191,10 +191,10 @@ def labelled(
     wanted = stored(wanted.join(holder, "digest"), "wanted")
     source = docs.select(F.col(id_col).cast("long").alias("_holder"), F.col(text_col).alias("text"))
     found = source.join(broadcast_if_small(wanted), "_holder").select("digest", "text")
-    texts = stored(found.mapInArrow(_of_digest(width), "digest binary, text string").dropDuplicates(["digest"]), "texts")
+    texts = stored(found.mapInArrow(_of_digest(width), "digest binary, text string").dropDuplicates(["digest"]), "texts", batch=1000)
 
     first = members.groupBy(F.col("digest").alias("u")).agg(F.min("hub").alias("v"))
-    links = stored(confirmed(first, texts, width, percent), "links")
+    links = stored(confirmed(first, texts, width, percent), "links", batch=1000)
     roots = components(links)
 
     def rooted(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -203,7 +203,7 @@ def labelled(
 
     pairs = members.select(F.col("digest").alias("u"), F.col("hub").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     apart = rooted(rooted(pairs, "u", "_ur"), "v", "_vr").filter("_ur <> _vr").select("u", "v")
-    more = stored(confirmed(apart, texts, width, percent), "links")
+    more = stored(confirmed(apart, texts, width, percent), "links", batch=1000)
     if not more.isEmpty():
         links = links.unionAll(more)
         roots = components(links)

@@ -49,7 +49,7 @@ class Encoder:
     The ids of a word come from the vocabulary's merges, all other cuts take its whole way.
     """
 
-    def __init__(self, path: str, max_known: int = 600_000):
+    def __init__(self, path: str, max_known: int = 300_000):
         self.path, self.max_known = path, max_known
         self.tokenizer = None
         self.known, self.heads, self.ends = {}, {}, {}
@@ -92,7 +92,7 @@ class Encoder:
         found = self.heads.get(cut)
         if found is None:
             found = self._cut(cut, "") if cut else b""
-            if len(self.heads) < self.max_known:
+            if len(self.heads) < self.max_known // 4:
                 self.heads[cut] = found
         return found
 
@@ -199,7 +199,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int32() if c == "width" else pa.int64()) for c in ("width", "n_docs", "n_null", "n_tokens", "first_id", "last_id"))])
-    parts = stored(dealt.mapInArrow(write, MANIFEST), "manifest")
+    parts = stored(dealt.mapInArrow(write, MANIFEST), "manifest", batch=1000)
     # One row for each part: the sum runs over parts, not documents.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -96,7 +96,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0
 class Scorer:
     """Sentence and document scores; a worker keeps what it knows of up to ``max_known`` words."""
 
-    def __init__(self, weights: bytes, bias: float, max_known: int = 500_000):
+    def __init__(self, weights: bytes, bias: float, max_known: int = 250_000):
         self.weights, self.bias, self.max_known = weights, bias, max_known
         self.table, self.known = np.frombuffer(weights, "<f4"), {}
 
