@@ -22,6 +22,7 @@ from mendwell.session import is_small
 
 WINDOW = 5
 CONTAINED = 0.8
+CLOSERS = "\"')]}»”’"
 EDGES = ".,;:!?\"'()[]{}«»“”‘’"
 # Units that stand alone or behind a number: fixed values.
 UNITS = frozenset(
@@ -38,57 +39,81 @@ HITS = "doc_id long, _row long, at int, hash long, slots array<string>"
 
 
 class Words:
-    """What a word is in a template. A worker keeps what it knows of up to ``max_known`` words."""
+    """What words are in a template. A worker keeps what it knows of up to ``max_known`` words in tables."""
 
-    def __init__(self, max_known: int = 300_000):
-        self.max_known, self.known = max_known, {}
+    def __init__(self, max_known: int = 200_000):
+        self.max_known, self.known, self.factors = max_known, {}, {}
+        self.plain, self.shape = np.zeros(max_known, np.uint64), np.zeros(max_known, np.uint64)
+        self.kind, self.ends = np.zeros(max_known, np.int8), np.zeros(max_known, bool)
 
     def __reduce__(self):
         return type(self), (self.max_known,)
 
-    def of(self, raw: str) -> tuple[int, int, int, bool]:
+    @staticmethod
+    def of(raw: str) -> tuple[int, int, int, bool]:
         """Hash of the word, hash of its placeholder or of the word, kind (0 word, 1 placeholder, 2 name unless a sentence begins), whether a sentence ends."""
-        found = self.known.get(raw)
-        if found is not None:
-            return found
         import xxhash
 
         core = raw.strip(EDGES)
-        plain = core.lower()
-        number, kind, shape = NUMBER.fullmatch(core), 0, plain
-        if number and (not number[3] or number[3].lower() in UNITS):
-            kind, shape = 1, "\0number" + ("\0unit" if number[1] or number[2] or number[3] else "")
+        plain, first = core.lower(), core[:1]
+        own, kind, shape = xxhash.xxh3_64_intdigest(plain), 0, None
+        if first.isupper() and NAME.fullmatch(core):
+            kind, shape = 2, "\0name"
         elif plain in UNITS and len(plain) > 1:
             kind, shape = 1, "\0unit"
-        elif NAME.fullmatch(core):
-            kind, shape = 2, "\0name"
-        found = (xxhash.xxh3_64_intdigest(plain), xxhash.xxh3_64_intdigest(shape), kind, raw.rstrip("\"')]}»”’")[-1:] in (".", "!", "?"))
-        if len(self.known) < self.max_known:
-            self.known[raw] = found
-        return found
+        elif first and not first.isalpha() and (number := NUMBER.fullmatch(core)) and (not number[3] or number[3].lower() in UNITS):
+            kind, shape = 1, "\0number" + ("\0unit" if number[1] or number[2] or number[3] else "")
+        ends = raw[-1] in ".!?" or (raw[-1] in CLOSERS and raw.rstrip(CLOSERS)[-1:] in (".", "!", "?"))
+        return own, own if shape is None else xxhash.xxh3_64_intdigest(shape), kind, ends
+
+    def tables(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The four values of each word."""
+        at, others = list(map(self.known.get, raw)), {}
+        if None in at:
+            for k in [k for k, n in enumerate(at) if n is None]:
+                n, found = self.known.get(raw[k]), None
+                if n is None:
+                    n, found = len(self.known), self.of(raw[k])
+                    if n < self.max_known:
+                        self.known[raw[k]] = n
+                        self.plain[n], self.shape[n], self.kind[n], self.ends[n] = found
+                    else:
+                        n, others[k] = 0, found
+                at[k] = n
+        places = np.array(at, np.int64)
+        out = self.plain[places], self.shape[places], self.kind[places], self.ends[places]
+        for k, found in others.items():
+            for values, value in zip(out, found, strict=True):
+                values[k] = value
+        return out
 
     def windows(self, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Hashes of the template and plain windows, the places of slots, and the words. A shorter text is one window."""
         raw = (text or "").split()
         if not raw:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), raw
-        plain, shape, kind, ends = zip(*map(self.of, raw), strict=True)
-        plain, shape = np.array(plain, np.uint64), np.array(shape, np.uint64)
-        kind, ends = np.array(kind, np.int8), np.array(ends)
+        plain, shape, kind, ends = self.tables(raw)
         begins = np.concatenate([[True], ends[:-1]])
         slot = (kind == 1) | ((kind == 2) & ~begins)
         shape = np.where(slot, shape, plain)
         size = min(width, len(raw))
-        odd = np.random.default_rng(1000 + size).integers(0, 2**63, size, np.uint64) * np.uint64(2) + np.uint64(1)
+        if size not in self.factors:
+            drawn = np.random.default_rng(1000 + size).integers(0, 2**63, size, np.uint64)
+            self.factors[size] = drawn * np.uint64(2) + np.uint64(1)
+        hashed = _rolled(shape, self.factors[size])
+        # Most texts have no slots, and their plain windows are their templates.
+        return hashed, _rolled(plain, self.factors[size]) if slot.any() else hashed, slot, raw
 
-        def rolled(values: np.ndarray) -> np.ndarray:
-            held = np.zeros(len(values) - size + 1, np.uint64)
-            for k in range(size):
-                held = (held ^ values[k : k + len(held)]) * odd[k]
-                held ^= held >> np.uint64(31)
-            return held
 
-        return rolled(shape), rolled(plain), slot, raw
+def _rolled(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of as many values as there are factors."""
+    n = len(values) - len(factors) + 1
+    held = np.zeros(n, np.uint64)
+    for k, odd in enumerate(factors):
+        held ^= values[k : k + n]
+        held *= odd
+        held ^= held >> np.uint64(31)
+    return held
 
 
 def _slots(slot: np.ndarray, raw: list[str], at: int, size: int) -> list[str | None]:
@@ -102,6 +127,8 @@ def _rows(words: Words, text: str | None, width: int, wanted=None) -> Iterator[t
     size = min(width, len(raw))
     for hashes, templates in ((shape, True), (plain, False)):
         # A plain window equal to its template is listed once.
+        if not templates and plain is shape:
+            continue
         mask = np.ones(len(hashes), bool) if templates else plain != shape
         if wanted is not None:
             mask &= wanted(hashes)
@@ -113,7 +140,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> Da
     """``item_id, item_at, hash, item_slots, n_windows`` of the benchmark; null and blank items have none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(20_000)
         for batch in batches:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = list(_rows(words, text, width))
@@ -198,7 +225,7 @@ def contaminations(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("text"))
     found = document_windows(rows, width, window_filter(windows))
     met = found.join(F.broadcast(windows) if is_small(windows) else windows, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    met = stored(met.select("doc_id", "_row", "item_id", "shift", "item_at", "n_windows", "item_slots", "slots").distinct(), "met-windows")
+    met = stored(met.select("doc_id", "_row", "item_id", "shift", "item_at", "n_windows", "item_slots", "slots").distinct(), "met-windows", batch=1000)
 
     key = ["doc_id", "_row", "item_id", "shift"]
     pairs = met.select(*key, "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("_k", "_pair"))
