@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders. Windows of the templates, and of the plain
 words, are joined by hash between items and documents. Where a placeholder stands, the
 values on both sides are kept: within one alignment a value of the item must stand for one
-value of the document. A document that holds most windows of an item, as it is or with other
+value of the document. A capitalised word that opens a sentence may be a name or not, so its windows
+are listed with it as a name and as a word. A document that holds most windows of an item, as it is or with other
 numbers, names or units, is contaminated.
 """
 
@@ -35,7 +36,10 @@ NUMBER = re.compile(r"([$€£¥]?)[+-]?\d+(?:[.,:/]\d+)*(%?)([^\W\d_]*)")
 NAME = re.compile(r"[A-Z][a-zà-öø-ÿ]+(?:['’-][A-Za-zà-öø-ÿ]+)*")
 # Bits of the filter for each window of the items, and how many windows, of 8 bytes, are sent to every task at most.
 BITS, MOST_SENT = 32, 1_000_000
-HITS = "doc_id long, _row long, at int, hash long, slots array<string>"
+HITS = "doc_id long, _row long, at int, hash long, slots array<string>, opens array<boolean>"
+# Windows at a time for which the readings of their openers are hashed.
+READ_AT_ONCE = 100_000
+NO_READINGS = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
 
 class Words:
@@ -87,22 +91,28 @@ class Words:
                 values[k] = value
         return out
 
-    def windows(self, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Hashes of the template and plain windows, the places of slots, and the words. A shorter text is one window."""
+    def windows(self, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list, list[str]]:
+        """Hashes of the template and plain windows, the places of slots and of openers, the readings of openers, and the words.
+
+        In the templates openers, capitalised words that begin a sentence, are words; ``_readings`` has the windows with
+        openers as names. A shorter text is one window.
+        """
         raw = (text or "").split()
         if not raw:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), raw
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), NO_READINGS, raw
         plain, shape, kind, ends = self.tables(raw)
         begins = np.concatenate([[True], ends[:-1]])
+        opens = (kind == 2) & begins
         slot = (kind == 1) | ((kind == 2) & ~begins)
-        shape = np.where(slot, shape, plain)
+        named, shape = shape, np.where(slot, shape, plain)
         size = min(width, len(raw))
         if size not in self.factors:
             drawn = np.random.default_rng(1000 + size).integers(0, 2**63, size, np.uint64)
             self.factors[size] = drawn * np.uint64(2) + np.uint64(1)
         hashed = _rolled(shape, self.factors[size])
+        readings = _readings(shape, named, opens, self.factors[size]) if opens.any() else NO_READINGS
         # Most texts have no slots, and their plain windows are their templates.
-        return hashed, _rolled(plain, self.factors[size]) if slot.any() else hashed, slot, raw
+        return hashed, _rolled(plain, self.factors[size]) if slot.any() else hashed, slot, opens, readings, raw
 
 
 def _rolled(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -116,14 +126,40 @@ def _rolled(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return held
 
 
+def _readings(shape: np.ndarray, named: np.ndarray, opens: np.ndarray, factors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``at, hash, chosen`` of the windows with openers, for every choice of openers that are names: bit k is the window's k-th opener.
+
+    ``named`` has the words with all openers as names. Few windows have more than one opener.
+    """
+    size = len(factors)
+    before = np.concatenate([[0], np.cumsum(opens)])
+    n_opens = before[size:] - before[:-size]
+    at = np.flatnonzero(n_opens)
+    yield at, _rolled(np.where(opens, named, shape), factors)[at], (1 << n_opens[at]) - 1
+    for n in range(2, n_opens.max() + 1):
+        several, some = np.flatnonzero(n_opens == n), np.arange(1, (1 << n) - 1)
+        step = max(1, READ_AT_ONCE // len(some))
+        for k in range(0, len(several), step):
+            at, chosen = np.repeat(several[k : k + step], len(some)), np.tile(some, len(several[k : k + step]))
+            places = at + np.arange(size)[:, None]
+            names = opens[places] & ((chosen >> (before[places] - before[at])) & 1).astype(bool)
+            held = np.zeros(len(at), np.uint64)
+            for values, odd in zip(np.where(names, named[places], shape[places]), factors, strict=True):
+                held ^= values
+                held *= odd
+                held ^= held >> np.uint64(31)
+            yield at, held, chosen
+
+
 def _slots(slot: np.ndarray, raw: list[str], at: int, size: int) -> list[str | None]:
     """For each place of a window the value of its slot."""
     return [raw[k].strip(EDGES).lower() if slot[k] else None for k in range(at, at + size)]
 
 
-def _rows(words: Words, text: str | None, width: int, wanted=None) -> Iterator[tuple[int, int, list[str | None]]]:
-    """``at, hash, slots`` of the template windows, and of plain windows that differ from them (whose slots are words and so empty)."""
-    shape, plain, slot, raw = words.windows(text, width)
+def _rows(words: Words, text: str | None, width: int, wanted=None) -> Iterator[tuple[int, int, list[str | None], list[bool]]]:
+    """``at, hash, slots, opens`` of the template windows, with every reading of openers, and of plain windows that differ
+    from them (whose slots are words and so empty). ``opens`` tells which slots are openers."""
+    shape, plain, slot, opens, readings, raw = words.windows(text, width)
     size = min(width, len(raw))
     for hashes, templates in ((shape, True), (plain, False)):
         # A plain window equal to its template is listed once.
@@ -133,24 +169,34 @@ def _rows(words: Words, text: str | None, width: int, wanted=None) -> Iterator[t
         if wanted is not None:
             mask &= wanted(hashes)
         for at in np.flatnonzero(mask).tolist():
-            yield at, int(hashes[at].view(np.int64)), _slots(slot, raw, at, size) if templates else [None] * size
+            yield at, int(hashes[at].view(np.int64)), _slots(slot, raw, at, size) if templates else [None] * size, [False] * size
+    for places, hashes, chosen in readings:
+        for k in (np.arange(len(hashes)) if wanted is None else np.flatnonzero(wanted(hashes))).tolist():
+            at = int(places[k])
+            names = np.flatnonzero(opens[at : at + size])
+            opened = np.zeros(size, bool)
+            opened[names[(int(chosen[k]) >> np.arange(len(names))) & 1 == 1]] = True
+            taken = slot[at : at + size] | opened
+            yield at, int(hashes[k].view(np.int64)), _slots(taken, raw[at : at + size], 0, size), opened.tolist()
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``item_id, item_at, hash, item_slots, n_windows`` of the benchmark; null and blank items have none."""
+    """``item_id, item_at, hash, item_slots, item_opens, n_windows`` of the benchmark; null and blank items have none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(20_000)
         for batch in batches:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = list(_rows(words, text, width))
-                n = len({at for at, _, _ in found})
-                rows = [{"item_id": item, "item_at": at, "hash": h, "item_slots": slots, "n_windows": n} for at, h, slots in found]
+                n = len({at for at, *_ in found})
+                rows = [{"item_id": item, "item_at": at, "hash": h, "item_slots": slots, "item_opens": opens, "n_windows": n} for at, h, slots, opens in found]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("item_id", pa.int64()), ("item_at", pa.int32()), ("hash", pa.int64()), ("item_slots", pa.list_(pa.string())), ("n_windows", pa.int32())])
+    schema = pa.schema(
+        [("item_id", pa.int64()), ("item_at", pa.int32()), ("hash", pa.int64()), ("item_slots", pa.list_(pa.string())), ("item_opens", pa.list_(pa.bool_())), ("n_windows", pa.int32())]
+    )
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).dropDuplicates()
-    return rows.mapInArrow(cut, "item_id long, item_at int, hash long, item_slots array<string>, n_windows int")
+    return rows.mapInArrow(cut, "item_id long, item_at int, hash long, item_slots array<string>, item_opens array<boolean>, n_windows int")
 
 
 class Wanted:
@@ -186,18 +232,18 @@ def window_filter(windows: DataFrame, most: int = MOST_SENT) -> Wanted | None:
 
 
 def document_windows(docs: DataFrame, width: int, wanted: Wanted | None) -> DataFrame:
-    """Windows of documents that an item has: ``doc_id, _row, at, hash, slots``. Nothing else of a text is passed on."""
+    """Windows of documents that an item has: ``doc_id, _row, at, hash, slots, opens``. Nothing else of a text is passed on."""
     spark = docs.sparkSession
     held, shared = spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(Words())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist(), batch.column("text"), strict=True):
-                found = [{"doc_id": doc, "_row": row, "at": at, "hash": h, "slots": slots} for at, h, slots in _rows(shared.value, text.as_py(), width, held.value)]
+                found = [{"doc_id": doc, "_row": row, "at": at, "hash": h, "slots": slots, "opens": opens} for at, h, slots, opens in _rows(shared.value, text.as_py(), width, held.value)]
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("opens", pa.list_(pa.bool_()))])
     return docs.mapInArrow(cut, HITS)
 
 
@@ -216,7 +262,8 @@ def contaminations(
     Words are compared without case and the punctuation around them. ``contained`` is the share
     of the item's ``width``-word windows found, at least the parameter of that name; ``n_changed`` counts
     slots whose values differ. A window counts unless, in its alignment, a
-    value of one of its slots stands for several values of the document. A text shorter than a window is one
+    value of one of its slots stands for several values of the document. A word that opens a sentence on both sides
+    may be no name: it decides what a value stands for only where no other slot does. A text shorter than a window is one
     window, so a short item is found only in a document that is nothing else. Null and blank texts hold
     and are nothing. Rows that share an id are told apart while they are matched and reported once, with their
     best match. Documents without id are reported with null; other columns are ignored.
@@ -225,12 +272,21 @@ def contaminations(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("text"))
     found = document_windows(rows, width, window_filter(windows))
     met = found.join(F.broadcast(windows) if is_small(windows) else windows, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    met = stored(met.select("doc_id", "_row", "item_id", "shift", "item_at", "n_windows", "item_slots", "slots").distinct(), "met-windows", batch=1000)
+    loose = F.zip_with("item_opens", "opens", lambda a, b: a & b).alias("loose")
+    met = stored(met.select("doc_id", "_row", "item_id", "shift", "item_at", "n_windows", "item_slots", "slots", loose).distinct(), "met-windows", batch=1000)
 
     key = ["doc_id", "_row", "item_id", "shift"]
-    pairs = met.select(*key, "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("_k", "_pair"))
-    pairs = pairs.select(*key, (F.col("item_at") + F.col("_k")).alias("place"), F.col("_pair.item_slots").alias("value"), F.col("_pair.slots").alias("stands_for")).filter("value IS NOT NULL AND stands_for IS NOT NULL")
-    torn = pairs.groupBy(*key, "value").agg(F.min("stands_for").alias("_a"), F.max("stands_for").alias("_b")).filter("_a <> _b").select(*key, "value")
+    filled = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"].isNotNull() & p["slots"].isNotNull())
+    pairs = met.select(*key, "item_at", F.posexplode(F.arrays_zip("item_slots", "slots", "loose")).alias("_k", "_pair"))
+    pairs = pairs.select(
+        *key, (F.col("item_at") + F.col("_k")).alias("place"), F.col("_pair.item_slots").alias("value"), F.col("_pair.slots").alias("stands_for"), F.col("_pair.loose").alias("loose")
+    ).filter("value IS NOT NULL AND stands_for IS NOT NULL")
+    firm = F.when(~F.col("loose"), F.col("stands_for"))
+    images = pairs.groupBy(*key, "value").agg(
+        F.min(firm).alias("_a"), F.max(firm).alias("_b"), F.min("stands_for").alias("_c"), F.max("stands_for").alias("_d"), F.collect_set("stands_for").alias("_all")
+    )
+    images = images.filter("_c <> _d").withColumn("_one", F.expr("CASE WHEN _a = _b THEN _a END"))
+    torn = images.select(*key, "value", F.explode("_all").alias("stands_for"), "_one").filter("_one IS NULL OR stands_for <> _one")
     changed = pairs.filter("value <> stands_for").groupBy("doc_id", "_row", "item_id").agg(F.count_distinct("place").alias("n_changed"))
 
     def same(columns: list[str]):
@@ -239,8 +295,8 @@ def contaminations(
             on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
         return on
 
-    torn = torn.groupBy(*key).agg(F.collect_set("value").alias("_torn"))
-    sound = met.alias("a").join(torn.alias("b"), same(key), "left").filter(~F.coalesce(F.arrays_overlap(F.filter("item_slots", lambda s: s.isNotNull()), "_torn"), F.lit(False)))
+    torn = torn.groupBy(*key).agg(F.collect_set(F.struct(F.col("value").alias("item_slots"), F.col("stands_for").alias("slots"))).alias("_torn"))
+    sound = met.alias("a").join(torn.alias("b"), same(key), "left").filter(~F.coalesce(F.arrays_overlap(filled, "_torn"), F.lit(False)))
     counted = sound.select("a.doc_id", "a._row", "a.item_id", "item_at", "n_windows").distinct().groupBy("doc_id", "_row", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.max("n_windows").alias("n_windows"))
     held = counted.filter(F.col("n_matched") >= contained * F.col("n_windows"))
     full = held.alias("a").join(changed.alias("b"), same(["doc_id", "_row", "item_id"]), "left").select("a.doc_id", "a.item_id", "n_windows", "n_matched", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))

@@ -95,3 +95,43 @@ def test_words_beyond_the_table_are_the_same():
     for _ in range(2):
         for a, b in zip(few.windows(text, 5)[:3], many.windows(text, 5)[:3], strict=True):
             assert a.tolist() == b.tolist()
+
+
+RENAMED = "Tom has 3 apples. Tom gives 2 to Eva. How many apples does Tom have now?"
+
+
+def test_names_that_open_sentences(make_docs, spark):
+    items = spark.createDataFrame([(1, RENAMED)], "item_id long, text string")
+    fine = RENAMED.replace("Tom", "Max").replace("Eva", "Lea").replace("3", "8").replace("2", "5")
+    torn = "Max has 8 apples. Tim gives 5 to Lea. How many apples does Jon have now?"
+    rows = [(1, RENAMED), (2, fine), (3, "Words before it, " + fine + " And after."), (4, RENAMED.lower()), (5, torn), (6, "So " + fine.replace(". How", "; how"))]
+    found = held(make_docs(rows), items)
+    assert found == {(1, 1): (12, 12, 0), (2, 1): (12, 12, 6), (3, 1): (12, 12, 6), (4, 1): (12, 12, 0), (6, 1): (12, 12, 6)}
+    assert [r.doc_id for r in decontaminate.clean(make_docs(rows), items).collect()] == [5]
+
+
+def test_openers_that_are_no_names(make_docs, spark):
+    """An opener equal to a name decides nothing where that name stands inside sentences."""
+    text = "Will anyone tell how old is Will if he is twice as old as Will was 4 years ago?"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    renamed = text[:5] + text[5:].replace("Will", "Ben").replace("4", "6")
+    found = held(make_docs([(1, renamed), (2, renamed.replace("Will anyone", "Can anyone"))]), items)
+    assert found == {(1, 1): (15, 15, 3), (2, 1): (14, 15, 4)}
+
+
+@pytest.mark.parametrize("text", ["Ann. Bob. Cid. Dan. Eve. Flo.", "Ann ran. Bob saw 3 of them. Cid. Dan", "Ann. Bob"])
+def test_all_readings_of_openers(text):
+    """Each choice of openers as names has the hash of the text in which those words stand inside sentences."""
+    words, found = decontaminate.Words(100), set()
+    for at, _, slots, opens in decontaminate._rows(words, text, 5):
+        found.add((at, tuple(slots), tuple(opens)))
+    raw, expected = text.split(), set()
+    size = min(5, len(raw))
+    begins = [k == 0 or raw[k - 1].endswith(".") for k in range(len(raw))]
+    for at in range(len(raw) - size + 1):
+        openers = [k for k in range(size) if begins[at + k] and raw[at + k][0].isupper()]
+        for bits in range(1 << len(openers)):
+            names = {k for n, k in enumerate(openers) if bits >> n & 1}
+            taken = [raw[at + k].strip(".").lower() if k in names or raw[at + k] == "3" else None for k in range(size)]
+            expected.add((at, tuple(taken), tuple(k in names for k in range(size))))
+    assert {row for row in found if any(row[2]) or any(row[1])} == {row for row in expected if any(row[2]) or any(row[1])}
