@@ -678,11 +678,15 @@ def decide_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _reports(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
+def _full_context(spark: SparkSession, sf_dir: str, state: DataFrame, decided: DataFrame) -> DataFrame:
+    """Decided incidents with every context source, similar incidents too."""
     decided = stored(decided, "decided")
-    state = _state(spark, sf_dir)
     similar = context.similar_lists(_similar(spark, sf_dir, state, decided, True))
-    return diagnosis.build_reports(_context(spark, sf_dir, decided, similar), NOW)
+    return _context(spark, sf_dir, decided, similar)
+
+
+def _reports(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
+    return diagnosis.build_reports(_full_context(spark, sf_dir, _state(spark, sf_dir), decided), NOW)
 
 
 @query
@@ -1021,18 +1025,23 @@ def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("incident_id", "asset_key", "error_type", "error_message", "stack_trace")
 
 
-@query
-def stream_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports written by a stream over opened incidents; a second tick writes none."""
+def _stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened_dir, path, checkpoint = (work_dir(spark, n) for n in ("opened", "stream-reports", "checkpoint"))
     opened = files.write_table(tables.captured(spark, sf_dir).drop("recent_metadata"), opened_dir)
     stream = jobs.file_stream(spark, opened_dir, opened.schema)
-    flags, manifest = tables.flags(spark, sf_dir), _manifest(spark, sf_dir)
+    flags, manifest, state = tables.flags(spark, sf_dir), _manifest(spark, sf_dir), _state(spark, sf_dir)
+    gather = lambda decided: _full_context(spark, sf_dir, state, decided)
     for _ in range(2):
         jobs.diagnosis_stream(
-            stream, tables.responses(opened), flags, manifest, NOW, path, checkpoint
+            stream, tables.responses(opened), flags, manifest, NOW, path, checkpoint, gather
         ).awaitTermination()
-    written = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def stream_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with context written by a stream over opened incidents; a second tick writes none."""
+    written = _stream_reports(spark, sf_dir)
     status = F.get_json_object("report", "$.proposed_action.status")
     return written.groupBy(status.alias("action_status")).agg(F.count("*").alias("n"))
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from mendwell.operators import diagnosis, incidents, remediation
+from mendwell.operators.context import context_bundle
 from mendwell.sources.files import write_partitions
 
 KEYS = ["year", "month"]
@@ -76,15 +77,17 @@ def diagnosis_stream(
     generated_at: datetime,
     path: str,
     checkpoint: str,
+    gather: Callable[[DataFrame], DataFrame] = context_bundle,
 ) -> StreamingQuery:
     """Diagnose every newly opened incident once and write its report.
 
+    ``gather`` adds the context to the incidents of a batch; by default there is none.
     A flag that an earlier batch cleared is not active for the later ones.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         active = active_flags(flags, path, batch_id)
-        _write_batch(diagnosed_reports(batch, responses, active, manifest, generated_at), path, batch_id)
+        _write_batch(diagnosed_reports(batch, responses, active, manifest, generated_at, gather), path, batch_id)
 
     return _start(opened, checkpoint, sink)
 
@@ -99,14 +102,23 @@ def active_flags(flags: DataFrame, path: str, batch_id: int) -> DataFrame:
 
 
 def diagnosed_reports(
-    opened: DataFrame, responses: DataFrame, flags: DataFrame, manifest: DataFrame, generated_at: datetime
+    opened: DataFrame,
+    responses: DataFrame,
+    flags: DataFrame,
+    manifest: DataFrame,
+    generated_at: datetime,
+    gather: Callable[[DataFrame], DataFrame] = context_bundle,
 ) -> DataFrame:
-    from mendwell.operators.context import context_bundle
-
     classified = incidents.classify(opened)
     diagnosed = diagnosis.diagnose(classified, responses, remediation.ALLOWLIST)
     decided = remediation.decide_actions(diagnosed, flags, manifest)
-    return diagnosis.build_reports(context_bundle(decided), generated_at, keep=["cleared_flag"])
+    return diagnosis.build_reports(gather(decided), generated_at, keep=["cleared_flag"])
+
+
+def streamed_fixes(spark: SparkSession, path: str, last_seq: int) -> DataFrame:
+    """State changes that stamp the fixes of all reports written so far, numbered after ``last_seq`` by batch."""
+    at = F.get_json_object("report", "$.generated_at").cast("timestamp_ntz")
+    return diagnosis.proposed_fixes(spark.read.parquet(path), F.col("batch_id").cast("bigint") + last_seq + 1, at)
 
 
 def window_totals(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendwell.operators import incidents, metrics
+from mendwell.plans import catalog
 from mendwell.streaming import jobs
 
 EVENTS = "ts TIMESTAMP_NTZ, label STRING, year INT, month INT"
@@ -91,6 +92,29 @@ def test_diagnosis_ticks_once_per_incident(spark, tmp_path, source):
     assert cleared == {"a": "tlc_5xx", "b": None, "c": None, "d": None}
 
 
+def test_streamed_reports_have_the_context_of_the_batch_query(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    counts = ["upstream_count", "recent_run_count", "similar_incident_count"]
+    found = [F.get_json_object("report", f"$.context_summary.{c}").cast("bigint").alias(c) for c in counts]
+    streamed = catalog._stream_reports(spark, sf_dir).select("incident_id", *found)
+    batch = catalog.QUERIES["reports"](spark, sf_dir).select("incident_id", *counts)
+    rows = sorted(map(tuple, streamed.collect()))
+    assert rows == sorted(map(tuple, batch.collect()))
+    assert all(sum(r[k] for r in rows) > 0 for k in (1, 2, 3))
+
+
+def test_fixes_of_streamed_reports_are_stamped(spark, tmp_path):
+    out, _ = paths(tmp_path)
+    at = datetime(2024, 1, 2)
+    for batch_id, row in enumerate([("a", '{"diagnosis":{"proposed_fix":"retry"},"generated_at":"2024-01-02T00:00:00"}'), ("b", '{"diagnosis":{},"generated_at":"2024-01-02T00:00:00"}')]):
+        jobs._write_batch(spark.createDataFrame([row], "incident_id STRING, report STRING"), out, batch_id)
+    fixes = jobs.streamed_fixes(spark, out, 7)
+    assert sorted(map(tuple, fixes.collect())) == [("a", 8, "fix", at, "retry"), ("b", 9, "fix", at, "")]
+    opened = spark.createDataFrame([("a",), ("b",), ("c",)], "incident_id STRING")
+    waiting = incidents.undiagnosed(incidents.incident_state(opened, fixes))
+    assert sorted(r.incident_id for r in waiting.collect()) == ["b", "c"]
+
+
 def test_streamed_windows_equal_batch(spark, tmp_path, source):
     out, checkpoint = paths(tmp_path)
     days = [1, 2, 3]
