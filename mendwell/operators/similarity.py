@@ -107,7 +107,8 @@ def _by_blocks(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool,
         spread = df.join(blocks, "asset")
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own[0])
         met = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0])
-        return spread.select("id", "asset", "vector", mine, met)
+        # Both sides may come from one table: with names of its own each side's columns can be told apart.
+        return spread.select(*[F.col(c).alias(c) for c in ("id", "asset", "vector")], mine, met)
 
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _best(left, right, k, exclude_self)

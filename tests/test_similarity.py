@@ -91,3 +91,14 @@ def test_upsert_replaces_by_id(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "id STRING, v INT")
     new = spark.createDataFrame([("b", 2), ("c", 2)], "id STRING, v INT")
     assert sorted(tuple(r) for r in similarity.upsert_index(old, new, "id").collect()) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+@pytest.mark.parametrize("same_asset", [True, False])
+def test_blocked_queries_from_the_index_itself(spark, same_asset):
+    rows = [(f"v{k:03d}", f"a{k % 2}", [float(k % 7), float(k % 5), 1.0]) for k in range(40)]
+    index = spark.createDataFrame(rows, "id STRING, asset STRING, vector ARRAY<FLOAT>")
+    wanted = index.join(index.filter("id < 'v020'").select("id"), "id", "left_semi")
+    blocked = similarity.similar_incidents(wanted, index, 3, same_asset, exclude_self=True, max_broadcast=0)
+    scanned = similarity.similar_incidents(wanted, index, 3, same_asset, exclude_self=True)
+    key = lambda df: sorted((r.incident_id, r.similar_id, r.rank, round(r.score, 6)) for r in df.collect())
+    assert key(blocked) == key(scanned) and len(key(blocked)) == 60
