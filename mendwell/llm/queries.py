@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, decontaminate, html_blocks, length_histogram, line_rules, mixing, near_dups, token_files, toxicity, url_filter
+from mendwell.llm import chat_format, decontaminate, hard_negatives, html_blocks, length_histogram, line_rules, mixing, near_dups, token_files, toxicity, url_filter
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,3 +231,35 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_blocks.extracted(pages, html_blocks.train(pages)).drop("html")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor of ``embeddings``, some labels made wrong first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM whole a JOIN whole b ON a.id <> b.id WHERE a.id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other_id)::INT AS rank,
+  n.other_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
