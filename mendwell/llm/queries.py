@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, decontaminate, hard_negatives, html_blocks, length_histogram, line_rules, mixing, near_dups, token_files, toxicity, url_filter
+from mendwell.llm import chat_format, decontaminate, hard_negatives, html_blocks, length_histogram, licenses, line_rules, mixing, near_dups, token_files, toxicity, url_filter
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,3 +263,50 @@ FROM positives JOIN pairs n USING (anchor_id)
 WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
+
+
+def _template_rows() -> str:
+    """The license templates as rows of SQL: kind, label, words, words needed, labels of wider templates."""
+    known = licenses.templates()
+
+    def row(t: licenses.Template) -> str:
+        return f"('{t.kind}', '{t.label}', {t.tokens}, {t.need}, {licenses.wider(t, known)}::VARCHAR[])"
+
+    return ", ".join(map(row, known))
+
+
+ORACLES["op12_license_scan"] = f"""
+WITH templates(kind, label, tokens, need, wider) AS (VALUES {_template_rows()}), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), worded AS (
+  SELECT *, list_filter(regexp_split_to_array(low, '{licenses.SEPARATOR}'), lambda w: w <> '') AS w FROM docs
+), places AS (
+  SELECT r, k, CASE WHEN w[k - 1] = 'mit' THEN 'mit' WHEN w[k - 1] = 'apache' THEN 'apache' WHEN w[k - 1] = 'public' AND w[k - 2] = 'general' THEN 'gpl' END AS label
+  FROM (SELECT r, w, unnest(list_filter(range(2, len(w) + 1), lambda k: w[k] = 'license')) AS k FROM worded)
+), phrases AS (
+  SELECT r, count(*) AS n_base, min(k - if(label = 'gpl', 3, 2)) AS first_word, max(k - if(label = 'gpl', 3, 2)) AS last_word, list(DISTINCT label) AS base
+  FROM places WHERE label IS NOT NULL GROUP BY r
+), blocks AS (
+  SELECT r, 'paragraph' AS kind, unnest(regexp_split_to_array(low, '{licenses.BLANK_LINE}')) AS block FROM docs
+  UNION ALL SELECT r, 'line', unnest(string_split(low, chr(10))) FROM docs
+), sets AS (
+  SELECT row_number() OVER () AS b, r, kind, list_distinct(regexp_split_to_array(block, '{licenses.SEPARATOR}')) AS held FROM blocks
+), pairs AS (
+  SELECT b, r, label, wider, len(list_intersect(held, tokens)) / len(tokens) AS containment
+  FROM sets JOIN templates USING (kind) WHERE len(list_intersect(held, tokens)) >= need
+), told AS (
+  SELECT r, max(containment) AS best, list(DISTINCT label) FILTER (WHERE NOT list_has_any(others, wider)) AS said
+  FROM (SELECT *, list(label) OVER (PARTITION BY b) AS others FROM pairs) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(said, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM worded LEFT JOIN phrases USING (r) LEFT JOIN told USING (r)
+"""
