@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendwell.llm import chat_format, decontaminate, hard_negatives, html_blocks, length_histogram, licenses, line_rules, mixing, near_dups, token_files, toxicity, url_filter
+from mendwell.llm import chat_format, decontaminate, hard_negatives, html_blocks, length_histogram, licenses, line_rules, mixing, near_dups, prefix_trie, token_files, toxicity, url_filter
 from mendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,3 +310,48 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
 FROM worded LEFT JOIN phrases USING (r) LEFT JOIN told USING (r)
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of ``conversations``, each behind the opening of its group."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, told, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(told)) AS place, length(said) AS chars
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said,
+      length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS told
+    FROM conversations WHERE conv_id IS NOT NULL)
+), ids AS (
+  SELECT DISTINCT conv_id FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) % 6 AS h
+  FROM ids
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS half, place, told, chars FROM convs c JOIN turns t ON t.conv_id = c.base WHERE place <= h
+  UNION ALL SELECT c.conv_id, 1, place, told, chars FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE place > h
+), listed AS (
+  SELECT conv_id, list(told ORDER BY half, place) AS seq, list(chars ORDER BY half, place) AS sizes FROM rebuilt GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, coalesce(seq, []) AS seq, coalesce(sizes, []) AS sizes FROM convs LEFT JOIN listed USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, d, seq[1:d] AS path, seq[1:d - 1] AS above, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS chars, len(seq) = d AS is_end
+  FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(d) AS depth, CASE WHEN any_value(d) > 0 THEN any_value(above) END AS above, count(*) AS n_convs,
+    (count(*) - 1) * any_value(chars) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM prefixes GROUP BY path
+), childed AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n
+  LEFT JOIN (SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above) USING (path)
+), sums AS (
+  SELECT top, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT path[1:d] AS top, saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM childed)) GROUP BY top
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM childed c JOIN sums ON top = c.path LEFT JOIN childed p ON p.path = c.above
+"""
