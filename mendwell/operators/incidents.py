@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import clip, first_match, non_empty, or_default, padded, short_hash
+from mendwell.session import broadcast_if_small
+from mendwell.sources.files import stored
 
 # Ordered classifier rules (error type, asset or message, category).
 # An empty second part matches every asset. The first matching rule wins.
@@ -35,22 +37,36 @@ def incident_id(run_id: Column, asset_key: Column) -> Column:
 FOLDED = ["asset_key", "error_type", "error_message", "stack_trace"]
 
 
+def _usable(name: str, line: Column | None = None) -> Column:
+    """Whether a line gives a field a value; ``line`` is a struct, else the row."""
+    part = F.col if line is None else line.getField
+    return part(name).isNotNull() if name == "asset_key" else part("is_failure") & (part(name) != "")
+
+
 def partial_fold(log: DataFrame) -> DataFrame:
     """One row per run: for each field its last value and the line that gave it.
 
     ``log`` has ``run_id, seq, asset_key, is_failure, error_type, error_message,
     stack_trace``. The asset key is the last one named on any line, the error
-    fields the last non-empty ones of failure lines. The fold has a map-side part,
-    so a run that owns a large share of all lines is reduced before the shuffle.
+    fields the last non-empty ones of failure lines; of lines with one number the larger value counts.
+    Only line numbers are aggregated, four of them per run and with a map-side part, so a run that owns a
+    large share of all lines is reduced before the shuffle; the texts of the few winning lines are fetched afterwards.
     """
+    # Other lines cannot be the last of anything.
+    telling = log.filter(F.col("asset_key").isNotNull() | F.col("is_failure")).select("run_id", "seq", "is_failure", *FOLDED)
+    places = [f"_{c}" for c in FOLDED]
+    last = telling.groupBy("run_id").agg(*[F.max(F.when(_usable(c), F.col("seq"))).alias(f"_{c}") for c in FOLDED])
+    last = stored(last, "last-lines")
+    wanted = last.select("run_id", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("seq"))
+    lines = telling.join(broadcast_if_small(wanted), ["run_id", "seq"])
+    held = lines.groupBy("run_id").agg(F.collect_list(F.struct("seq", "is_failure", *FOLDED)).alias("_lines"))
 
     def newest(name: str) -> Column:
-        usable = F.col(name).isNotNull() if name == "asset_key" else F.col("is_failure") & (F.col(name) != "")
-        return F.max(F.when(usable, F.struct("seq", F.col(name).alias("value")))).alias(name)
+        mine = F.filter("_lines", lambda x: (x["seq"] == F.col(f"_{name}")) & F.coalesce(_usable(name, x), F.lit(False)))
+        value = F.array_max(F.transform(mine, lambda x: x[name]))
+        return F.when(F.col(f"_{name}").isNotNull(), F.struct(F.col(f"_{name}").alias("seq"), value.alias("value"))).alias(name)
 
-    # Other lines cannot be the last of anything; dropping them early spares the sort.
-    telling = log.filter(F.col("asset_key").isNotNull() | F.col("is_failure"))
-    return telling.groupBy("run_id").agg(*[newest(c) for c in FOLDED])
+    return last.join(held, "run_id", "left").select("run_id", *[newest(c) for c in FOLDED])
 
 
 def merge_folds(parts: DataFrame) -> DataFrame:
@@ -98,19 +114,34 @@ def append_new(opened: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.join(opened.select("incident_id"), "incident_id", "left_anti")
 
 
+def fold_changes(changes: DataFrame) -> DataFrame:
+    """``incident_id, resolved_seq, resolved_at, fix_seq, proposed_fix``: the last change of each kind.
+
+    ``changes`` has ``incident_id, seq, kind, changed_at, proposed_fix``. Numbers and times are
+    aggregated, the text of the last fix is fetched afterwards; of fixes with one number the larger counts.
+    """
+    resolved = F.when(F.col("kind") == "resolve", F.col("seq"))
+    last = changes.groupBy("incident_id").agg(
+        F.max(resolved).alias("resolved_seq"),
+        F.max_by("changed_at", resolved).alias("resolved_at"),
+        F.max(F.when(F.col("kind") == "fix", F.col("seq"))).alias("fix_seq"),
+    )
+    fixes = changes.filter("kind = 'fix'").select("incident_id", F.col("seq").alias("fix_seq"), "proposed_fix")
+    found = fixes.join(last.select("incident_id", "fix_seq"), ["incident_id", "fix_seq"]).groupBy("incident_id").agg(F.array_max(F.collect_set("proposed_fix")).alias("proposed_fix"))
+    return last.join(found, "incident_id", "left")
+
+
+def with_status(state: DataFrame) -> DataFrame:
+    return state.withColumn("status", F.when(F.col("resolved_at").isNotNull(), "resolved").otherwise("open"))
+
+
 def incident_state(opened: DataFrame, changes: DataFrame) -> DataFrame:
     """Latest state of every incident from the append-only log.
 
-    ``changes`` has ``incident_id, seq, kind, changed_at, proposed_fix``. Resolving
-    and stamping a fix touch separate columns, so each takes its own last change.
+    Resolving and stamping a fix touch separate columns, so each takes its own last change.
     """
-    resolved, fixed = F.col("kind") == "resolve", F.col("kind") == "fix"
-    latest = changes.groupBy("incident_id").agg(
-        F.max_by("changed_at", F.when(resolved, F.col("seq"))).alias("resolved_at"),
-        F.max_by("proposed_fix", F.when(fixed, F.col("seq"))).alias("proposed_fix"),
-    )
-    status = F.when(F.col("resolved_at").isNotNull(), "resolved").otherwise("open")
-    return opened.join(latest, "incident_id", "left").withColumn("status", status)
+    latest = fold_changes(changes).drop("resolved_seq", "fix_seq")
+    return with_status(opened.join(latest, "incident_id", "left"))
 
 
 def open_incidents(state: DataFrame, limit: int = 50) -> DataFrame:

@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import non_empty
-from mendwell.session import broadcast_if_small
+from mendwell.operators.nearest import PLACES, nearest_by_cells, unit
 
-PLACES = 6
 # Query vectors sent to every task: at 384 doubles each about 6 MB.
 BROADCAST_QUERIES = 2_000
-# Rows of one side in one block of the shuffled form.
-BLOCK_ROWS = 4_000
 
 _HITS = "incident_id STRING, similar_id STRING, score DOUBLE"
 
@@ -34,20 +31,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = np.array(vectors.tolist(), dtype=np.float64)
-    if rows.size == 0:
-        return rows.reshape(len(vectors), 0)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
 def _best(queries: pd.DataFrame, index: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
     """Top-k index rows per query among the given rows."""
     if queries.empty or index.empty:
         return pd.DataFrame({"incident_id": [], "similar_id": [], "score": []})
     ids = index["id"].to_numpy()
-    scores = np.round(_unit(queries["vector"]) @ _unit(index["vector"]).T, PLACES) + 0.0
+    scores = np.round(unit(queries["vector"]) @ unit(index["vector"]).T, PLACES) + 0.0
     found = []
     for query, row in zip(queries["id"], scores, strict=True):
         if exclude_self:
@@ -90,32 +79,15 @@ def _by_scan(queries: pd.DataFrame, index: DataFrame, k: int, exclude_self: bool
     return index.mapInPandas(score, _HITS)
 
 
-def _by_blocks(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool, same_asset: bool) -> DataFrame:
-    """Many queries: both sides are cut into bounded blocks that meet pairwise.
-
-    A hot asset is spread over as many blocks as its size asks for. A pair of
-    blocks passes on k rows per query, never its pairs.
-    """
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("asset").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-
+def _by_cells(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool, same_asset: bool) -> DataFrame:
+    """Many queries: one search per distinct vector and asset, which leaves out cells that hold no hit."""
+    anywhere = [d.withColumn("asset", F.lit("")) for d in (queries, index)]
     if not same_asset:
-        queries, index = (d.withColumn("asset", F.lit("")) for d in (queries, index))
-    blocks = broadcast_if_small(sized(queries, "q_blocks").join(sized(index, "i_blocks"), "asset"))
-
-    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
-        spread = df.join(blocks, "asset")
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own[0])
-        met = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0])
-        # Both sides may come from one table: with names of its own each side's columns can be told apart.
-        return spread.select(*[F.col(c).alias(c) for c in ("id", "asset", "vector")], mine, met)
-
-    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _best(left, right, k, exclude_self)
-
-    left = placed(queries, "q_blocks", "i_blocks").groupBy("asset", "q", "i")
-    right = placed(index, "i_blocks", "q_blocks").groupBy("asset", "q", "i")
-    return left.cogroup(right).applyInPandas(score, _HITS)
+        return nearest_by_cells(*anywhere, k, exclude_self)
+    keyed = non_empty(F.col("asset")).isNotNull()
+    hits = nearest_by_cells(queries.filter(keyed), index.filter(keyed), k, exclude_self)
+    homeless = anywhere[0].join(queries.filter(~keyed).select("id").distinct(), "id", "left_semi")
+    return hits if homeless.isEmpty() else hits.unionByName(nearest_by_cells(homeless, anywhere[1], k, exclude_self))
 
 
 def similar_incidents(
@@ -131,18 +103,14 @@ def similar_incidents(
     Both sides have ``id, asset, vector``. With ``same_asset`` a query meets the rows
     of its own asset, or all rows if it has none. A diagnosis tick has a handful of
     queries: after a bounded count they go to the tasks that scan the index, and
-    the index is not shuffled. Larger query tables take the blocked form.
+    the index is not shuffled. Larger query tables search an index of cells.
     """
     columns = ["id", "asset", "vector"]
     queries, index = queries.select(*columns), index.select(*columns)
     if queries.count() <= max_broadcast:
         partial = _by_scan(queries.toPandas(), index, k, exclude_self, same_asset)
-    elif same_asset:
-        keyed = non_empty(F.col("asset")).isNotNull()
-        partial = _by_blocks(queries.filter(keyed), index.filter(keyed), k, exclude_self, True)
-        partial = partial.unionByName(_by_blocks(queries.filter(~keyed), index, k, exclude_self, False))
     else:
-        partial = _by_blocks(queries, index, k, exclude_self, False)
+        return _by_cells(queries, index, k, exclude_self, same_asset).drop("scored")
     place = Window.partitionBy("incident_id").orderBy(F.desc("score"), "similar_id")
     return partial.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import bare_name, month_end, month_start, partition_key
 from mendwell.operators import context, diagnosis, drift, faults, incidents, medallion, metrics, partitions
-from mendwell.operators import quality, remediation, retries, similarity
+from mendwell.operators import quality, remediation, retries, similarity, snapshots
 from mendwell.plans import surrogates as tables
 from mendwell.session import work_dir
 from mendwell.sources import files, footers, landing, weather_json
@@ -472,6 +472,21 @@ def incident_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.state(spark, sf_dir).select("incident_id", "status", "resolved_at", "proposed_fix")
 
 
+@query
+def incident_state_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state from a snapshot of the first third of all changes and two appends of incidents and changes."""
+    opened = _captured(spark, sf_dir)
+    changes = stored(tables.changes(spark, sf_dir, opened), "changes")
+    low, high = changes.agg(F.min("seq"), F.max("seq")).first()
+    ends = [low + (high - low) // 3, low + (high - low) * 2 // 3, high]
+    day = F.dayofmonth("created_at")
+    snapshot = snapshots.start(opened.filter(day <= 10), changes.filter(F.col("seq") <= ends[0]))
+    for days, end in ((day.between(11, 20), ends[1]), (day > 20, ends[2])):
+        before, snapshot = snapshot, snapshots.advance(snapshot, opened.filter(days), changes.filter(F.col("seq") <= end))
+        before.drop()
+    return snapshot.state().select("incident_id", "status", "resolved_at", "proposed_fix")
+
+
 @query
 def open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.summaries(incidents.open_incidents(tables.state(spark, sf_dir), 50))
@@ -575,11 +590,13 @@ def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated.select("vec_id", long("label"), F.array_join(millionths, ",").alias("millionths"))
 
 
-def _similar(spark: SparkSession, sf_dir: str, state: DataFrame, queue: DataFrame, same_asset: bool) -> DataFrame:
+def _similar(
+    spark: SparkSession, sf_dir: str, state: DataFrame, queue: DataFrame, same_asset: bool, max_broadcast: int = similarity.BROADCAST_QUERIES
+) -> DataFrame:
     """The queue's incidents against the vectors of every incident."""
     index = tables.incident_vectors(spark, sf_dir, state)
     wanted = index.join(queue.select(F.col("incident_id").alias("id")), "id", "left_semi")
-    hits = similarity.similar_incidents(wanted, index, 5, same_asset=same_asset, exclude_self=True)
+    hits = similarity.similar_incidents(wanted, index, 5, same_asset=same_asset, exclude_self=True, max_broadcast=max_broadcast)
     return similarity.with_payload(hits, state)
 
 
@@ -599,6 +616,13 @@ def similar_any_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tick_similar(spark, sf_dir, False)
 
 
+@query
+def similar_open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar incidents for the whole undiagnosed queue, whatever its length, by the index of cells."""
+    state = _state(spark, sf_dir)
+    return _similar(spark, sf_dir, state, incidents.undiagnosed(state), True, max_broadcast=0).withColumn("rank", long("rank"))
+
+
 def _context(spark: SparkSession, sf_dir: str, queue: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """Incidents of ``queue``, classified, with every context source."""
     queue = incidents.classify(queue)

@@ -608,6 +608,7 @@ sql(
 
 sql("capture_incidents", "SELECT * EXCLUDE (user_id, day, turn) FROM captured", "captured")
 sql("incident_state", "SELECT incident_id, status, resolved_at, proposed_fix FROM state", "state")
+sql("incident_state_incremental", "SELECT incident_id, status, resolved_at, proposed_fix FROM state", "state")
 sql(
     "open_incidents",
     """
@@ -704,12 +705,13 @@ _SIMILAR = """
                  row_number() OVER (PARTITION BY q.incident_id
                                     ORDER BY round(list_cosine_similarity(q.v, x.v), 6) DESC, x.incident_id) AS rank
           FROM vectors q JOIN vectors x ON {same} x.incident_id <> q.incident_id
-          WHERE q.incident_id IN (SELECT incident_id FROM queue)) h
+          WHERE q.incident_id IN (SELECT incident_id FROM {queue})) h
     JOIN state s ON s.incident_id = h.similar_id
     WHERE rank <= 5
     """
-sql("similar_incidents", _SIMILAR.format(same="x.asset_key = q.asset_key AND"), "vectors", "queue")
-sql("similar_any_asset", _SIMILAR.format(same=""), "vectors", "queue")
+sql("similar_incidents", _SIMILAR.format(same="x.asset_key = q.asset_key AND", queue="queue"), "vectors", "queue")
+sql("similar_any_asset", _SIMILAR.format(same="", queue="queue"), "vectors", "queue")
+sql("similar_open_incidents", _SIMILAR.format(same="x.asset_key = q.asset_key AND", queue="waiting"), "vectors", "waiting")
 sql(
     "tick_prompts",
     f"""
@@ -727,7 +729,7 @@ sql(
     LEFT JOIN tails t USING (run_id)
     LEFT JOIN (SELECT incident_id, string_agg('- asset=' || asset_key || ' error_type=' || error_type || ' score='
                           || printf('%.2f', score) || ' prior_fix=' || prior_fix, chr(10) ORDER BY rank) AS block
-               FROM ({_SIMILAR.format(same="x.asset_key = q.asset_key AND")}) WHERE rank <= 3 GROUP BY 1) s
+               FROM ({_SIMILAR.format(same="x.asset_key = q.asset_key AND", queue="queue")}) WHERE rank <= 3 GROUP BY 1) s
         USING (incident_id)
     """,
     "waiting",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import hive_path, partition_key
 from mendwell.operators import incidents, remediation
+from mendwell.sources.files import stored
 from mendwell.sources.weather_json import DAILY_VARS
 
 
@@ -247,7 +248,7 @@ def changes(spark: SparkSession, sf_dir: str, opened: DataFrame) -> DataFrame:
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = captured(spark, sf_dir)
+    opened = stored(captured(spark, sf_dir), "captured")
     return incidents.incident_state(opened, changes(spark, sf_dir, opened))
 
 

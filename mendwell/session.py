@@ -59,3 +59,9 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     partitions.
     """
     return F.broadcast(df) if is_small(df, max_bytes) else df
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a work folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendwell.operators.drift import missing_columns
+from mendwell.session import work_dir
 from mendwell.sources.footers import file_schemas, path_part
 
 ZONE_SEED = T.StructType(
@@ -85,6 +86,11 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that several jobs read: computed once and written to the work folder."""
+    return write_table(df, work_dir(df.sparkSession, name))
+
+
 def publish_view(df: DataFrame, name: str) -> DataFrame:
     """Register a staging result as a lazy view for SQL."""
     df.createOrReplaceTempView(name)

@@ -53,6 +53,18 @@ def test_partial_fold_keeps_the_line_numbers(log):
     assert row.asset_key.seq == 1
 
 
+def test_lines_of_one_number_and_runs_without_values(spark, log):
+    more = [("r5", 1, None, True, "", "", None), ("r6", 7, "a", True, "A", "x", "s"), ("r6", 7, "b", True, "B", "", "t")]
+    fold = {r.run_id: r for r in incidents.partial_fold(log.unionByName(spark.createDataFrame(more, LOG))).collect()}
+    assert fold["r5"].asset_key is None and fold["r5"].error_type is None
+    assert [fold["r6"][c].value for c in incidents.FOLDED] == ["b", "B", "x", "t"]
+
+
+def test_folds_aggregate_by_hash(runs, log, state, plan):
+    assert "SortAggregate" not in plan(incidents.capture_incidents(runs, log))
+    assert "SortAggregate" not in plan(state)
+
+
 @pytest.fixture
 def state(spark):
     opened = spark.createDataFrame(

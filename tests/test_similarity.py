@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mendwell.operators import similarity
+from mendwell.operators import nearest, similarity
 
 SCHEMA = "id STRING, asset STRING, vector ARRAY<FLOAT>"
 
@@ -36,12 +36,12 @@ def brute(queries, index, k, same_asset, exclude_self):
 
 
 @pytest.mark.parametrize("same_asset", [True, False])
-@pytest.mark.parametrize("path", ["scan", "blocks"])
+@pytest.mark.parametrize("path", ["scan", "cells"])
 def test_top_k_equals_brute_force(spark, vectors, monkeypatch, same_asset, path):
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 40)
     index = spark.createDataFrame(vectors, SCHEMA).repartition(5)
-    queries = vectors if path == "blocks" else vectors[:12]
-    bound = 10 if path == "blocks" else 100
+    queries = vectors if path == "cells" else vectors[:12]
+    bound = 10 if path == "cells" else 100
     hits = similarity.similar_incidents(
         spark.createDataFrame(queries, SCHEMA), index, 5, same_asset, exclude_self=True, max_broadcast=bound
     )
@@ -94,11 +94,48 @@ def test_upsert_replaces_by_id(spark):
 
 
 @pytest.mark.parametrize("same_asset", [True, False])
-def test_blocked_queries_from_the_index_itself(spark, same_asset):
+def test_cell_queries_from_the_index_itself(spark, same_asset):
     rows = [(f"v{k:03d}", f"a{k % 2}", [float(k % 7), float(k % 5), 1.0]) for k in range(40)]
     index = spark.createDataFrame(rows, "id STRING, asset STRING, vector ARRAY<FLOAT>")
     wanted = index.join(index.filter("id < 'v020'").select("id"), "id", "left_semi")
-    blocked = similarity.similar_incidents(wanted, index, 3, same_asset, exclude_self=True, max_broadcast=0)
+    by_cells = similarity.similar_incidents(wanted, index, 3, same_asset, exclude_self=True, max_broadcast=0)
     scanned = similarity.similar_incidents(wanted, index, 3, same_asset, exclude_self=True)
     key = lambda df: sorted((r.incident_id, r.similar_id, r.rank, round(r.score, 6)) for r in df.collect())
-    assert key(blocked) == key(scanned) and len(key(blocked)) == 60
+    assert key(by_cells) == key(scanned) and len(key(by_cells)) == 60
+
+
+def test_cells_leave_out_what_cannot_reach_the_kth_score(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 16))
+    rows = [(f"v{i:04d}", "hot", (centres[i % 30] + 0.05 * rng.normal(size=16)).tolist()) for i in range(3_000)]
+    index = spark.createDataFrame(rows, SCHEMA)
+    wanted = index.filter("substring(id, 5, 1) = '0'")
+    hits = nearest.nearest_by_cells(wanted, index, 5, True).collect()
+    found = {(r.incident_id, r.similar_id, r.score, r["rank"]) for r in hits}
+    queries = [r for r in rows if r[0].endswith("0")]
+    assert found == brute(queries, rows, 5, True, True)
+    scored = sum({r.incident_id: r.scored for r in hits}.values())
+    assert scored < 0.2 * len(queries) * len(rows)
+
+
+def test_cells_with_a_hot_vector_zero_vectors_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 25)
+    rng = np.random.default_rng(2)
+    rows = [(f"h{i:03d}", "hot", [1.0, 2.0, 3.0]) for i in range(200)]
+    rows += [(f"r{i:03d}", "hot", rng.normal(size=3).round(1).tolist()) for i in range(150)]
+    zeros = [(f"z{i}", "hot", [0.0, 0.0, 0.0]) for i in range(8)]
+    index = spark.createDataFrame([*rows, *zeros, ("n", "hot", None)], SCHEMA)
+    hits = nearest.nearest_by_cells(index, index, 3, True).collect()
+    by_query = {}
+    for r in hits:
+        by_query.setdefault(r.incident_id, []).append((r["rank"], r.similar_id, r.score))
+    assert len(by_query) == 358 and all(len(v) == 3 for v in by_query.values())
+    expected = brute(rows, rows, 3, True, True)
+    for qid, _, _ in rows:
+        mine = sorted((rank, sid, s) for q, sid, s, rank in expected if q == qid)
+        # Zero vectors score 0 with all, less than three others do.
+        assert sorted(by_query[qid]) == mine or mine[2][2] <= 0
+    assert sorted(by_query["z0"]) == [(1, "h000", 0.0), (2, "h001", 0.0), (3, "h002", 0.0)]
+    assert sorted(by_query["h000"])[0] == (1, "h001", 1.0)
+    # The searches of 200 equal queries are one, and of 200 equal rows only the first ids are kept.
+    assert len({r.scored for r in hits if r.incident_id.startswith("h")}) == 1 and max(r.scored for r in hits) <= 159
