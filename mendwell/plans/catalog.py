@@ -1074,7 +1074,10 @@ def stream_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event counts over five minutes, every minute, from a stream."""
     path = work_dir(spark, "stream-metrics")
-    totals = jobs.window_totals(_event_stream(spark, sf_dir), ["event_type"], "5 minutes", "1 minute")
+    end, events = work_dir(spark, "end-marker"), tables.table(spark, sf_dir, "events")
+    files.write_table(jobs.end_marker(events), end)
+    ended = _event_stream(spark, sf_dir).unionByName(jobs.file_stream(spark, end, events.schema))
+    totals = jobs.window_totals(ended, ["event_type"], "5 minutes", "1 minute")
     jobs.metric_stream(totals, path, work_dir(spark, "checkpoint")).awaitTermination()
     return jobs.latest_windows(spark, path, ["event_type"])
 

@@ -12,11 +12,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mendwell.operators import diagnosis, incidents, remediation
 from mendwell.operators.context import context_bundle
 from mendwell.sources.files import write_partitions
+from mendwell.streaming.state import StateLog
 
 KEYS = ["year", "month"]
 
@@ -51,22 +52,31 @@ def landing_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQu
     return _start(stream, checkpoint, sink)
 
 
+FOLD = StructType([StructField("run_id", StringType()), *[StructField(c, StructType([StructField("seq", LongType()), StructField("value", StringType())])) for c in incidents.FOLDED]])
+
+
+def fold_state(spark: SparkSession, path: str) -> StateLog:
+    """What the incident stream has folded so far, one row per run."""
+    return StateLog(spark, path, FOLD, ("run_id",), incidents.merge_folds)
+
+
 def incident_stream(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Fold each batch of log lines to one row per run.
 
     A run may log over several batches, so its incident is only known from the
-    merged folds: see :func:`streamed_incidents`.
+    merged folds, which are kept as compacted state: see :func:`streamed_incidents`.
     """
+    state = fold_state(log.sparkSession, path)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(incidents.partial_fold(batch), path, batch_id)
+        state.write(incidents.partial_fold(batch), batch_id)
 
     return _start(log, checkpoint, sink)
 
 
 def streamed_incidents(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
     """Incidents of everything the incident stream has written so far."""
-    return incidents.incidents_of(runs, incidents.merge_folds(spark.read.parquet(path)))
+    return incidents.incidents_of(runs, fold_state(spark, path).read())
 
 
 def diagnosis_stream(
@@ -85,20 +95,26 @@ def diagnosis_stream(
     A flag that an earlier batch cleared is not active for the later ones.
     """
 
+    spark = opened.sparkSession
+    cleared = cleared_flags(spark, path)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         active = active_flags(flags, path, batch_id)
         _write_batch(diagnosed_reports(batch, responses, active, manifest, generated_at, gather), path, batch_id)
+        written = spark.read.parquet(f"{path}/batch_id={batch_id}")
+        cleared.write(written.select(F.col("cleared_flag").alias("flag")).dropna().distinct(), batch_id)
 
     return _start(opened, checkpoint, sink)
 
 
+def cleared_flags(spark: SparkSession, path: str) -> StateLog:
+    """The flags that batches have cleared; readers of the reports pass over the folder."""
+    return StateLog(spark, f"{path}/_cleared", StructType([StructField("flag", StringType())]), ("flag",), lambda flags: flags.distinct(), buckets=1)
+
+
 def active_flags(flags: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Flags that no batch before ``batch_id`` has cleared."""
-    if batch_id == 0:
-        return flags
-    earlier = flags.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id)
-    cleared = earlier.select(F.col("cleared_flag").alias("flag")).dropna().distinct()
-    return flags.join(cleared, "flag", "left_anti")
+    return flags.join(cleared_flags(flags.sparkSession, path).read(batch_id - 1), "flag", "left_anti")
 
 
 def diagnosed_reports(
@@ -124,26 +140,37 @@ def streamed_fixes(spark: SparkSession, path: str, last_seq: int) -> DataFrame:
 def window_totals(
     events: DataFrame, labels: list[str], size: str, slide: str, value: Column | None = None, watermark: str = "7 days"
 ) -> DataFrame:
-    """Sliding totals with late data accepted up to the watermark."""
+    """Sliding totals with late data accepted up to the watermark, each window once it is closed.
+
+    Two aggregations in a row: events are summed into slide-wide windows, and only these sums are
+    spread over the sliding windows they lie in. The watermark evicts the state of both.
+    """
     # Watermarks need a zoned timestamp; the session zone is UTC.
     zoned = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     amount = F.lit(1) if value is None else value
-    summed = zoned.groupBy(F.window("ts", size, slide).alias("w"), *labels).agg(F.sum(amount).alias("total"))
-    return summed.select(*labels, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "total")
+    steps = zoned.groupBy(F.window("ts", slide), *labels).agg(F.sum(amount).alias("part"))
+    summed = steps.groupBy(F.window(F.window_time("window"), size, slide), *labels).agg(F.sum("part").alias("total"))
+    return summed.select(*labels, F.col("window.start").cast("timestamp_ntz").alias("window_start"), "total")
+
+
+def end_marker(events: DataFrame, after: str = "30 days") -> DataFrame:
+    """One event without labels, so much later than all others that it closes their windows when it has passed through."""
+    late = (F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")
+    return events.agg(late).select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
 
 
 def metric_stream(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the windows each batch touched; the newest batch of a window counts."""
+    """Write the windows that each batch closes, once each."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, path, batch_id)
 
-    return _start(totals, checkpoint, sink, mode="update")
+    return _start(totals, checkpoint, sink)
 
 
 def latest_windows(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
-    written = spark.read.parquet(path)
-    return written.groupBy(*labels, "window_start").agg(F.max_by("total", "batch_id").alias("total"))
+    """All windows closed so far."""
+    return spark.read.parquet(path).select(*labels, "window_start", "total")
 
 
 def lateness_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mendwell.operators import incidents, metrics
 from mendwell.plans import catalog
 from mendwell.streaming import jobs
+from mendwell.streaming.state import StateLog
 
 EVENTS = "ts TIMESTAMP_NTZ, label STRING, year INT, month INT"
 
@@ -125,11 +126,25 @@ def test_streamed_windows_equal_batch(spark, tmp_path, source):
         stream = jobs.file_stream(spark, root, spark.read.parquet(root).schema)
         totals = jobs.window_totals(stream, ["label"], "5 minutes", "1 minute")
         jobs.metric_stream(totals, out, checkpoint).awaitTermination()
+    closed = jobs.latest_windows(spark, out, ["label"])
+    assert closed.isEmpty()  # All lie within the watermark.
+    end = jobs.end_marker(spark.read.parquet(root))
+    source([tuple(end.first())], EVENTS)
+    stream = jobs.file_stream(spark, root, spark.read.parquet(root).schema)
+    jobs.metric_stream(jobs.window_totals(stream, ["label"], "5 minutes", "1 minute"), out, checkpoint).awaitTermination()
     streamed = jobs.latest_windows(spark, out, ["label"])
-    batch = metrics.sliding_sum(spark.read.parquet(root), ["label"], 300, 60)
+    batch = metrics.sliding_sum(spark.read.parquet(root).filter("label IS NOT NULL"), ["label"], 300, 60)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_no_event_is_spread_over_windows(spark, tmp_path, source):
+    root = source([(datetime(2024, 1, 1), "a", 2024, 1)], EVENTS)
+    events = spark.read.parquet(root)
+    text = jobs.window_totals(events, ["label"], "5 minutes", "1 minute")._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Expand") + 1 :] if "Expand" in text else text[text.rindex("Aggregate") + 1 :]
+    assert "Aggregate" in text and text.count("Expand") <= 1 and ("Expand" not in text or "Aggregate" in below)
+
+
 def test_late_samples_are_marked(spark, tmp_path, source):
     out, checkpoint = paths(tmp_path)
     root = source([(datetime(2024, 1, 1), datetime(2024, 1, 2)), (datetime(2024, 1, 1), datetime(2024, 2, 2))],
@@ -137,3 +152,28 @@ def test_late_samples_are_marked(spark, tmp_path, source):
     stream = jobs.file_stream(spark, root, spark.read.parquet(root).schema)
     jobs.lateness_stream(stream, out, checkpoint).awaitTermination()
     assert sorted(r.rejected for r in spark.read.parquet(out).collect()) == [False, True]
+
+
+def test_state_reads_stay_constant_over_many_batches(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("key", StringType()), StructField("n", LongType())])
+    log = StateLog(spark, str(tmp_path / "state"), schema, ("key",), lambda d: d.groupBy("key").agg(F.max("n").alias("n")), buckets=2, every=5)
+    sizes, expected = [], {}
+    for batch in range(50):
+        rows = [(f"k{k}", batch * 10 + k) for k in range(3)]
+        expected |= dict(rows)
+        log.write(spark.createDataFrame(rows, schema).coalesce(1), batch)
+        held = log._scan([p for _, p in log._snapshots().values()] + list(log._deltas(None).values()))
+        sizes.append(sum(Path(f.removeprefix("file://")).stat().st_size for f in held.inputFiles()))
+        if batch in (4, 5, 6, 12, 49):
+            assert {r.key: r.n for r in log.read().collect()} == expected
+            assert {r.n for r in log.read(batch - 1).collect()} == {(batch - 1) * 10 + k for k in range(3)}
+    assert max(sizes[40:]) <= max(sizes[5:15]) * 1.05
+    # A batch that is run again replaces its delta, whether or not those before it were compacted meanwhile.
+    log.write(spark.createDataFrame([("k0", 1_000)], schema), 49)
+    log.compact(48)
+    log.write(spark.createDataFrame([("k0", 2_000)], schema), 49)
+    assert {r.key: r.n for r in log.read().collect()} == {"k0": 2_000, "k1": 481, "k2": 482}
