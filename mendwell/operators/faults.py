@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mendwell.operators.medallion import PICKUP_ALIASES, first_present
 from mendwell.session import broadcast_if_small
+from mendwell.sources.footers import file_counts, path_part, plain_path
 
 # Renamed columns, null stride and kept share of the faults.
 TRIP_RENAME = ("VendorID", "vendor_id_renamed")
@@ -33,14 +34,20 @@ def rename_weather_column(df: DataFrame) -> DataFrame:
     return rename_column(df, *WEATHER_RENAME)
 
 
-def file_ordinals(df: DataFrame, keys: list[str], name: str = "ordinal") -> DataFrame:
+def file_ordinals(df: DataFrame, keys: list[str], name: str = "ordinal", root: str | None = None) -> DataFrame:
     """Number the rows of each partition of a Parquet scan from 0, in file order.
 
     A row's number is its position in its file plus the rows of the partition's
-    earlier files. Rows stay where they are: only per-file counts are windowed.
+    earlier files. Rows stay where they are: only per-file counts are windowed. They are
+    the rows of ``df``, which has to be a whole scan, or with ``root`` those that the footers of the
+    files below it state, so that a filtered scan keeps the numbers of the whole one.
     """
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = placed.groupBy(*keys, "_file").agg(F.count("*").alias("_rows"))
+    placed = df.select("*", plain_path(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    if root is None:
+        counts = placed.groupBy(*keys, "_file").agg(F.count("*").alias("_rows"))
+    else:
+        stated = file_counts(df.sparkSession, root)
+        counts = stated.select(*[path_part(F.col("path"), k).alias(k) for k in keys], plain_path(F.col("path")).alias("_file"), F.col("rows").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     numbered = placed.join(broadcast_if_small(offsets), "_file")

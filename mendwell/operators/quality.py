@@ -11,11 +11,14 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mendwell.functions.scalars import after_slack
 from mendwell.session import broadcast_if_small
+from mendwell.sources.files import stored
+from mendwell.sources.footers import file_counts, path_part, plain_path
 
 # Accepted boroughs of the zone dimension.
 BOROUGHS = ["EWR", "Queens", "Bronx", "Manhattan", "Staten Island", "Brooklyn", "Unknown"]
@@ -170,6 +173,38 @@ def not_null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
+# Files whose data is read by name where their footers lack counts; beyond that the table is scanned.
+MAX_NAMED_FILES = 1_000
+
+
+def counts_from_footers(spark: SparkSession, root: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """``*keys, column, rows, nulls`` of a hive-partitioned Parquet table without reading its data.
+
+    Rows and nulls come from the statistics in the footers. Only files whose statistics lack the nulls of some
+    column are read, and only their columns of flat types.
+    """
+    columns = [f.name for f in schema.fields if f.name not in keys]
+    parts = [path_part(F.col("path"), k).alias(k) for k in keys]
+    told = stored(file_counts(spark, root), "footer-counts")
+    nulls = F.map_from_entries(F.transform("nulls", lambda c: F.struct(c["name"], c["nulls"])))
+    known = told.select("path", *parts, "rows", nulls.alias("_known")).select(
+        "path", *keys, "rows", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.try_element_at("_known", F.lit(c)).alias("nulls")) for c in columns]))
+    )
+    gaps = known.filter(F.col("nulls").isNull()).select("path").distinct()
+    named = [r["path"] for r in gaps.limit(MAX_NAMED_FILES + 1).collect()]
+    if named:
+        # The base path tells the partition columns of single files.
+        plain = StructType([f for f in schema.fields if f.name not in keys])
+        scan = spark.read.schema(plain).option("basePath", root)
+        data = scan.parquet(*named) if len(named) <= MAX_NAMED_FILES else scan.parquet(root)
+        counted = data.groupBy(plain_path(F.col("_metadata.file_path")).alias("_file")).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        read = counted.select("_file", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("_read")) for c in columns])))
+        # Files without rows give none here.
+        known = known.withColumn("_file", plain_path(F.col("path"))).join(read, ["_file", "column"], "left")
+        known = known.withColumn("nulls", F.coalesce("nulls", "_read", F.lit(0)))
+    return known.groupBy(*keys, "column").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"))
+
+
 def suite_events(summary: DataFrame, at: Column) -> DataFrame:
     """Check outcomes as metric events, passes included."""
     return summary.select(

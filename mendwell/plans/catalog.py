@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendwell.functions.scalars import bare_name, month_end, month_start, partition_key
-from mendwell.operators import context, diagnosis, drift, faults, incidents, medallion, metrics, partitions
+from mendwell.operators import context, diagnosis, drift, faults, gold, incidents, medallion, metrics, partitions
 from mendwell.operators import quality, remediation, retries, similarity, snapshots
 from mendwell.plans import surrogates as tables
 from mendwell.session import work_dir
@@ -76,6 +76,44 @@ def trips_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(medallion.trips_daily_from_staging(stage_trips(spark, sf_dir), weather))
 
 
+def _layout(spark: SparkSession, sf_dir: str) -> tuple[gold.Layout, DataFrame, DataFrame]:
+    """Empty folders for partitioned trips, weather and gold, and what belongs there."""
+    trips = tables.bronze_trips(spark, sf_dir)
+    weather = tables.bronze_weather(spark, sf_dir).withColumns({"year": F.year("date"), "month": F.month("date")})
+    roots = [work_dir(spark, name) for name in ("hive-trips", "hive-weather", "hive-gold")]
+    return gold.Layout(*roots, trips.schema, weather.schema), trips, weather
+
+
+def _gold(spark: SparkSession, layout: gold.Layout) -> DataFrame:
+    return rounded(spark.read.parquet(layout.gold).drop("year", "month"))
+
+
+@query
+def gold_from_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table from trips and weather in a hive layout."""
+    layout, trips, weather = _layout(spark, sf_dir)
+    files.write_partitions(trips, layout.trips, ["year", "month"])
+    files.write_partitions(weather, layout.weather, ["year", "month"])
+    gold.build_gold(spark, layout)
+    return _gold(spark, layout)
+
+
+@query
+def gold_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table built without its last year and with half of one month, then brought up to date."""
+    layout, trips, weather = _layout(spark, sf_dir)
+    trips, weather = stored(trips, "trips"), stored(weather, "weather")
+    last, some = trips.agg(F.max("year"), F.min(F.struct("year", "month"))).first()
+    late = (F.col("year") == some["year"]) & (F.col("month") == some["month"])
+    soon = (F.col("year") < last) & ~(late & (F.col("VendorID") % 2 == 0))
+    files.write_partitions(trips.filter(soon), layout.trips, ["year", "month"])
+    files.write_partitions(weather, layout.weather, ["year", "month"])
+    gold.build_gold(spark, layout)
+    files.write_partitions(trips.filter((F.col("year") == last) | late), layout.trips, ["year", "month"], replace=True)
+    gold.build_gold(spark, layout)
+    return _gold(spark, layout)
+
+
 @query
 def interim_trips_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     weather = tables.bronze_weather(spark, sf_dir)
@@ -450,6 +488,17 @@ def fault_detection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query
+def dq_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and nulls of every column of every month of trips, from the statistics in the files' footers."""
+    root = work_dir(spark, "footer-trips")
+    trips = tables.trips_by_pickup_month(spark, sf_dir)
+    gaps = {"tip_amount": F.col("VendorID") > 4, "DOLocationID": F.col("PULocationID") % 3 == 0}
+    trips = trips.withColumns({c: F.when(~gap, F.col(c)) for c, gap in gaps.items()})
+    files.write_partitions(trips, root, ["year", "month"])
+    return quality.counts_from_footers(spark, root, trips.schema, ["year", "month"]).select(long("year"), long("month"), "column", "rows", "nulls")
+
+
 # --- incidents ------------------------------------------------------------------------
 
 

@@ -314,6 +314,18 @@ sql(
     """,
     "daily",
 )
+for _name in ("gold_from_partitions", "gold_incremental"):
+    ORACLES[_name] = ORACLES["trips_daily"]
+sql(
+    "dq_from_footers",
+    """
+    SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, c.column, count(*) AS rows,
+           count(*) FILTER (c.column = 'tip_amount' AND l_linenumber > 4 OR c.column = 'DOLocationID' AND l_suppkey % 3 = 0) AS nulls
+    FROM lineitem, (SELECT unnest(['tpep_pickup_datetime', 'tpep_dropoff_datetime', 'VendorID', 'passenger_count', 'trip_distance',
+        'PULocationID', 'DOLocationID', 'payment_type', 'fare_amount', 'tip_amount', 'total_amount']) AS column) c
+    GROUP BY ALL
+    """,
+)
 sql(
     "interim_trips_weather",
     """
