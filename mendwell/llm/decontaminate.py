@@ -268,6 +268,20 @@ def contaminations(
     and are nothing. Rows that share an id are told apart while they are matched and reported once, with their
     best match. Documents without id are reported with null; other columns are ignored.
     """
+    full = _held(docs, items, width, contained, id_col, text_col, item_col, item_text_col)
+    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("n_changed")).alias("_less"), "n_windows")).alias("_best"))
+    return best.select(
+        "doc_id",
+        "item_id",
+        F.col("_best.n_windows").cast("long").alias("n_windows"),
+        F.col("_best.n_matched").alias("n_matched"),
+        (F.col("_best.n_matched") / F.col("_best.n_windows")).alias("contained"),
+        (-F.col("_best._less")).alias("n_changed"),
+    )
+
+
+def _held(docs: DataFrame, items: DataFrame, width: int, contained: float, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """``doc_id, _row, item_id, n_windows, n_matched, n_changed`` of every row that holds an item; ``_row`` is the hash of its text."""
     windows = stored(item_windows(items, item_col, item_text_col, width), "item-windows")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("text"))
     found = document_windows(rows, width, window_filter(windows))
@@ -299,19 +313,23 @@ def contaminations(
     sound = met.alias("a").join(torn.alias("b"), same(key), "left").filter(~F.coalesce(F.arrays_overlap(filled, "_torn"), F.lit(False)))
     counted = sound.select("a.doc_id", "a._row", "a.item_id", "item_at", "n_windows").distinct().groupBy("doc_id", "_row", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.max("n_windows").alias("n_windows"))
     held = counted.filter(F.col("n_matched") >= contained * F.col("n_windows"))
-    full = held.alias("a").join(changed.alias("b"), same(["doc_id", "_row", "item_id"]), "left").select("a.doc_id", "a.item_id", "n_windows", "n_matched", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
-    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("n_changed")).alias("_less"), "n_windows")).alias("_best"))
-    return best.select(
-        "doc_id",
-        "item_id",
-        F.col("_best.n_windows").cast("long").alias("n_windows"),
-        F.col("_best.n_matched").alias("n_matched"),
-        (F.col("_best.n_matched") / F.col("_best.n_windows")).alias("contained"),
-        (-F.col("_best._less")).alias("n_changed"),
+    return held.alias("a").join(changed.alias("b"), same(["doc_id", "_row", "item_id"]), "left").select(
+        "a.doc_id", "a._row", "a.item_id", "n_windows", "n_matched", F.coalesce("n_changed", F.lit(0)).alias("n_changed")
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item; those without id stay unless one of them does."""
-    bad = contaminations(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    width: int = WINDOW,
+    contained: float = CONTAINED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """``docs`` without the rows that hold an item; other rows of the same id, or without one, stay."""
+    bad = _held(docs, items, width, contained, id_col, text_col, item_col, item_text_col)
+    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("_row").alias("_bad_row")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text_col]) == bad["_bad_row"])
+    return docs.join(bad, same, "left_anti")

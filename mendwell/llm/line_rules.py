@@ -10,8 +10,8 @@ from mendwell.session import broadcast_if_small
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-# A line is boilerplate if more documents of its host have it than both of these.
-MAX_DOCS, MAX_SHARE = 10, 0.01
+# A line is boilerplate if more documents of its host have it, whatever the size of the host.
+MAX_DOCS = 10
 # A document that keeps less than this share of its words is rejected.
 MIN_LEFT = 0.3
 
@@ -75,14 +75,12 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> list[Co
     ]
 
 
-def shared_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``_host, _line, n_docs`` of the lines above both limits: more than ``max_docs`` documents and this share of the host's.
+def shared_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``_host, _line, n_docs`` of the lines that more than ``max_docs`` documents of a host have.
 
     Distinct documents are counted in two steps, so no host or line meets in one task.
     """
-    counts = lines.groupBy("_host", "_line").agg(F.count_distinct("_id").alias("n_docs")).filter(F.col("n_docs") > max_docs)
-    hosts = lines.groupBy("_host").agg(F.count_distinct("_id").alias("_host_docs"))
-    return counts.join(hosts, "_host").filter(F.col("n_docs") > max_share * F.col("_host_docs")).drop("_host_docs")
+    return lines.groupBy("_host", "_line").agg(F.count_distinct("_id").alias("n_docs")).filter(F.col("n_docs") > max_docs)
 
 
 def remove_shared_lines(
@@ -91,18 +89,17 @@ def remove_shared_lines(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """``docs`` with base counts, ``removed_lines``, ``removed_words``, ``clean_text`` and ``kept``.
 
     Lines are compared in normal form by 64-bit hash, blank lines never. A line is removed wherever
-    more documents of the same host have it than both limits allow. A document is kept
+    more than ``max_docs`` documents of the same host have it, in a host of any size. A document is kept
     unless it fails the base rules or is depleted, left with less than ``min_left`` of its words.
     Null text has no lines and fails the base rules. Rows of one id count as one document, so do rows
     without id; a null host is a host. Every row, repeated ones too, is returned once. Columns of ``docs``
     named like the results are replaced. Of a line only its hash, place and number of
-    words are shuffled; texts are only where ``clean_text`` is used.
+    words are kept, written once and shuffled; texts are shuffled only where ``clean_text`` is used.
     """
     fresh = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "removed_words", "clean_text", "kept"]
     docs = docs.drop(*[c for c in fresh if c not in (id_col, text_col, host_col)])
@@ -110,7 +107,8 @@ def remove_shared_lines(
     lines = lines.filter(has_word(F.col("_raw"))).select(
         "_id", "_host", "_text_hash", "_at", F.xxhash64(normal_line(F.col("_raw"))).alias("_line"), F.size(words(F.col("_raw"))).alias("_words")
     )
-    shared = stored(shared_lines(lines, max_docs, max_share), "shared-lines")
+    lines = stored(lines, "lines")
+    shared = stored(shared_lines(lines, max_docs), "shared-lines")
     hit = lines.join(broadcast_if_small(shared.drop("n_docs")), ["_host", "_line"], "left_semi")
     # Repeated rows give their lines more than once.
     removed = hit.groupBy("_id", "_host", "_text_hash").agg(F.sort_array(F.collect_set(F.struct("_at", "_words"))).alias("_gone"))

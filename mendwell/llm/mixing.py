@@ -60,12 +60,22 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
 
 
 def block_counts(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``targets`` with ``n_blocks``, ``n_slots``: whole passes over a source take its blocks all, the rest by their length."""
+    """``targets`` with ``n_blocks``, ``n_full``, ``n_slots``, ``last_words``: whole passes over a source take all its blocks, the rest as many as its words need.
+
+    The last of ``n_slots`` takes only the ``last_words`` that remain of the target, so that every source meets it to the word.
+    """
     size, target = F.col("source_size"), F.col("target")
     blocks = F.ceil(size / block)
     passes = F.when(size > 0, F.floor(target / size)).otherwise(0)
-    extra = F.least(F.round((target - passes * size) / block).cast("long"), blocks)
-    return targets.select("*", blocks.alias("n_blocks"), (passes * blocks + F.coalesce(extra, F.lit(0))).alias("n_slots"))
+    rest = F.coalesce(F.round(target - passes * size).cast("long"), F.lit(0).cast("long"))
+    extra = F.ceil(rest / block)
+    return targets.select(
+        "*",
+        blocks.alias("n_blocks"),
+        F.floor(size / block).alias("n_full"),
+        (passes * blocks + extra).alias("n_slots"),
+        F.when(extra > 0, rest - (extra - 1) * block).otherwise(block).cast("long").alias("last_words"),
+    )
 
 
 def permuted(at: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -119,14 +129,17 @@ def drawn_counts(counts: DataFrame, shard: int = SHARD, seed: int = SEED, group:
 
 
 def slots(counts: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """``shard, slot, sid, block, turn``: every output slot with its source's block and how often that was taken before.
+    """``shard, slot, sid, block, turn, last_words``: every output slot with its source's block and how often that was taken before.
+
+    A pass over a source takes its full blocks in a pseudorandom order and then its short one. ``last_words`` is set for a source's last slot.
 
     Drawn counts miss a source's slots by chance. A pseudorandom choice of the slots that are too many goes to the sources
     that have too few, so that every source takes exactly ``n_slots``.
     """
     drawn = stored(drawn_counts(counts, shard, seed), "drawn")
     per_source = drawn.groupBy("sid").agg(F.sum("n").alias("_drawn"))
-    known = counts.select("sid", "n_slots", "n_blocks").join(per_source, "sid", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    own = ["n_slots", "n_blocks", "n_full", "last_words"]
+    known = counts.select("sid", *own).join(per_source, "sid", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
     over, under = F.greatest(F.col("_drawn") - F.col("n_slots"), F.lit(0)), F.greatest(F.col("n_slots") - F.col("_drawn"), F.lit(0))
     # One row for each source.
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,29 +149,33 @@ def slots(counts: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     within = Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     begun = drawn.select("*", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_from"), F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_at"))
     each = begun.select("shard", "sid", "_from", "_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_k"))
-    each = each.join(known, "sid").select("shard", (F.col("_at") + F.col("_k")).alias("slot"), "sid", (F.col("_from") + F.col("_k")).alias("_number"), "_drawn", "n_slots", "n_blocks", "_over")
+    each = each.join(known, "sid").select("shard", (F.col("_at") + F.col("_k")).alias("slot"), "sid", (F.col("_from") + F.col("_k")).alias("_number"), "_drawn", *own, "_over")
 
     def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["_number"] = permuted(frame["_number"].to_numpy(), frame["_drawn"].to_numpy(), frame["sid"].to_numpy() * 2 + seed * 1_000_003)
-            yield frame[["shard", "slot", "sid", "_number", "n_slots", "n_blocks", "_over"]]
+            yield frame[["shard", "slot", "sid", "_number", *own, "_over"]]
 
-    picked = each.mapInPandas(chosen, "shard long, slot long, sid long, _number long, n_slots long, n_blocks long, _over long")
+    picked = each.mapInPandas(chosen, f"shard long, slot long, sid long, _number long, {', '.join(f'{c} long' for c in own)}, _over long")
     picked = stored(picked, "picked")
-    fits = picked.filter("_number < n_slots").select("shard", "slot", "sid", "_number", "n_blocks")
+    fits = picked.filter("_number < n_slots").select("shard", "slot", "sid", "_number", *own)
     spare = picked.filter("_number >= n_slots").select("shard", "slot", (F.col("_over") + F.col("_number") - F.col("n_slots")).alias("_x"))
-    short = known.filter("n_slots > _drawn").select("sid", "n_blocks", "_under", "_drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - F.col("_drawn") - 1)).alias("_k"))
-    filled = spare.join(short.select("sid", "n_blocks", (F.col("_under") + F.col("_k")).alias("_x"), (F.col("_drawn") + F.col("_k")).alias("_number")), "_x")
+    short = known.filter("n_slots > _drawn").select("sid", *own, "_under", "_drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - F.col("_drawn") - 1)).alias("_k"))
+    filled = spare.join(short.select("sid", *own, (F.col("_under") + F.col("_k")).alias("_x"), (F.col("_drawn") + F.col("_k")).alias("_number")), "_x")
     numbered = fits.unionByName(filled.drop("_x"))
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             number, size = frame["_number"].to_numpy(), frame["n_blocks"].to_numpy()
-            frame["block"] = permuted(number % size, size, frame["sid"].to_numpy() * 2 + 1 + seed * 1_000_003)
-            frame["turn"] = number // size
-            yield frame[["shard", "slot", "sid", "block", "turn"]]
+            place, full = number % size, frame["n_full"].to_numpy()
+            inner = place < full
+            block = place.copy()
+            block[inner] = permuted(place[inner], full[inner], frame["sid"].to_numpy()[inner] * 2 + 1 + seed * 1_000_003)
+            frame["block"], frame["turn"] = block, number // size
+            frame["last_words"] = frame["last_words"].astype("Int64").where(frame["_number"] == frame["n_slots"] - 1)
+            yield frame[["shard", "slot", "sid", "block", "turn", "last_words"]]
 
-    return numbered.mapInPandas(mapped, "shard long, slot long, sid long, block long, turn long")
+    return numbered.mapInPandas(mapped, "shard long, slot long, sid long, block long, turn long, last_words long")
 
 
 def layout(sized: DataFrame, lanes: int = LANES) -> DataFrame:
@@ -203,12 +220,13 @@ class Mix:
         cut = laid.select("sid", "_doc", "_at", "_size", F.explode(F.sequence(first, last)).alias("block"))
         low = F.greatest(F.col("block") * block, F.col("_at"))
         high = F.least((F.col("block") + 1) * block, F.col("_at") + F.col("_size"))
-        self.segments = cut.select("sid", "block", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc._hash").alias("_hash"), F.col("_doc.copy").alias("copy"), (low - F.col("_at")).alias("first_word"), (high - low).alias("n_words"))
+        self.segments = cut.select("sid", "block", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc._hash").alias("_hash"), F.col("_doc.copy").alias("copy"), (low - F.col("_at")).alias("first_word"), (high - low).alias("n_words"), (low - F.col("block") * block).alias("_in_block"))
         self.slots = slots(self.targets, shard, seed)
 
     def blocks(self) -> DataFrame:
         """``shard, slot, sid, block, turn, doc_id, _hash, copy, first_word, n_words``: the mix, slot by slot."""
-        return self.slots.join(self.segments, ["sid", "block"])
+        most = F.coalesce(F.least("n_words", F.col("last_words") - F.col("_in_block")), "n_words")
+        return self.slots.join(self.segments, ["sid", "block"]).withColumn("n_words", most).filter("n_words > 0").drop("last_words", "_in_block")
 
     def taken(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` for every row of the documents, repeated ones included."""

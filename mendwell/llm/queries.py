@@ -112,11 +112,8 @@ WITH docs AS (
   FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), repeats AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
-), hosts AS (
-  SELECT source, count(DISTINCT doc_id) AS host_docs FROM worded GROUP BY source
 ), shared AS (
-  SELECT source, plain FROM worded JOIN hosts USING (source) GROUP BY source, plain, host_docs
-  HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.01 * host_docs
+  SELECT source, plain FROM worded GROUP BY source, plain HAVING count(DISTINCT doc_id) > 10
 ), gone AS (
   SELECT doc_id, count(*) AS removed_lines, sum(n) AS removed_words FROM worded SEMI JOIN shared USING (source, plain) GROUP BY doc_id
 ), counted AS (

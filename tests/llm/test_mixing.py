@@ -53,7 +53,20 @@ def test_query(spark):
     wanted = targets(sizes)
     for d in docs:
         assert rows[d.doc_id].source_size == sizes[d.source] and rows[d.doc_id].target == pytest.approx(wanted[d.source])
-    assert all(abs(taken[s] - wanted[s]) <= max(0.02 * wanted[s], 4 * mixing.BLOCK) for s in sizes)
+    assert all(abs(taken[s] - wanted[s]) <= 1 for s in sizes)
+
+
+def test_many_small_sources_meet_their_targets(make_docs):
+    rows = [(k, " ".join(f"w{k}.{j}" for j in range(10)), f"source{k // 2:03d}") for k in range(400)]
+    rows += [(1_000 + k, " ".join("xyz" for _ in range(130)), "zz") for k in range(3)]
+    mix = mixing.Mix(make_docs(rows))
+    taken, wanted = {}, {}
+    for r in mix.taken().collect():
+        source = "zz" if r.doc_id >= 1_000 else f"source{r.doc_id // 2:03d}"
+        taken[source] = taken.get(source, 0) + r.taken
+        wanted[source] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert len(taken) == 201 and all(abs(taken[s] - wanted[s]) <= 0.5 for s in taken)
 
 
 def test_slots_are_drawn_and_joined(make_docs):

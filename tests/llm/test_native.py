@@ -66,6 +66,14 @@ def test_shared_lines_go_and_depleted_documents(make_docs):
     assert by_id[42].clean_text == "" and not by_id[42].kept and by_id[None].removed_lines == 0
 
 
+@pytest.mark.parametrize("others", [0, 1_000, 5_000])
+def test_copies_get_one_verdict_in_hosts_of_any_size(make_docs, others):
+    shared = "a line of fourteen words that forty documents of this host share with each other"
+    rows = [(k, shared, "hot") for k in range(40)] + [(100 + k, f"document {chr(97 + k % 26) * (2 + k // 26)} has ten words of its own, and no others", "hot") for k in range(others)]
+    found = line_rules.remove_shared_lines(make_docs(rows)).select("doc_id", "removed_lines", "kept").collect()
+    assert all((r.removed_lines, r.kept) == ((1, False) if r.doc_id < 100 else (0, True)) for r in found)
+
+
 def test_copies_in_one_row_each_count_once(make_docs):
     docs = make_docs([(1, "the same line of some words here and more of them", "h")] * 30)
     assert all(r.removed_lines == 0 and r.kept for r in line_rules.remove_shared_lines(docs).collect())
