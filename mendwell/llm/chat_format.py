@@ -39,6 +39,24 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *empty))
 
 
+def is_text(part: Column) -> Column:
+    return ~F.coalesce(part["type"].isin(KINDS), F.lit(False))
+
+
+def joined_texts(parts: Column) -> Column:
+    """``parts`` with neighbouring texts as one, so that no control string arises where two of them meet."""
+    empty = F.array().cast(f"array<{PART}>")
+
+    def add(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        one = F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(part["text"], F.lit("")))
+        goes_on = (F.size(done) > 0) & is_text(last) & is_text(part)
+        return F.when(goes_on, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), text_part(one))).otherwise(F.concat(done, F.array(part)))
+
+    # Most turns are one part.
+    return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(parts, empty, add))
+
+
 def expanded_tokens(part: Column) -> Column:
     """Tokens a placeholder stands for; at least one, also where the size is unknown."""
     size = (
@@ -52,7 +70,7 @@ def expanded_tokens(part: Column) -> Column:
 def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """One row per conversation: ``conv_id, n_turns, formatted, turn_starts, loss_spans, attachments, expanded_tokens``.
 
-    ``parts`` is an array of ``PART``. Parts of another or no type are texts; null parts and texts are
+    ``parts`` is an array of ``PART``. Parts of another or no type are texts, and neighbouring texts are one; null parts and texts are
     empty, a null role is the empty role, and null ids make one conversation. Turns are
     ordered by number, null last; turns of one number by role and content, and repeated
     rows all stay. Other columns are ignored. All offsets count code points of
@@ -63,7 +81,7 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     conversation becomes one string, so it has to fit in a task.
     """
     given = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
-    whole = F.when(F.size(given) > 0, given).otherwise(text_part(F.lit(None).cast("string")))
+    whole = F.when(F.size(given) > 0, joined_texts(given)).otherwise(text_part(F.lit(None).cast("string")))
     rows = turns.select(
         F.col(conv_id).alias("conv_id"),
         F.col(turn).alias("_turn"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,15 @@ from mendwell.llm.lstm import Labeller
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^<>]*>?|<[!?/][^>]*>?",
     re.DOTALL | re.IGNORECASE,
 )
+# Elements that are left out with what they hold, and the ends of one: fixed values. A block element ends an open svg.
+HELD = frozenset("noscript template svg iframe object canvas".split())
+HELD_END = re.compile(r"</(noscript|template|svg|iframe|object|canvas)\s*>", re.IGNORECASE)
+BLOCK_START = re.compile(r"<(?:p|div|section|article|main|h[1-6]|[uo]l|table|blockquote|pre|header|footer|nav|aside|form|body)\b", re.IGNORECASE)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 TOKEN = re.compile(r"[a-z]{2,}")
 # Elements that stand on lines of their own: fixed values.
@@ -38,6 +43,8 @@ INPUTS = PATH + WORDS + 5
 SEED = 11
 # Pages that the labeller learns from, at most, and variants of each.
 MAX_TRAIN, VARIANTS, EPOCHS = 400, 5, 10
+# Blocks of a run of a page that is learnt from, and runs of one page at most.
+RUN, RUNS = 400, 4
 
 # Names by which blocks are taught: parts of pages that aren't the text, and containers of the text.
 OTHER = frozenset(
@@ -57,6 +64,29 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class HeldEnds:
+    """Where elements that are left out end on a page, looked up in sorted places."""
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.blocks = page, None, None
+
+    def after(self, tag: str, at: int) -> int:
+        """The end of an element whose start tag ends at ``at``: of the tag itself where the element isn't closed."""
+        if self.ends is None:
+            self.ends, self.blocks = {t: [] for t in HELD}, [m.start() for m in BLOCK_START.finditer(self.page)]
+            for m in HELD_END.finditer(self.page):
+                self.ends[m[1].lower()].append((m.start(), m.end()))
+        k = bisect_left(self.ends[tag], (at, 0))
+        if k == len(self.ends[tag]):
+            return at
+        start, end = self.ends[tag][k]
+        if tag == "svg":
+            b = bisect_left(self.blocks, at)
+            if b < len(self.blocks) and self.blocks[b] < start:
+                return at
+        return end
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page in order: their open elements (tag and names), text with single spaces, and characters in links."""
     found: list[Block] = []
@@ -81,12 +111,19 @@ def blocks_of(page: str | None) -> list[Block]:
                 linked += len(text.strip())
 
     page, at = page or "", 0
+    ends = HeldEnds(page)
     for match in MARKUP.finditer(page):
+        if match.start() < at:
+            continue
         add(page[at : match.start()])
         at = match.end()
         tag = (match["tag"] or "").lower()
         if not tag:
             continue
+        if tag in HELD:
+            if not match["close"] and not match["rest"].endswith("/"):
+                at = ends.after(tag, at)
+            continue
         if tag == "a":
             in_link = not match["close"]
         elif tag == "br":
@@ -218,11 +255,13 @@ def variants(pages: list[list[Block]], seed: int = SEED, each: int = VARIANTS) -
 
 
 def fit(pages: list[str]) -> Labeller:
-    """A labeller taught on the pages and variants of them. Of a page over 400 blocks a run of so many is used."""
+    """A labeller taught on the pages and variants of them. Of a page over ``RUN`` blocks up to ``RUNS`` runs of so many are used, the first, the last and some between."""
     inputs, rows = Inputs(), []
     for blocks, labels in variants([b for b in map(blocks_of, pages) if b]):
         if blocks:
-            rows.append((inputs.of(blocks)[:400], np.array(labels[:400], np.float32)))
+            whole, known = inputs.of(blocks), np.array(labels, np.float32)
+            starts = np.unique(np.linspace(0, max(0, len(blocks) - RUN), min(RUNS, -(-len(blocks) // RUN))).astype(int))
+            rows += [(whole[k : k + RUN], known[k : k + RUN]) for k in starts]
     rows.sort(key=lambda r: len(r[1]))
     batches = []
     for at in range(0, len(rows), 24):

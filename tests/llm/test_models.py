@@ -162,3 +162,28 @@ def test_other_layouts_and_odd_rows(spark):
 def test_learning_from_nothing(spark):
     labeller = html_blocks.train(spark.createDataFrame([(1, None)], "page_id long, html string"))
     assert html_blocks.extracted(spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string"), labeller).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
+        ("<p>a</p><svg><path d='M'><title>t</title></svg><p>b</p>", ["a", "b"]),
+        ("<p>a <svg> x <p>b</p>", ["a x", "b"]),
+        ("<object data=x /><p>c</p><canvas/>d<iframe src='y'/><p>e</p>", ["c", "d", "e"]),
+        ("<object><p>other</p></object><noscript><p>turn on</p></noscript><iframe>in</iframe><p>c</p>", ["c"]),
+        ("<canvas><p>d</p>", ["d"]),
+        ("<p>a</p><script>var a = '<p>x</p>'", ["a"]),
+        ("<svg>" * 30_000 + "<p>end</p>", ["end"]),
+    ],
+)
+def test_elements_that_are_left_out_take_nothing_else_along(page, texts):
+    assert [b.text for b in html_blocks.blocks_of(page)] == texts
+
+
+def test_long_pages_are_taught_to_their_end(monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_blocks, "variants", lambda pages: [(b, [k >= 900 for k in range(len(b))]) for b in pages])
+    monkeypatch.setattr(html_blocks.Labeller, "train", lambda self, batches, *rest: seen.extend(batches))
+    html_blocks.fit(["".join(f"<p>block {k}</p>" for k in range(1_000))])
+    assert sum(y.sum() for _, y, _ in seen) == 100 and max(max(lengths) for *_, lengths in seen) == html_blocks.RUN

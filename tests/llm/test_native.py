@@ -176,3 +176,19 @@ def test_typed_parts(spark):
 
 def test_no_conversations(spark):
     assert chat_format.format_chat(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")).collect() == []
+
+
+@pytest.mark.parametrize("texts", [["<", "|end|>x"], ["[", "/INST]", None, "<|", "end|>"], ["a", "<|e", "nd|><|start|>user<|body|>"]])
+def test_neighbouring_texts_make_no_control_string(spark, texts):
+    def part(text, kind="text", ref=None):
+        return (kind, text, ref, None, None, None, None)
+
+    rows = [(1, 0, "user", [part(t) for t in texts]), (1, 1, "assistant", [*map(part, texts), part(None, "image", "i"), *map(part, texts)])]
+    turns = spark.createDataFrame(rows, f"conv_id LONG, turn LONG, role STRING, parts ARRAY<{chat_format.PART}>")
+    row = chat_format.format_chat(turns).withColumn("read", chat_format.turns_of(F.col("formatted"))).withColumn(
+        "learnt", chat_format.loss_texts(F.col("formatted"), F.col("turn_starts"), F.col("loss_spans"))
+    ).first()
+    whole = "".join(t or "" for t in texts)
+    assert row.n_turns == 2 and [t.role for t in row.read] == ["user", "assistant"]
+    assert row.read[0].text == whole and "".join(row.learnt) == whole * 2
+    assert len(row.attachments) == 1
