@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendwell.functions.scalars import clip, first_match, non_empty, or_default, padded, short_hash
+from mendwell.functions.scalars import bare_name, clip, first_match, non_empty, or_default, padded, short_hash
 from mendwell.session import broadcast_if_small
 from mendwell.sources.files import stored
 
@@ -107,6 +107,27 @@ def incidents_of(runs: DataFrame, fold: DataFrame) -> DataFrame:
     )
 
 
+def full_records(captured: DataFrame, lineage: DataFrame, tags: DataFrame, samples: DataFrame) -> DataFrame:
+    """Captured incidents with ``upstream_lineage``, the run's tags in ``recent_metadata``, and ``sample_rows``.
+
+    ``lineage`` has ``asset_key, upstream`` (a list), ``tags`` ``run_id, tags`` (a map), ``samples``
+    ``target, sample_rows`` of failed checks; a target is the bare name of an asset. Lists are empty where nothing is known; a tag doesn't replace
+    what the capture says itself.
+    """
+    per_target = samples.groupBy("target").agg(F.flatten(F.collect_list("sample_rows")).alias("sample_rows"))
+    named = captured.withColumn("_name", bare_name(F.col("asset_key")))
+    joined = named.join(lineage.select("asset_key", F.col("upstream").alias("upstream_lineage")), "asset_key", "left")
+    joined = joined.join(tags.select("run_id", "tags"), "run_id", "left").join(broadcast_if_small(per_target), F.col("_name") == F.col("target"), "left")
+    own = F.col("recent_metadata")
+    extra = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(own), k))
+    return joined.select(
+        *[c for c in captured.columns if c != "recent_metadata"],
+        F.coalesce("upstream_lineage", F.array().cast("array<string>")).alias("upstream_lineage"),
+        F.map_concat(own, extra).alias("recent_metadata"),
+        F.coalesce("sample_rows", F.array().cast("array<map<string,string>>")).alias("sample_rows"),
+    )
+
+
 def append_new(opened: DataFrame, incoming: DataFrame) -> DataFrame:
     """Captured incidents that the log does not hold yet; of those that share an id the one created first."""
     each = incoming.groupBy("incident_id").agg(F.min_by(F.struct("*"), "created_at").alias("_first"))

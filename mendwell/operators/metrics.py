@@ -7,9 +7,16 @@ only those few rows are spread over the windows that contain them.
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendwell.session import broadcast_if_small
+from mendwell.sources.files import stored
+
+LARGEST = sys.float_info.max
 # Upper bounds of the latency histogram in seconds.
 LATENCY_BOUNDS = [0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0]
 
@@ -91,6 +98,42 @@ def histogram_quantile(histogram: DataFrame, labels: list[str], q: float) -> Dat
     return reached.groupBy(*labels).agg(F.min_by(value, "bucket").alias("quantile"))
 
 
+def exact_quantile(events: DataFrame, labels: list[str], value: str, q: float, parts: int = 256) -> DataFrame:
+    """``*labels, quantile``: the smallest value that at least the share ``q`` of a series' values doesn't exceed.
+
+    No series is sorted or collected: each pass counts ``parts`` equal ranges between the bounds of each series,
+    keeps the range that holds the rank and takes its smallest and largest value as the next bounds, until
+    they meet. Between passes a series is one row. Null and NaN are no values, infinite ones count as the
+    largest finite ones.
+    """
+    finite = F.greatest(F.least(F.col(value).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
+    known = events.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*labels, finite.alias("_v"))
+    known = stored(known, "quantile-values")
+    rank = F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(q)), F.lit(1))
+    at = stored(known.groupBy(*labels).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), rank.alias("_rank")), "quantile-bounds")
+    settled = at.filter("_low = _high")
+    done, open_series = [settled], at.filter("_low < _high")
+    while not open_series.isEmpty():
+        bounds = broadcast_if_small(open_series).alias("b")
+        inside = known.alias("k").join(bounds, labels_match("k", "b", labels)).filter("_v BETWEEN _low AND _high")
+        # The smallest value falls into the first part and the largest into the last, so the bounds always move. Wide bounds are halved first.
+        wide = F.col("_high") - F.col("_low") > F.lit(LARGEST)
+        share = F.when(wide, (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)).otherwise((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")))
+        part = F.least(F.floor(share * parts), F.lit(parts - 1)).alias("_part")
+        counts = inside.groupBy(*[F.col(f"b.{c}").alias(c) for c in labels], "_rank", part).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        order = Window.partitionBy(*labels).orderBy("_part")
+        upto = counts.withColumn("_upto", F.sum("_n").over(order))
+        chosen = upto.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        at = stored(chosen.select(*labels, "_low", "_high", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")), "quantile-bounds")
+        done.append(at.filter("_low = _high"))
+        open_series = at.filter("_low < _high")
+    return reduce(DataFrame.unionByName, done).select(*labels, F.col("_low").alias("quantile"))
+
+
+def labels_match(left: str, right: str, labels: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in labels])
+
+
 def pass_rate(outcomes: DataFrame, labels: list[str]) -> DataFrame:
     """Share of passed checks; null where nothing was checked."""
     passed = F.count_if(F.col("result") == "pass")

@@ -128,22 +128,34 @@ def with_payload(hits: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def build_index(texts: DataFrame, id_column: str, text_column: str, dims: int = 384) -> DataFrame:
-    """Unit vectors of hashed word counts; blank text is skipped, one row per id.
+    """Unit vectors of hashed word counts; texts without words are skipped, one row per id.
 
-    The texts become vectors where they are read: only ids, vectors and other
-    payload columns are shuffled to keep one row per id.
+    A word's dimension comes from its md5, so that other systems give the same vectors. Words are counted
+    before they are shuffled. Of several texts of one id the one with the smallest hash counts; other columns keep
+    the values of one of its rows.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    spoken = texts.filter(non_empty(F.trim(text_column)).isNotNull())
-    words = F.filter(F.split(F.lower(text_column), r"\s+"), lambda w: w != "")
-    counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(
-        spoken.withColumn("_words", words)
+    others = [c for c in texts.columns if c not in (id_column, text_column)]
+    words = F.filter(F.split(F.lower(text_column), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    spoken = texts.select(F.col(id_column), F.xxhash64(text_column).alias("_hash"), F.explode(words).alias("_word"))
+    place = F.conv(F.substring(F.md5("_word"), 1, 8), 16, 10).cast("bigint") % dims
+    counted = spoken.groupBy(id_column, "_hash", place.cast("int").alias("_dim")).agg(F.count(F.lit(1)).alias("_n"))
+    entries = counted.groupBy(id_column, "_hash").agg(
+        F.sort_array(F.collect_list(F.struct("_dim", "_n"))).alias("_e"), F.sqrt(F.sum((F.col("_n") * F.col("_n")).cast("double"))).alias("_norm")
+    )
+    zero = F.lit(0.0).cast("float")
+    # Each entry with the zeros up to the next one.
+    parts = F.transform(
+        "_e",
+        lambda e, k: F.concat(
+            F.array((e["_n"] / F.col("_norm")).cast("float")), F.array_repeat(zero, F.coalesce(F.get("_e", k + 1)["_dim"], F.lit(dims)) - e["_dim"] - 1)
+        ),
     )
-    scaled = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
-    vectors = scaled.withColumn("vector", vector_to_array("_unit", "float32"))
-    return vectors.drop("_words", "_tf", "_unit", text_column).dropDuplicates([id_column])
+    vector = F.concat(F.array_repeat(zero, F.col("_e")[0]["_dim"]), F.flatten(parts))
+    vectors = entries.select(id_column, "_hash", vector.alias("vector")).groupBy(id_column).agg(F.min_by("vector", "_hash").alias("vector"))
+    if not others:
+        return vectors
+    payload = texts.drop(text_column).dropDuplicates([id_column])
+    return payload.join(vectors, id_column)
 
 
 def upsert_index(index: DataFrame, fresh: DataFrame, id_column: str, written: str | None = None) -> DataFrame:

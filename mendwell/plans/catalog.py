@@ -7,13 +7,14 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendwell.functions.scalars import bare_name, month_end, month_start, partition_key
 from mendwell.operators import context, diagnosis, drift, faults, gold, incidents, medallion, metrics, partitions
 from mendwell.operators import quality, remediation, retries, similarity, snapshots
 from mendwell.plans import surrogates as tables
 from mendwell.session import work_dir
-from mendwell.sources import files, footers, landing, weather_json
+from mendwell.sources import files, footers, keyed_store, landing, weather_json
 from mendwell.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,6 +517,39 @@ def capture_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.captured(spark, sf_dir).drop("recent_metadata")
 
 
+def _trip_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row checks of staged trips with sample rows, told by an md5 that other systems know too."""
+    trips = medallion.stage_trips(tables.bronze_trips(spark, sf_dir)).select("pickup_ts", "vendor_id", "pickup_zone_id", "dropoff_zone_id", "tip_amount", "total_amount")
+    name = F.concat_ws("|", "pickup_zone_id", "dropoff_zone_id", "vendor_id", F.date_format("pickup_ts", "yyyyMMdd"))
+    checks = [
+        quality.RowCheck("tip_below_a_tenth", "stg_tlc_yellow", F.col("tip_amount") >= 0.1),
+        quality.RowCheck("total_in_range", "stg_tlc_yellow", ~F.col("total_amount").between(20, 1_000_000)),
+        quality.RowCheck("vendor_known", "stg_tlc_yellow", F.col("vendor_id") > 1_000),
+    ]
+    kept = trips.withColumn("_name", name)
+    return quality.suite_samples(kept, checks, F.conv(F.substring(F.md5("_name"), 1, 15), 16, 10).cast("bigint"))
+
+
+@query
+def dq_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of each check and up to three of the failing rows, by name."""
+    names = F.array_sort(F.transform("sample_rows", lambda r: r["_name"]))
+    return _trip_samples(spark, sf_dir).select("check_name", "failures", F.array_join(names, ",").alias("sample_names"))
+
+
+@query
+def incident_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents as full records: lineage, metadata with the run's tags, and sample rows of the asset's failed checks."""
+    opened = stored(tables.captured(spark, sf_dir), "captured")
+    nodes, edges = tables.incident_lineage(spark, sf_dir)
+    lineage = context.neighbour_lists(context.lineage_neighbours(opened, nodes, edges))
+    tags = tables.runs(spark, sf_dir).select("run_id", F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("job_name"), F.lit("no"), F.lit("selected"), F.size("asset_keys").cast("string")).alias("tags"))
+    records = incidents.full_records(opened, lineage, tags, _trip_samples(spark, sf_dir))
+    entries = F.array_sort(F.transform(F.map_entries("recent_metadata"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
+    names = F.array_sort(F.transform("sample_rows", lambda r: r["_name"]))
+    return records.select("incident_id", joined("upstream_lineage"), F.array_join(entries, ";").alias("metadata"), F.array_join(names, ",").alias("sample_names"))
+
+
 @query
 def incident_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.state(spark, sf_dir).select("incident_id", "status", "resolved_at", "proposed_fix")
@@ -623,8 +657,9 @@ def incident_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = tables.table(spark, sf_dir, "documents")
     index = similarity.build_index(documents, "doc_id", "text")
     square = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
+    weight = F.aggregate(F.transform("vector", lambda v, k: v.cast("double") * (k + 1)), F.lit(0.0), lambda acc, v: acc + v)
     return index.select(
-        "doc_id", F.size("vector").cast("bigint").alias("dims"), F.round(F.sqrt(square), 3).alias("length")
+        "doc_id", F.size("vector").cast("bigint").alias("dims"), F.round(F.sqrt(square), 3).alias("length"), F.round(weight, 3).alias("weight")
     )
 
 
@@ -639,6 +674,19 @@ def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated.select("vec_id", long("label"), F.array_join(millionths, ",").alias("millionths"))
 
 
+@query
+def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_vectors``, with the vectors kept as a bucketed table that the second batch is merged into, twice."""
+    index = tables.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    store = keyed_store.KeyedStore(spark, work_dir(spark, "vector-table"), index.schema, "vec_id")
+    store.upsert(index)
+    doubled = F.transform("embedding", lambda x: x * F.lit(2).cast("float"))
+    for _ in range(2):
+        store.upsert(index.filter(F.col("label") < 5).withColumn("embedding", doubled))
+    millionths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string"))
+    return store.read().select("vec_id", long("label"), F.array_join(millionths, ",").alias("millionths"))
+
+
 def _similar(
     spark: SparkSession, sf_dir: str, state: DataFrame, queue: DataFrame, same_asset: bool, max_broadcast: int = similarity.BROADCAST_QUERIES
 ) -> DataFrame:
@@ -782,6 +830,40 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPORT = T.StructType([T.StructField(c, T.StringType()) for c in ("incident_id", "generated_at", "report")])
+
+
+def _report_store(spark: SparkSession, sf_dir: str) -> keyed_store.KeyedStore:
+    """All reports, written three times: as they are, again, and as of a day before."""
+    store = keyed_store.KeyedStore(spark, work_dir(spark, "report-store"), REPORT, "incident_id", ("generated_at", "report"))
+    at = F.get_json_object("report", "$.generated_at")
+    built = stored(_reports(spark, sf_dir, _decided(spark, sf_dir)).select("incident_id", at.alias("generated_at"), "report"), "built")
+    for rows in (built, built, built.withColumns({"generated_at": F.lit("1970-01-01"), "report": F.lit("{}")})):
+        store.upsert(rows)
+    return store
+
+
+def _report_fields() -> list[Column]:
+    path = lambda p: F.get_json_object("report", f"$.{p}")
+    return [F.col("incident_id"), path("category_hint").alias("category_hint"), path("diagnosis.category").alias("category"), path("proposed_action.status").alias("action_status")]
+
+
+@query
+def report_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports kept by incident: written again they stay one each, and an older one replaces none."""
+    return _report_store(spark, sf_dir).read().select(*_report_fields())
+
+
+@query
+def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state and the report of one incident, the one with the largest id, read from its bucket."""
+    store = _report_store(spark, sf_dir)
+    state = _state(spark, sf_dir)
+    wanted = state.agg(F.max("incident_id")).first()[0] or ""
+    one = incidents.incident_by_id(state, wanted).select("incident_id", "status", "asset_key")
+    return one.join(store.lookup(wanted).select(*_report_fields()), "incident_id")
+
+
 @query
 def second_tick_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is still undiagnosed once the reports of one tick have stamped their fixes on the incident log."""
@@ -975,6 +1057,21 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.histogram_quantile(buckets, ["source", "day"], 0.95))
 
 
+@query
+def latency_p95_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p95 per source and day, exact, and whether the estimate from the buckets lies in the same bucket."""
+    events = tables.metric_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    exact = metrics.exact_quantile(events, ["source", "day"], "seconds", 0.95)
+    buckets = metrics.bucket_counts(events, ["source", "day"], "seconds")
+    estimate = metrics.histogram_quantile(buckets, ["source", "day"], 0.95).withColumnRenamed("quantile", "estimate")
+    bounds = [0.0, *metrics.LATENCY_BOUNDS]
+    near = F.lit(False)
+    for low, high in zip(bounds, bounds[1:]):
+        near = near | (F.col("quantile").between(low, high) & F.col("estimate").between(low, high))
+    near = near | ((F.col("quantile") >= bounds[-1]) & (F.col("estimate") == bounds[-1]))
+    return exact.join(estimate, ["source", "day"]).select("source", "day", "quantile", near.alias("same_bucket"))
+
+
 @query
 def dq_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.metric_events(spark, sf_dir).withColumn("day", F.to_date("ts"))

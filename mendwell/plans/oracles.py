@@ -1191,3 +1191,72 @@ sql(
     FROM events GROUP BY 1, 2
     """,
 )
+
+# --- kept tables, samples, exact quantiles ----------------------------------------------
+
+ORACLES["vector_table"] = ORACLES["upsert_vectors"]
+ORACLES["report_store"] = f"SELECT incident_id, category_hint, category, action_status FROM ({ORACLES['reports']})"
+sql(
+    "report_lookup",
+    f"""
+    SELECT incident_id, status, asset_key, category_hint, category, action_status
+    FROM state JOIN (SELECT incident_id, category_hint, category, action_status FROM ({ORACLES["reports"]})) USING (incident_id)
+    WHERE incident_id = (SELECT max(incident_id) FROM state)
+    """,
+    "state",
+)
+sql(
+    "latency_p95_exact",
+    """
+    SELECT source, day, seconds AS quantile, true AS same_bucket
+    FROM (SELECT source, CAST(ts AS DATE) AS day, seconds, row_number() OVER (PARTITION BY source, CAST(ts AS DATE) ORDER BY seconds) AS place,
+                 count(*) OVER (PARTITION BY source, CAST(ts AS DATE)) AS n
+          FROM metric WHERE seconds IS NOT NULL)
+    WHERE place = greatest(ceil(n * 0.95::DOUBLE), 1)
+    """,
+    "metric",
+)
+_SAMPLES = """
+    SELECT check_name, coalesce(failures, 0) AS failures, coalesce(names, []) AS names
+    FROM (SELECT unnest(['tip_below_a_tenth', 'total_in_range', 'vendor_known']) AS check_name)
+    LEFT JOIN (SELECT check_name, count(*) AS failures FROM failing GROUP BY 1) USING (check_name)
+    LEFT JOIN (SELECT check_name, list(name ORDER BY name) AS names
+               FROM (SELECT check_name, any_value(name) AS name FROM failing SEMI JOIN
+                       (SELECT check_name, min(h) AS h FROM failing GROUP BY check_name, h % 3) USING (check_name, h) GROUP BY check_name, h)
+               GROUP BY 1) USING (check_name)"""
+CTES["failing"] = """
+    SELECT c.check_name, name, ('0x' || substr(md5(name), 1, 15))::BIGINT AS h
+    FROM (SELECT *, pickup_zone_id || '|' || dropoff_zone_id || '|' || vendor_id || '|' || strftime(pickup_ts, '%Y%m%d') AS name FROM trips),
+         (SELECT unnest(['tip_below_a_tenth', 'total_in_range', 'vendor_known']) AS check_name) c
+    WHERE CASE check_name WHEN 'tip_below_a_tenth' THEN tip_amount >= 0.1
+          WHEN 'total_in_range' THEN total_amount NOT BETWEEN 20 AND 1000000 ELSE vendor_id > 1000 END"""
+NEEDS["failing"] = ["trips"]
+sql("dq_sample_rows", f"SELECT check_name, failures, array_to_string(names, ',') AS sample_names FROM ({_SAMPLES})", "failing")
+sql(
+    "incident_records",
+    f"""
+    SELECT incident_id, coalesce(p.upstream, '') AS upstream_lineage,
+           'job_name=job' || user_id % 3 || ';partition=' || coalesce(partition_key, '') || ';run_id=' || c.run_id
+               || ';selected=' || CASE WHEN user_id % 50 = 0 THEN 0 ELSE n_assets END || ';user=' || user_id AS metadata,
+           CASE WHEN c.asset_key = 'stg_tlc_yellow'
+                THEN (SELECT array_to_string(list_sort(flatten(list(names))), ',') FROM ({_SAMPLES})) ELSE '' END AS sample_names
+    FROM captured c JOIN (SELECT run_id, count(DISTINCT asset_key) AS n_assets FROM log GROUP BY 1) USING (run_id)
+    LEFT JOIN parents p ON p.name = regexp_extract(c.asset_key, '[^/.]+$')
+    """,
+    "captured",
+    "parents",
+    "failing",
+)
+sql(
+    "incident_index",
+    """
+    WITH words AS (
+      SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS w FROM documents
+    ), counted AS (
+      SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 384 AS d, count(*) AS n FROM words GROUP BY ALL
+    ), scaled AS (
+      SELECT doc_id, d, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS v FROM counted
+    )
+    SELECT doc_id, 384::BIGINT AS dims, round(sqrt(sum(v * v)), 3) AS length, round(sum(v * (d + 1)), 3) AS weight FROM scaled GROUP BY doc_id
+    """,
+)

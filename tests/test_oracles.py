@@ -9,8 +9,7 @@ import __spark_entry__ as contract
 from mendwell.plans.catalog import QUERIES
 from mendwell.plans.oracles import ORACLES
 
-# Vectors made with an engine's own hash function have no SQL form.
-WITHOUT_SQL = {"incident_index"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
