@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendwell.llm.common import stored
+from mendwell.llm.common import slices, stored
 from mendwell.session import is_small
 
 WINDOW = 5
@@ -37,6 +39,8 @@ NAME = re.compile(r"[A-Z][a-zà-öø-ÿ]+(?:['’-][A-Za-zà-öø-ÿ]+)*")
 # Bits of the filter for each window of the items, and how many windows, of 8 bytes, are sent to every task at most.
 BITS, MOST_SENT = 32, 1_000_000
 HITS = "doc_id long, _row long, at int, hash long, slots array<string>, opens array<boolean>"
+# Bytes of texts whose words are hashed at a time.
+SLICE = 500_000
 # Windows at a time for which the readings of their openers are hashed.
 READ_AT_ONCE = 100_000
 NO_READINGS = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -91,28 +95,25 @@ class Words:
                 values[k] = value
         return out
 
-    def windows(self, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list, list[str]]:
-        """Hashes of the template and plain windows, the places of slots and of openers, the readings of openers, and the words.
+    def windows(self, raw: list[str], starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """Hashes of the template and plain windows of ``width`` words, the places of slots and of openers, and the readings of openers.
 
-        In the templates openers, capitalised words that begin a sentence, are words; ``_readings`` has the windows with
-        openers as names. A shorter text is one window.
+        ``raw`` has the words of several texts, which begin at ``starts``; windows over their ends are listed too. In the
+        templates openers, capitalised words that begin a sentence, are words; ``_readings`` has the windows with openers as names.
         """
-        raw = (text or "").split()
-        if not raw:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), NO_READINGS, raw
         plain, shape, kind, ends = self.tables(raw)
         begins = np.concatenate([[True], ends[:-1]])
+        begins[starts] = True
         opens = (kind == 2) & begins
         slot = (kind == 1) | ((kind == 2) & ~begins)
         named, shape = shape, np.where(slot, shape, plain)
-        size = min(width, len(raw))
-        if size not in self.factors:
-            drawn = np.random.default_rng(1000 + size).integers(0, 2**63, size, np.uint64)
-            self.factors[size] = drawn * np.uint64(2) + np.uint64(1)
-        hashed = _rolled(shape, self.factors[size])
-        readings = _readings(shape, named, opens, self.factors[size]) if opens.any() else NO_READINGS
+        if width not in self.factors:
+            drawn = np.random.default_rng(1000 + width).integers(0, 2**63, width, np.uint64)
+            self.factors[width] = drawn * np.uint64(2) + np.uint64(1)
+        hashed = _rolled(shape, self.factors[width])
+        readings = _readings(shape, named, opens, self.factors[width]) if opens.any() else NO_READINGS
         # Most texts have no slots, and their plain windows are their templates.
-        return hashed, _rolled(plain, self.factors[size]) if slot.any() else hashed, slot, opens, readings, raw
+        return hashed, _rolled(plain, self.factors[width]) if slot.any() else hashed, slot, opens, readings
 
 
 def _rolled(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -157,27 +158,55 @@ def _slots(slot: np.ndarray, raw: list[str], at: int, size: int) -> list[str | N
 
 
 def _rows(words: Words, text: str | None, width: int, wanted=None) -> Iterator[tuple[int, int, list[str | None], list[bool]]]:
-    """``at, hash, slots, opens`` of the template windows, with every reading of openers, and of plain windows that differ
-    from them (whose slots are words and so empty). ``opens`` tells which slots are openers."""
-    shape, plain, slot, opens, readings, raw = words.windows(text, width)
-    size = min(width, len(raw))
-    for hashes, templates in ((shape, True), (plain, False)):
-        # A plain window equal to its template is listed once.
-        if not templates and plain is shape:
-            continue
-        mask = np.ones(len(hashes), bool) if templates else plain != shape
-        if wanted is not None:
-            mask &= wanted(hashes)
-        for at in np.flatnonzero(mask).tolist():
-            yield at, int(hashes[at].view(np.int64)), _slots(slot, raw, at, size) if templates else [None] * size, [False] * size
-    for places, hashes, chosen in readings:
-        for k in (np.arange(len(hashes)) if wanted is None else np.flatnonzero(wanted(hashes))).tolist():
-            at = int(places[k])
-            names = np.flatnonzero(opens[at : at + size])
-            opened = np.zeros(size, bool)
-            opened[names[(int(chosen[k]) >> np.arange(len(names))) & 1 == 1]] = True
-            taken = slot[at : at + size] | opened
-            yield at, int(hashes[k].view(np.int64)), _slots(taken, raw[at : at + size], 0, size), opened.tolist()
+    """``at, hash, slots, opens`` of the windows of one text, see ``_rows_of``."""
+    for _, *row in _rows_of(words, [text], width, wanted):
+        yield tuple(row)
+
+
+def _rows_of(words: Words, texts: list[str | None], width: int, wanted=None) -> Iterator[tuple[int, int, int, list[str | None], list[bool]]]:
+    """``text, at, hash, slots, opens`` of the template windows, with every reading of openers, and of plain windows that differ
+    from them (whose slots are words and so empty). ``opens`` tells which slots are openers, ``text`` is the place in ``texts``.
+
+    The texts are hashed as one sequence of words; a text shorter than a window is one window, and
+    all of one length go together.
+    """
+    split = [(text or "").split() for text in texts]
+    by_size: dict[int, list[int]] = {}
+    for k, raw in enumerate(split):
+        if raw:
+            by_size.setdefault(min(width, len(raw)), []).append(k)
+    for size, numbers in by_size.items():
+        raw = list(chain.from_iterable(split[k] for k in numbers))
+        lengths = np.array([len(split[k]) for k in numbers])
+        starts = np.cumsum(lengths) - lengths
+        # The text of each window, and whether it ends within it.
+        of = np.repeat(np.arange(len(numbers)), lengths)[: len(raw) - size + 1]
+        whole = np.arange(len(of)) + size <= (starts + lengths)[of]
+        shape, plain, slot, opens, readings = words.windows(raw, starts, size)
+
+        def placed(at: int) -> tuple[int, int]:
+            return numbers[of[at]], at - int(starts[of[at]])
+
+        for hashes, templates in ((shape, True), (plain, False)):
+            # A plain window equal to its template is listed once.
+            if not templates and plain is shape:
+                continue
+            mask = whole if templates else whole & (plain != shape)
+            if wanted is not None:
+                mask = mask & wanted(hashes)
+            for at in np.flatnonzero(mask).tolist():
+                yield *placed(at), int(hashes[at].view(np.int64)), _slots(slot, raw, at, size) if templates else [None] * size, [False] * size
+        for places, hashes, chosen in readings:
+            mask = whole[places]
+            if wanted is not None:
+                mask = mask & wanted(hashes)
+            for k in np.flatnonzero(mask).tolist():
+                at = int(places[k])
+                names = np.flatnonzero(opens[at : at + size])
+                opened = np.zeros(size, bool)
+                opened[names[(int(chosen[k]) >> np.arange(len(names))) & 1 == 1]] = True
+                taken = slot[at : at + size] | opened
+                yield *placed(at), int(hashes[k].view(np.int64)), _slots(taken, raw[at : at + size], 0, size), opened.tolist()
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -238,10 +267,15 @@ def document_windows(docs: DataFrame, width: int, wanted: Wanted | None) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist(), batch.column("text"), strict=True):
-                found = [{"doc_id": doc, "_row": row, "at": at, "hash": h, "slots": slots, "opens": opens} for at, h, slots, opens in _rows(shared.value, text.as_py(), width, held.value)]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+            docs_of, rows_of, column = batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist(), batch.column("text")
+            sizes, start = pc.binary_length(column.fill_null("")).to_pylist(), 0
+            # Only a slice of the texts becomes words at a time.
+            for run in slices(sizes, lambda n: n + 1, SLICE):
+                texts = column.slice(start, len(run)).to_pylist()
+                hits = ((start + k, *row) for k, *row in _rows_of(shared.value, texts, width, held.value))
+                for some in slices(({"doc_id": docs_of[k], "_row": rows_of[k], "at": at, "hash": h, "slots": slots, "opens": opens} for k, at, h, slots, opens in hits), lambda _: 1, 10_000):
+                    yield pa.RecordBatch.from_pylist(some, schema=schema)
+                start += len(run)
 
     schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("opens", pa.list_(pa.bool_()))])
     return docs.mapInArrow(cut, HITS)
