@@ -733,7 +733,8 @@ def _context(spark: SparkSession, sf_dir: str, queue: DataFrame, similar: DataFr
 
 @query
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundle = _context(spark, sf_dir, stored(incidents.undiagnosed(_state(spark, sf_dir)), "queue"))
+    state = _state(spark, sf_dir)
+    bundle = _full_context(spark, sf_dir, state, stored(incidents.undiagnosed(state), "queue"))
     return bundle.select(
         "incident_id",
         "asset_key",
@@ -873,7 +874,7 @@ def second_tick_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = stored(incidents.classify(incidents.diagnosis_queue(state, 10)), "queue")
     diagnosed = diagnosis.diagnose(queue, tables.responses(queue), remediation.ALLOWLIST)
     decided = remediation.decide_actions(stored(diagnosed, "diagnosed"), tables.flags(spark, sf_dir), _manifest(spark, sf_dir))
-    written = diagnosis.build_reports(context.context_bundle(decided), NOW)
+    written = diagnosis.build_reports(_full_context(spark, sf_dir, state, stored(decided, "decided")), NOW)
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).scalar()
     fixes = diagnosis.proposed_fixes(written, last + 1, F.lit(NOW).cast("timestamp_ntz"))
     after = incidents.incident_state(opened, log.unionByName(fixes.select(*log.columns)))

@@ -756,8 +756,10 @@ sql(
     "context_bundle",
     """
     SELECT w.incident_id, w.asset_key, coalesce(p.upstream, '') AS upstream, '' AS downstream,
-           coalesce(r.n, 0) AS recent_run_count, coalesce(t.n, 0) AS log_line_count, 0::BIGINT AS similar_incident_count
+           coalesce(r.n, 0) AS recent_run_count, coalesce(t.n, 0) AS log_line_count,
+           coalesce(s.n, 0) AS similar_incident_count
     FROM waiting w
+    LEFT JOIN (SELECT incident_id, least(5, count(*) OVER (PARTITION BY asset_key) - 1) AS n FROM vectors) s USING (incident_id)
     LEFT JOIN parents p ON p.name = regexp_extract(w.asset_key, '[^/.]+$')
     LEFT JOIN (SELECT asset_key, count(*) AS n FROM recent GROUP BY 1) r USING (asset_key)
     LEFT JOIN tails t USING (run_id)
@@ -766,6 +768,7 @@ sql(
     "parents",
     "recent",
     "tails",
+    "vectors",
 )
 sql(
     "build_prompts",
