@@ -35,6 +35,9 @@ MANIFEST = "part int, path string, width int, n_docs long, n_null long, n_tokens
 # for the code points from 256 on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPELT = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+# Latin letters beyond ASCII as the vocabulary spells them, and what may stand at a word's end as one piece: no letters, digits or apostrophes.
+LATIN_SPELT = {c: "".join(SPELT.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x80, ord(LATIN) + 1)}
+MARKS = ".,;:!?#*$%&<>()[]{}=+/|~^@\"-_"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -74,16 +77,21 @@ class Encoder:
         return array("I", self._open().encode(text, add_special_tokens=False).ids).tobytes()
 
     def _cut(self, cut: str, space: str = " ") -> bytes:
-        """The ids of a cut behind a space, or at the start of a line. A Latin word is one piece, and so is the punctuation at its end."""
-        word = cut.rstrip(".,;:!?")
-        if not word.isalpha() or max(word) > LATIN:
+        """The ids of a cut behind a space, or at the start of a line. A Latin word is one piece, and so are the marks at its end."""
+        word = cut.rstrip(MARKS)
+        ascii_word = word.isascii()
+        if not word.isalpha() or (not ascii_word and max(word) > LATIN):
             return self._whole(space + cut)
-        spelt = space + word
-        spelt = spelt.replace(" ", SPELT[32]) if word.isascii() else spelt.encode().decode("latin-1").translate(SPELT)
-        found = array("I", [piece.id for piece in self.model.tokenize(spelt)]).tobytes()
+        # A word that was met without the marks is known.
+        found = self.known.get(word) if space and len(word) < len(cut) else None
+        if found is None:
+            spelt = word if ascii_word else word.translate(LATIN_SPELT)
+            found = array("I", [piece.id for piece in self.model.tokenize(SPELT[32] + spelt if space else spelt)]).tobytes()
         if len(word) < len(cut):
             end = cut[len(word) :]
             if end not in self.ends:
+                if len(self.ends) >= self.max_known // 4:
+                    return found + self._whole(end)
                 self.ends[end] = self._whole(end)
             found += self.ends[end]
         return found

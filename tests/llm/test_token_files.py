@@ -30,6 +30,15 @@ def test_encoder_equals_the_library(tokenizer, max_known):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(tokenizer, text), repr(text)
 
 
+def test_words_with_marks_equal_the_library(tokenizer):
+    rng = random.Random(6)
+    encoder = token_files.Encoder(tokenizer_file(), 500)
+    words = ["word", "Łódź", "naïve", "it's", "l'eau", "x", "É", "straße", "4.0", "Ünï", "end", "I'll", "ž"]
+    for _ in range(4_000):
+        text = " ".join(rng.choice(words) + "".join(rng.choice(token_files.MARKS + "'") for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))) for _ in range(rng.randint(1, 6)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(tokenizer, text), repr(text)
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     for doc_id, text in rows:
