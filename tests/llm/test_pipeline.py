@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import importlib
+import sys
 
 import pytest
 from brute import near_components, words
@@ -78,3 +79,10 @@ def test_entry_without_the_subpackage(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("mendwell.llm") else find(name, *a))
     assert "pipeline" not in contract.queries() and "trips_daily" in contract.queries()
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "mendwell.llm"])
+def test_entry_with_an_emptied_folder(monkeypatch, gone):
+    monkeypatch.setitem(sys.modules, gone, None)
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: object())
+    assert "pipeline" not in contract.queries() and "trips_daily" in contract.queries() and "op7_line_rules" not in contract.oracle_sql()
