@@ -20,6 +20,7 @@ from mendwell.session import build_session
 HEADLINE = [
     "trips_daily",
     "trips_weather",
+    "gold_incremental",
     "interim_trips_weather",
     "missing_partitions",
     "partition_profile",
@@ -29,18 +30,22 @@ HEADLINE = [
     "dq_unique_combo",
     "dq_relationships",
     "dq_summary",
+    "dq_from_footers",
     "fault_detection_matrix",
     "capture_incidents",
     "incident_state",
+    "incident_state_incremental",
     "classify_incidents",
     "lineage_neighbours",
     "recent_runs",
     "log_tail",
     "incident_index",
     "similar_incidents",
+    "similar_open_incidents",
     "build_prompts",
     "validate_responses",
     "decide_actions",
+    "reports",
     "coerce_quarantine",
     "metric_rate",
     "metric_increase_day",
