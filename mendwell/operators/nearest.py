@@ -1,26 +1,27 @@
 """Exact top-k by cosine for many queries: cells of vectors, searched only where the triangle inequality allows a hit.
 
-A cell holds the vectors nearest to one pivot, with the smallest and largest angle to it. The angle
-between a query and any vector of the cell is at least what the triangle inequality leaves of the query's
-own angle to the pivot, so a cell's best possible score is known without reading it. A query first
-scores its most promising cells; the k-th score found there rules out all cells that can't reach it.
+A cell holds vectors nearest to one pivot. Blocks of queries meet blocks of whole cells, so what a task holds is
+bounded and what is shuffled are vectors, not pairs. The angle between a query and any vector of a cell is at least what the
+triangle inequality leaves of the query's own angle to the cell's centre, so a cell's best possible score is known
+without its vectors. In each block a query first scores its most promising cells; the k-th score found there rules out the cells that
+can't reach it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendwell.session import broadcast_if_small
 from mendwell.sources.files import stored
 
 PLACES = 6
-# Rows of one side that a task holds at a time; also the most vectors of a cell's piece.
-BLOCK_ROWS = 4_000
+# Rows and numbers of one side that a task holds at a time, and the most vectors of a cell's piece.
+BLOCK_ROWS, BLOCK_NUMBERS, PIECE_ROWS = 40_000, 2_560_000, 4_000
+# Scores that are worked out at a time.
+SCORES = 4_000_000
 # Bounds are rounded up by this much: scores are rounded to six places.
 SLACK = 1e-6
 
@@ -38,6 +39,12 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
+def _slices(rows: int, width: int) -> list[slice]:
+    """Runs of rows with at most ``SCORES`` scores of that width."""
+    step = max(1, SCORES // max(1, width))
+    return [slice(k, k + step) for k in range(0, rows, step)]
+
+
 def _dealt(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
     """Rows with a block of their own, copied to every block of the other side."""
     mine = F.pmod(F.xxhash64(name), F.col(own)).cast("int").alias(own[0])
@@ -45,28 +52,26 @@ def _dealt(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
     return df.select("*", mine, met).drop(own, other)
 
 
-def _blocks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias(name))
+def _blocks(df: DataFrame, vector: str, name: str) -> DataFrame:
+    rows, numbers = F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum(F.size(vector)) / F.lit(BLOCK_NUMBERS)
+    return df.groupBy("asset").agg(F.ceil(F.greatest(rows, numbers)).cast("int").alias(name))
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, fn, schema: str) -> DataFrame:
-    """``fn`` of every block of ``left`` with every block of ``right`` of equal keys; hot keys have many blocks."""
-    sizes = broadcast_if_small(_blocks(left, keys, "l_blocks").join(_blocks(right, keys, "r_blocks"), keys))
-    a = _dealt(left.join(sizes, keys), "l_blocks", "r_blocks", left_id)
-    b = _dealt(right.join(sizes, keys), "r_blocks", "l_blocks", right_id)
-    at = [*keys, "l", "r"]
+def _meet(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vectors: tuple[str, str], fn, schema: str) -> DataFrame:
+    """``fn`` of every block of ``left`` with every block of ``right`` of one asset; hot assets have many blocks."""
+    sizes = broadcast_if_small(_blocks(left, vectors[0], "l_blocks").join(_blocks(right, vectors[1], "r_blocks"), "asset"))
+    a = _dealt(left.join(sizes, "asset"), "l_blocks", "r_blocks", left_id)
+    b = _dealt(right.join(sizes, "asset"), "r_blocks", "l_blocks", right_id)
+    at = ["asset", "l", "r"]
     return a.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(fn, schema)
 
 
-# --- cells -------------------------------------------------------------------------
-
+def _number() -> Column:
+    """A number for each row, fixed once the rows are written."""
+    return F.monotonically_increasing_id()
 
-@dataclass
-class Cells:
-    """``members`` (asset, cell, piece, first_id, ids, vector) and ``bounds`` (asset, cell, piece, pivot, near, far, n)."""
 
-    members: DataFrame
-    bounds: DataFrame
+# --- cells -------------------------------------------------------------------------
 
 
 def first_ids(index: DataFrame, keep: int) -> DataFrame:
@@ -76,33 +81,36 @@ def first_ids(index: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("asset", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first_id", F.element_at("ids", 1))
 
 
-def build_cells(index: DataFrame, keep: int) -> Cells:
-    """Cells around about the square root of an asset's vectors, which hashes choose as pivots.
+def build_cells(unique: DataFrame) -> DataFrame:
+    """``asset, cell, m, first_id, vector``: cells around about the square root of an asset's vectors, which hashes choose as pivots.
 
-    ``index`` has ``id, asset, vector``. A cell with more vectors than a block is split into pieces.
+    ``unique`` has ``asset, vector, first_id, m``, one row per asset and vector. A cell with more than ``PIECE_ROWS`` vectors is
+    split into several.
     """
-    unique = stored(first_ids(index, keep).withColumn("_hash", F.xxhash64("vector")), "index-vectors")
-    sizes = broadcast_if_small(unique.groupBy("asset").agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_first")))
+    hashed = unique.select("asset", "m", "first_id", "vector", F.xxhash64("vector").alias("_hash"))
+    sizes = broadcast_if_small(hashed.groupBy("asset").agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_first")))
     is_pivot = (F.col("_hash") == F.col("_first")) | (F.pmod("_hash", F.ceil(F.sqrt("_n"))) == 0)
-    pivots = unique.join(sizes, "asset").filter(is_pivot).select("asset", F.col("_hash").alias("cell"), F.col("vector").alias("pivot"))
+    pivots = hashed.join(sizes, "asset").filter(is_pivot).select("asset", F.col("_hash").alias("cell"), F.col("vector").alias("pivot"))
     pivots = stored(pivots.groupBy("asset", "cell").agg(F.first("pivot").alias("pivot")), "pivots")
 
     def nearest(rows: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or around.empty:
-            return pd.DataFrame(columns=["asset", "cell", "angle", "first_id", "ids", "vector"])
-        angles = _angles(unit(rows["vector"]), unit(around["pivot"]))
-        best = angles.argmin(axis=1)
-        cells = around["cell"].to_numpy()[best]
-        return rows.assign(cell=cells, angle=angles[np.arange(len(rows)), best])[["asset", "cell", "angle", "first_id", "ids", "vector"]]
-
-    near = _meet(unique.drop("_hash"), pivots, ["asset"], "first_id", "cell", nearest, "asset STRING, cell LONG, angle DOUBLE, first_id STRING, ids ARRAY<STRING>, vector ARRAY<FLOAT>")
+            return pd.DataFrame(columns=["asset", "cell", "angle", "m", "first_id", "vector"])
+        a, b = unit(rows["vector"]), unit(around["pivot"])
+        best, angles = np.empty(len(a), np.int64), np.empty(len(a))
+        for part in _slices(len(a), len(b)):
+            cosines = a[part] @ b.T
+            best[part] = cosines.argmax(axis=1)
+            angles[part] = np.arccos(np.clip(cosines.max(axis=1), -1.0, 1.0))
+        return rows.assign(cell=around["cell"].to_numpy()[best], angle=angles)[["asset", "cell", "angle", "m", "first_id", "vector"]]
+
+    near = _meet(hashed.drop("_hash"), pivots, "m", "cell", ("vector", "pivot"), nearest, "asset STRING, cell LONG, angle DOUBLE, m LONG, first_id STRING, vector ARRAY<FLOAT>")
     # A block of pivots gives its own nearest one; the nearest of all counts.
-    closest = Window.partitionBy("asset", "first_id").orderBy("angle", "cell")
-    placed = stored(near.withColumn("_n", F.row_number().over(closest)).filter("_n = 1").drop("_n"), "placed")
-    pieces = broadcast_if_small(_blocks(placed, ["asset", "cell"], "_pieces"))
-    members = stored(placed.join(pieces, ["asset", "cell"]).withColumn("piece", F.pmod(F.xxhash64("first_id"), F.col("_pieces")).cast("int")).drop("_pieces"), "cells")
-    told = members.groupBy("asset", "cell", "piece").agg(F.min("angle").alias("near"), F.max("angle").alias("far"), F.count(F.lit(1)).alias("n"))
-    return Cells(members.drop("angle"), stored(told.join(pivots, ["asset", "cell"]), "cell-bounds"))
+    closest = Window.partitionBy("m").orderBy("angle", "cell")
+    placed = stored(near.withColumn("_n", F.row_number().over(closest)).filter("_n = 1").drop("_n", "angle"), "placed")
+    pieces = broadcast_if_small(placed.groupBy("asset", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIECE_ROWS)).alias("_pieces")))
+    piece = F.pmod(F.xxhash64("m"), F.col("_pieces"))
+    return placed.join(pieces, ["asset", "cell"]).withColumn("cell", F.xxhash64("cell", piece)).drop("_pieces")
 
 
 def best_scores(queries: np.ndarray, pivots: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -122,69 +130,97 @@ def best_scores(queries: np.ndarray, pivots: np.ndarray, near: np.ndarray, far:
 
 # --- search ------------------------------------------------------------------------
 
-_PAIR = "asset STRING, cell LONG, piece INT, qid STRING, query ARRAY<FLOAT>"
-_HIT = "qid STRING, similar_id STRING, score DOUBLE, scored LONG"
-
 
-def _promising(keep: int, seeds: bool):
-    """Pairs of query and cell: the best cells that hold enough vectors, or all others that reach the query's floor."""
-
-    def choose(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        names = [f.split()[0] for f in _PAIR.split(", ")]
-        if queries.empty or cells.empty:
-            return pd.DataFrame(columns=names)
-        cells = cells.sort_values(["cell", "piece"], ignore_index=True)
-        bound = best_scores(unit(queries["query"]), unit(cells["pivot"]), cells["near"].to_numpy(), cells["far"].to_numpy())
-        order = np.argsort(-bound, axis=1, kind="stable")
-        before = np.cumsum(cells["n"].to_numpy()[order], axis=1) - cells["n"].to_numpy()[order]
+class Best:
+    """The ``keep`` best vectors of every query so far: rounded scores and rows of ``vectors``, equal scores by ``order``."""
+
+    def __init__(self, queries: np.ndarray, vectors: np.ndarray, order: np.ndarray, keep: int) -> None:
+        self.queries, self.vectors, self.order, self.keep = queries, vectors, order, keep
+        self.small = queries.astype(np.float32), vectors.astype(np.float32)
+        # What single precision may miss: each product and sum is off by at most 2^-24 of its size.
+        self.slack = SLACK + (queries.shape[1] + 4) * 6e-8
+        self.scores = np.full((len(queries), keep), -2.0)
+        self.rows = np.full((len(queries), keep), -1)
+        self.scored = np.zeros(len(queries), np.int64)
+
+    def meet(self, rows: np.ndarray, start: int, end: int) -> None:
+        """Score the queries ``rows`` with the vectors from ``start`` to ``end``."""
+        for part in _slices(len(rows), end - start):
+            mine = rows[part]
+            rough = self.small[0][mine] @ self.small[1][start:end].T
+            q, v = np.nonzero(rough >= (self.scores[mine, -1] - self.slack).astype(np.float32)[:, None])
+            self.scored[mine] += end - start
+            if len(q):
+                self._add(mine[q], v + start)
+
+    def _add(self, q: np.ndarray, v: np.ndarray) -> None:
+        exact = np.empty(len(q))
+        for part in _slices(len(q), 8 * self.queries.shape[1]):
+            exact[part] = np.einsum("ij,ij->i", self.queries[q[part]], self.vectors[v[part]])
+        exact = np.round(exact, PLACES) + 0.0
+        enough = exact >= self.scores[q, -1]
+        q, v, exact = q[enough], v[enough], exact[enough]
+        touched = np.unique(q)
+        q = np.concatenate([np.repeat(touched, self.keep), q])
+        v = np.concatenate([self.rows[touched].ravel(), v])
+        exact = np.concatenate([self.scores[touched].ravel(), exact])
+        by = np.lexsort((np.where(v < 0, 0, self.order[v]), -exact, q))
+        q, v, exact = q[by], v[by], exact[by]
+        # Each touched query has at least ``keep`` entries.
+        first = np.searchsorted(q, touched)[:, None] + np.arange(self.keep)
+        self.scores[touched], self.rows[touched] = exact[first], v[first]
+
+
+def _searcher(keep: int):
+    def search(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or members.empty:
+            return pd.DataFrame(columns=["q", "m", "score", "scored"])
+        members = members.sort_values(["cell", "m"], ignore_index=True)
+        queries, vectors = unit(asked["query"]), unit(members["vector"])
+        order = np.empty(len(members), np.int64)
+        order[np.argsort(members["first_id"].to_numpy(), kind="stable")] = np.arange(len(members))
+        starts = np.flatnonzero(np.r_[True, np.diff(members["cell"].to_numpy()) != 0])
+        ends = np.r_[starts[1:], len(members)]
+        # Any centre gives a bound; the mean direction lies close to all.
+        centres = unit(pd.Series(list(np.add.reduceat(vectors, starts, axis=0))))
+        angles = np.arccos(np.clip(np.einsum("ij,ij->i", vectors, np.repeat(centres, ends - starts, axis=0)), -1.0, 1.0))
+        near, far = np.minimum.reduceat(angles, starts), np.maximum.reduceat(angles, starts)
+        bound = np.empty((len(queries), len(starts)), np.float32)
         first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, order, before < keep, axis=1)
-        wanted = first if seeds else ~first & (bound + SLACK >= queries["floor"].to_numpy()[:, None])
-        q, c = np.nonzero(wanted)
-        chosen = cells[["asset", "cell", "piece"]].iloc[c].reset_index(drop=True)
-        return chosen.assign(qid=queries["qid"].to_numpy()[q], query=queries["query"].to_numpy()[q])[names]
-
-    return choose
-
-
-def _scorer(keep: int):
-    def score(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if not (pairs.empty or members.empty):
-            members = members.sort_values("first_id", ignore_index=True)
-            scores = np.round(unit(pairs["query"]) @ unit(members["vector"]).T, PLACES) + 0.0
-            for qid, row in zip(pairs["qid"], scores, strict=True):
-                best = np.argsort(-row, kind="stable")[:keep]
-                hits = sorted((-row[b], i) for b in best for i in members["ids"][b])[:keep]
-                found += [(qid, i, -s, len(row) if k == 0 else 0) for k, (s, i) in enumerate(hits)]
-        return pd.DataFrame(found, columns=["qid", "similar_id", "score", "scored"])
-
-    return score
-
-
-def search(queries: DataFrame, cells: Cells, keep: int) -> DataFrame:
-    """``qid, similar_id, score, scored`` of the ``keep`` best of each query, which has ``qid, asset, query``.
-
-    ``scored`` sums to the number of pairs of query and vector that were scored.
+        for part in _slices(len(queries), 4 * len(starts)):
+            bound[part] = best = best_scores(queries[part], centres, near, far)
+            by = np.argsort(-best, axis=1, kind="stable")
+            sizes = (ends - starts)[by]
+            np.put_along_axis(first[part], by, np.cumsum(sizes, axis=1) - sizes < keep, axis=1)
+        found = Best(queries, vectors, order, keep)
+        for c, (start, end) in enumerate(zip(starts, ends, strict=True)):
+            found.meet(np.flatnonzero(first[:, c]), start, end)
+        for c, (start, end) in enumerate(zip(starts, ends, strict=True)):
+            # Single precision may have rounded the bound down by 6e-8.
+            reached = bound[:, c] + (SLACK + 1e-7) >= found.scores[:, -1]
+            found.meet(np.flatnonzero(reached & ~first[:, c]), start, end)
+        q, place = np.nonzero(found.rows >= 0)
+        hit = found.rows[q, place]
+        scored = np.where(place == 0, found.scored[q], 0)
+        return pd.DataFrame({"q": asked["q"].to_numpy()[q], "m": members["m"].to_numpy()[hit], "score": found.scores[q, place], "scored": scored})
+
+    return search
+
+
+def search(queries: DataFrame, unique: DataFrame, keep: int) -> DataFrame:
+    """``q, similar_id, score, scored`` of the ``keep`` best of each query, which has ``q, asset, query``.
+
+    ``unique`` has ``asset, vector, first_id, ids, m``. ``scored`` is the number of vectors that were scored with the query.
     """
-    keys = ["asset", "cell", "piece"]
-
-    def hits(wanted: DataFrame, seeds: bool) -> DataFrame:
-        pairs = _meet(wanted, cells.bounds, ["asset"], "qid", "cell", _promising(keep, seeds), _PAIR)
-        pairs = stored(pairs, "query-cells")
-        return stored(_meet(pairs, cells.members, keys, "qid", "first_id", _scorer(keep), _HIT), "hits")
-
-    place = Window.partitionBy("qid").orderBy(F.desc("score"), "similar_id")
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("_n", F.row_number().over(place))
-
-    seeds = hits(queries, True)
-    floors = best(seeds).filter(F.col("_n") == keep).select("qid", F.col("score").alias("floor"))
-    rest = hits(queries.join(floors, "qid", "left").fillna(-2.0, ["floor"]), False)
-    both = seeds.unionByName(rest)
-    total = both.groupBy("qid").agg(F.sum("scored").alias("scored"))
-    return best(both.drop("scored")).filter(F.col("_n") <= keep).drop("_n").join(total, "qid")
+    members = stored(build_cells(unique), "cells")
+    hits = stored(_meet(queries, members, "q", "cell", ("query", "vector"), _searcher(keep), "q LONG, m LONG, score DOUBLE, scored LONG"), "hits")
+    # Vectors of equal scores stay until their ids are known.
+    score = Window.partitionBy("q").orderBy(F.desc("score"))
+    few = hits.select("q", "m", "score").withColumn("_n", F.rank().over(score)).filter(F.col("_n") <= keep).drop("_n")
+    named = few.join(unique.select("m", "ids"), "m").select("q", "score", F.explode("ids").alias("similar_id"))
+    place = Window.partitionBy("q").orderBy(F.desc("score"), "similar_id")
+    best = named.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= keep).drop("_n")
+    return best.join(hits.groupBy("q").agg(F.sum("scored").alias("scored")), "q")
 
 
 def nearest_by_cells(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool) -> DataFrame:
@@ -197,10 +233,11 @@ def nearest_by_cells(queries: DataFrame, index: DataFrame, k: int, exclude_self:
     queries, index = (d.filter(F.col("vector").isNotNull()).select("id", "asset", F.col("vector").cast("array<float>").alias("vector")) for d in (queries, index))
     keep = k + 1 if exclude_self else k
     asked = stored(queries, "queries")
-    once = stored(asked.groupBy("asset", "vector").agg(F.min("id").alias("qid")).withColumnRenamed("vector", "query"), "distinct-queries")
-    found = search(once, build_cells(index, keep), keep)
-    of_query = asked.join(broadcast_if_small(once).withColumnRenamed("query", "vector"), ["asset", "vector"]).select("qid", F.col("id").alias("incident_id"))
-    hits = of_query.join(found, "qid")
+    once = stored(asked.groupBy("asset", F.col("vector").alias("query")).agg(F.count(F.lit(1)).alias("_n")).select("asset", "query", _number().alias("q")), "distinct-queries")
+    unique = stored(first_ids(index, keep).withColumn("m", _number()), "index-vectors")
+    found = search(once, unique, keep)
+    of_query = asked.join(once.withColumnRenamed("query", "vector"), ["asset", "vector"]).select("q", F.col("id").alias("incident_id"))
+    hits = of_query.join(found, "q")
     if exclude_self:
         hits = hits.filter(F.col("incident_id") != F.col("similar_id"))
     place = Window.partitionBy("incident_id").orderBy(F.desc("score"), "similar_id")

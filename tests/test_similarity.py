@@ -139,3 +139,21 @@ def test_cells_with_a_hot_vector_zero_vectors_and_nulls(spark, monkeypatch):
     assert sorted(by_query["h000"])[0] == (1, "h001", 1.0)
     # The searches of 200 equal queries are one, and of 200 equal rows only the first ids are kept.
     assert len({r.scored for r in hits if r.incident_id.startswith("h")}) == 1 and max(r.scored for r in hits) <= 159
+
+
+def test_cells_write_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i:04d}", "hot", rng.normal(size=24).tolist()) for i in range(500)]
+    index = spark.createDataFrame(rows, SCHEMA)
+    sizes = {}
+
+    def counted(df, name, write=nearest.stored):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nearest, "stored", counted)
+    hits = nearest.nearest_by_cells(index, index, 5, True).collect()
+    assert {(r.incident_id, r.similar_id, r.score, r["rank"]) for r in hits} == brute(rows, rows, 5, True, True)
+    # Such vectors lie in no clusters: nearly every query meets every cell, of which there are over 20.
+    assert max(sizes.values()) <= 6 * len(rows)
