@@ -235,10 +235,11 @@ def _drifting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and fingerprint of every table, a file or a folder of files; a table whose files disagree has a row for each schema."""
     printed = drift.schema_fingerprint(footers.file_schemas(spark, sf_dir))
     return printed.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "n_columns", "schema_fingerprint"
-    )
+        F.regexp_extract("path", r"/([^/]+\.parquet)(/|$)", 1).alias("file_name"), "n_columns", "schema_fingerprint"
+    ).distinct()
 
 
 @query

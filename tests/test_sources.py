@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from mendwell.plans.catalog import QUERIES
 from mendwell.session import broadcast_if_small, work_dir
 from mendwell.sources import files, footers, landing, weather_json
 
@@ -153,3 +154,11 @@ def test_work_dir_uses_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert work_dir(spark, "x").startswith(base)
     assert work_dir(spark, "x") != work_dir(spark, "x")
+
+
+def test_fingerprint_of_tables_kept_as_folders(spark, tmp_path):
+    spark.range(20).repartition(4).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(5).selectExpr("id", "id AS more").coalesce(1).write.parquet(str(tmp_path / "mixed.parquet"))
+    spark.range(5).coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed.parquet"))
+    rows = QUERIES["schema_fingerprint"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_name, r.n_columns) for r in rows) == [("many.parquet", 1), ("mixed.parquet", 1), ("mixed.parquet", 2)]
