@@ -170,25 +170,28 @@ def suite_samples(df: DataFrame, checks: list[RowCheck], row_hash: Column | None
     """``check_name, target, failures, sample_rows``: row checks of one table with up to ``most`` of the rows that fail each.
 
     The sample is the failing row of the smallest hash in each residue class of ``most``, so it depends on the rows alone. The hashes
-    are aggregated in the same pass as the counts, and the few rows are fetched by them. ``row_hash`` is a
+    are aggregated in the same pass as the counts, and the few rows are fetched by them. Both passes filter first, by the conditions
+    and by the few hashes, so that Spark can leave other rows out before the joins that ``df`` is made of. ``row_hash`` is a
     long, by default a hash of all columns; rows are maps from column to text, equal ones once.
     """
     hashed = df.withColumn("_hash", F.xxhash64(*df.columns) if row_hash is None else row_hash)
     place = F.pmod("_hash", F.lit(most))
-    aggs = []
+    aggs, failing = [], F.lit(False)
     for i, c in enumerate(checks):
         bad = F.coalesce(c.violation, F.lit(False))
+        failing = failing | bad
         aggs.append(F.count_if(bad).alias(f"f{i}"))
         aggs += [F.min(F.when(bad & (place == j), F.col("_hash"))).alias(f"h{i}_{j}") for j in range(most)]
     rows = [
         F.struct(F.lit(c.name).alias("check_name"), F.lit(c.target).alias("target"), F.col(f"f{i}").cast("bigint").alias("failures"), F.array_compact(F.array(*[f"h{i}_{j}" for j in range(most)])).alias("_hashes"))
         for i, c in enumerate(checks)
     ]
-    counted = stored(hashed.agg(*aggs).select(F.inline(F.array(*rows))), "suite-counts")
-    # A few hashes for each check.
+    counted = stored(hashed.filter(failing).agg(*aggs).select(F.inline(F.array(*rows))), "suite-counts")
     wanted = counted.select("check_name", "target", F.explode("_hashes").alias("_hash"))
+    # At most ``most`` numbers for each check.
+    few = [r["_hash"] for r in wanted.select("_hash").distinct().collect()]
     row = F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("string") for c in df.columns]))
-    fetched = hashed.select("_hash", row.alias("_row")).join(F.broadcast(wanted), "_hash")
+    fetched = hashed.filter(F.col("_hash").isin(few)).select("_hash", row.alias("_row")).join(F.broadcast(wanted), "_hash")
     lists = fetched.groupBy("check_name", "target", "_hash").agg(F.first("_row").alias("_row")).groupBy("check_name", "target").agg(F.sort_array(F.collect_list(F.struct("_hash", F.map_entries("_row").alias("_row")))).alias("_rows"))
     sample = F.transform("_rows", lambda r: F.map_from_entries(r["_row"]))
     none = F.array().cast("array<map<string,string>>")

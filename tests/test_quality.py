@@ -132,3 +132,16 @@ def test_faults_are_lazy_and_detected(spark, tmp_path):
     assert [r.missing_column for r in drift.missing_columns(files, ["VendorID"]).collect()] == ["VendorID"]
     assert quality.row_count_outside(faults.volume_drop(good, F.col("ordinal")), 100).count() == 1
     assert quality.row_count_outside(good, 100).count() == 0
+
+
+def test_sample_passes_filter_below_joins(spark, plan, monkeypatch):
+    left = spark.range(100).selectExpr("id", "id % 10 AS v")
+    joined = left.join(spark.range(100).hint("merge"), "id")
+    plans = []
+    monkeypatch.setattr(quality, "stored", lambda df, name, write=quality.stored: plans.append(plan(df)) or write(df, name))
+    found = quality.suite_samples(joined, [quality.RowCheck("low", "t", F.col("v") > 8)])
+    row = found.first()
+    assert row.failures == 10 and {r["v"] for r in row.sample_rows} == {"9"}
+    for text, condition in ((plans[0], "> 8"), (plan(found), "xxhash64(")):
+        assert text.rindex(condition) > text.index("SortMergeJoin")
+    assert quality.suite_samples(joined, [quality.RowCheck("none", "t", F.col("v") > 10)]).first().sample_rows == []
