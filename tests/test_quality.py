@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendwell.operators import drift, faults, quality
+from mendwell.plans import catalog
 
 NOW = datetime(2024, 1, 10)
 
@@ -145,3 +146,9 @@ def test_sample_passes_filter_below_joins(spark, plan, monkeypatch):
     for text, condition in ((plans[0], "> 8"), (plan(found), "xxhash64(")):
         assert text.rindex(condition) > text.index("SortMergeJoin")
     assert quality.suite_samples(joined, [quality.RowCheck("none", "t", F.col("v") > 10)]).first().sample_rows == []
+
+
+def test_suite_joins_trips_with_their_months_once(spark, sf_dir, monkeypatch):
+    calls = []
+    monkeypatch.setattr(catalog.tables, "bronze_trips", lambda *a, make=catalog.tables.bronze_trips: calls.append(1) or make(*a))
+    assert catalog.QUERIES["dq_summary"](spark, sf_dir).count() == 20 and len(calls) == 1
