@@ -114,10 +114,11 @@ def full_records(captured: DataFrame, lineage: DataFrame, tags: DataFrame, sampl
     ``target, sample_rows`` of failed checks; a target is the bare name of an asset. Lists are empty where nothing is known; a tag doesn't replace
     what the capture says itself.
     """
-    per_target = samples.groupBy("target").agg(F.flatten(F.collect_list("sample_rows")).alias("sample_rows"))
-    named = captured.withColumn("_name", bare_name(F.col("asset_key")))
-    joined = named.join(lineage.select("asset_key", F.col("upstream").alias("upstream_lineage")), "asset_key", "left")
-    joined = joined.join(tags.select("run_id", "tags"), "run_id", "left").join(broadcast_if_small(per_target), F.col("_name") == F.col("target"), "left")
+    per_target = stored(samples.groupBy("target").agg(F.flatten(F.collect_list("sample_rows")).alias("sample_rows")), "target-samples")
+    per_asset = stored(lineage.select("asset_key", F.col("upstream").alias("upstream_lineage")), "asset-lineage")
+    # Lists that many incidents share are attached last, so that no shuffle repeats them.
+    named = captured.withColumn("_name", bare_name(F.col("asset_key"))).join(tags.select("run_id", "tags"), "run_id", "left")
+    joined = named.join(broadcast_if_small(per_asset), "asset_key", "left").join(broadcast_if_small(per_target), F.col("_name") == F.col("target"), "left")
     own = F.col("recent_metadata")
     extra = F.map_filter(F.coalesce("tags", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(own), k))
     return joined.select(

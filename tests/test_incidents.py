@@ -184,3 +184,20 @@ def test_context_without_any_source(spark):
     df = spark.createDataFrame([("i", "a", "r")], "incident_id STRING, asset_key STRING, run_id STRING")
     row = context.context_bundle(df).first()
     assert (row.upstream, row.downstream, row.recent_runs, row.log_lines, row.similar_incidents) == ([], [], [], [], [])
+
+
+def test_records_shuffle_no_shared_lists(spark, plan):
+    captured = spark.createDataFrame([("i1", "a/x", "r1", {"run_id": "r1"}), ("i2", "a/x", "r2", {"run_id": "r2"})], "incident_id STRING, asset_key STRING, run_id STRING, recent_metadata MAP<STRING,STRING>")
+    lineage = spark.createDataFrame([("a/x", ["u1", "u2"])], "asset_key STRING, upstream ARRAY<STRING>")
+    tags = spark.createDataFrame([("r1", {"user": "7"})], "run_id STRING, tags MAP<STRING,STRING>")
+    samples = spark.createDataFrame([("x", [{"k": "v"}])], "target STRING, sample_rows ARRAY<MAP<STRING,STRING>>")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        records = incidents.full_records(captured, lineage, tags, samples)
+        # Only the tags of the runs meet the incidents by a shuffle.
+        assert plan(records).count("SortMergeJoin") == 1
+        found = {r.incident_id: (r.upstream_lineage, r.recent_metadata, r.sample_rows) for r in records.collect()}
+    finally:
+        spark.conf.unset(threshold)
+    assert found["i1"] == (["u1", "u2"], {"run_id": "r1", "user": "7"}, [{"k": "v"}]) and found["i2"][1] == {"run_id": "r2"}
