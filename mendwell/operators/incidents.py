@@ -166,6 +166,19 @@ def incident_state(opened: DataFrame, changes: DataFrame) -> DataFrame:
     return with_status(opened.join(latest, "incident_id", "left"))
 
 
+def state_after(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """The state once ``changes`` are added to the log, all numbered above those that ``state`` holds.
+
+    Only the new changes are folded.
+    """
+    moved = ["resolved_at", "proposed_fix"]
+    later = fold_changes(changes).withColumnsRenamed({c: f"_{c}" for c in moved})
+    joined = state.join(later, "incident_id", "left")
+    values = [F.when(F.col(seq).isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for seq, c in zip(("resolved_seq", "fix_seq"), moved, strict=True)]
+    kept = [c for c in state.columns if c not in (*moved, "status")]
+    return with_status(joined.select(*kept, *values)).select(*state.columns)
+
+
 def open_incidents(state: DataFrame, limit: int = 50) -> DataFrame:
     """The newest open incidents; ids break ties."""
     newest = [F.col("created_at").desc(), F.col("incident_id")]

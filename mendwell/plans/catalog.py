@@ -722,13 +722,15 @@ def similar_open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir, state, incidents.undiagnosed(state), True, max_broadcast=0).withColumn("rank", long("rank"))
 
 
-def _context(spark: SparkSession, sf_dir: str, queue: DataFrame, similar: DataFrame | None = None) -> DataFrame:
-    """Incidents of ``queue``, classified, with every context source."""
+def _context(
+    spark: SparkSession, sf_dir: str, queue: DataFrame, similar: DataFrame | None = None, events: DataFrame | None = None, runs: DataFrame | None = None
+) -> DataFrame:
+    """Incidents of ``queue``, classified, with every context source; ``events`` and ``runs`` are stored ones, if there are any."""
     queue = incidents.classify(queue)
-    nodes, edges = tables.incident_lineage(spark, sf_dir)
+    nodes, edges = tables.incident_lineage(spark, sf_dir, events)
     neighbours = context.neighbour_lists(context.lineage_neighbours(queue, nodes, edges))
-    runs = context.run_lists(context.recent_runs(queue, stored(tables.runs(spark, sf_dir), "runs")))
-    log = tables.run_log(spark, sf_dir).withColumn("line", F.concat_ws(" ", "error_type", "error_message"))
+    runs = context.run_lists(context.recent_runs(queue, stored(tables.runs(spark, sf_dir, events), "runs") if runs is None else runs))
+    log = tables.run_log(spark, sf_dir, events).withColumn("line", F.concat_ws(" ", "error_type", "error_message"))
     logs = context.log_tail(log, "run_id", "seq", "line", wanted=queue)
     return context.context_bundle(queue, neighbours, runs, logs, similar)
 
@@ -802,11 +804,11 @@ def decide_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _full_context(spark: SparkSession, sf_dir: str, state: DataFrame, decided: DataFrame) -> DataFrame:
+def _full_context(spark: SparkSession, sf_dir: str, state: DataFrame, decided: DataFrame, events: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Decided incidents with every context source, similar incidents too."""
     decided = stored(decided, "decided")
     similar = context.similar_lists(_similar(spark, sf_dir, state, decided, True))
-    return _context(spark, sf_dir, decided, similar)
+    return _context(spark, sf_dir, decided, similar, events, runs)
 
 
 def _reports(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
@@ -870,16 +872,18 @@ def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def second_tick_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is still undiagnosed once the reports of one tick have stamped their fixes on the incident log."""
-    opened = _captured(spark, sf_dir)
-    log = tables.changes(spark, sf_dir, opened)
+    events = stored(tables.events(spark, sf_dir), "events")
+    runs = stored(tables.runs(spark, sf_dir, events), "runs")
+    opened = stored(tables.captured(spark, sf_dir, events, runs).drop("recent_metadata"), "captured")
+    log = stored(tables.changes(spark, sf_dir, opened, events), "changes")
     state = stored(incidents.incident_state(opened, log), "state")
     queue = stored(incidents.classify(incidents.diagnosis_queue(state, 10)), "queue")
     diagnosed = diagnosis.diagnose(queue, tables.responses(queue), remediation.ALLOWLIST)
-    decided = remediation.decide_actions(stored(diagnosed, "diagnosed"), tables.flags(spark, sf_dir), _manifest(spark, sf_dir))
-    written = diagnosis.build_reports(_full_context(spark, sf_dir, state, stored(decided, "decided")), NOW)
+    decided = remediation.decide_actions(stored(diagnosed, "diagnosed"), tables.flags(spark, sf_dir, events), _manifest(spark, sf_dir))
+    written = diagnosis.build_reports(_full_context(spark, sf_dir, state, decided, events, runs), NOW)
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).scalar()
     fixes = diagnosis.proposed_fixes(written, last + 1, F.lit(NOW).cast("timestamp_ntz"))
-    after = incidents.incident_state(opened, log.unionByName(fixes.select(*log.columns)))
+    after = incidents.state_after(state, stored(fixes.select(*log.columns), "fixes"))
     return incidents.undiagnosed(after).select("incident_id", "created_at")
 
 

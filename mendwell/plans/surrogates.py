@@ -173,10 +173,23 @@ def _error(part: int, k: Column) -> Column:
     return F.when(F.col("event_type") == "error", F.element_at(choices, (k % len(ERRORS)) + 1))
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number in their JSON as ``k``.
+
+    Stored, the JSON is read once. Otherwise every reader parses it, those that filter by asset several times for each row,
+    since Spark puts the filter's expression below the column that it uses.
+    """
+    return table(spark, sf_dir, "events").withColumn("k", _k()).drop("props", "value")
+
+
+def _events(spark: SparkSession, sf_dir: str, stored_events: DataFrame | None) -> DataFrame:
+    return events(spark, sf_dir) if stored_events is None else stored_events
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """Events as log lines: a run is one user's day."""
     k = F.col("k")
-    return events.withColumn("k", _k()).select(
+    return (events if "k" in events.columns else events.withColumn("k", _k())).select(
         run_id().alias("run_id"),
         F.col("event_id").alias("seq"),
         _asset(k).alias("asset_key"),
@@ -187,11 +200,11 @@ def log_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines(table(spark, sf_dir, "events"))
+def run_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return log_lines(_events(spark, sf_dir, events))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """One row per run with its status, partition and the assets it selected."""
     k, user = F.col("k"), F.col("user_id")
     key = (
@@ -201,8 +214,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     named = [F.when(F.bool_or(F.col("asset") == a), a) for a in ASSETS]
     grouped = (
-        table(spark, sf_dir, "events")
-        .withColumn("k", _k())
+        _events(spark, sf_dir, events)
         .withColumn("asset", _asset(k))
         .groupBy("user_id", F.to_date("ts").alias("day"))
         .agg(
@@ -225,23 +237,25 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.capture_incidents(runs(spark, sf_dir), run_log(spark, sf_dir))
+def captured(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, of_runs: DataFrame | None = None) -> DataFrame:
+    """Incidents of all runs. The log is read several times, so its events are stored unless they are given."""
+    read = stored(_events(spark, sf_dir, None), "events") if events is None else events
+    return incidents.capture_incidents(runs(spark, sf_dir, read) if of_runs is None else of_runs, run_log(spark, sf_dir, read))
 
 
-def changes(spark: SparkSession, sf_dir: str, opened: DataFrame) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str, opened: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Purchases resolve the run's incident, signups stamp a fix on it."""
     fixes = F.array(*[F.lit(f) for f in ("", remediation.RETRY, "rerun-dbt", remediation.COERCE)])
     kind = F.when(F.col("event_type") == "purchase", "resolve").otherwise("fix")
     events = (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir, events)
         .filter(F.col("event_type").isin("purchase", "signup"))
         .select(
             run_id().alias("run_id"),
             F.col("event_id").alias("seq"),
             kind.alias("kind"),
             F.col("ts").alias("changed_at"),
-            F.element_at(fixes, (_k() % 4) + 1).alias("proposed_fix"),
+            F.element_at(fixes, (F.col("k") % 4) + 1).alias("proposed_fix"),
         )
     )
     return events.join(opened.select("run_id", "incident_id"), "run_id").drop("run_id")
@@ -297,11 +311,11 @@ def approvals(spark: SparkSession, sf_dir: str, opened: DataFrame) -> DataFrame:
     )
 
 
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flags(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Flags that the log shows as raised; the rate limit one counts as cleared."""
-    error = _k() % len(ERRORS)
+    error = F.col("k") % len(ERRORS)
     raised = F.when(error == 0, "tlc_5xx").when(error == 2, "late_partition")
-    errors = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    errors = _events(spark, sf_dir, events).filter(F.col("event_type") == "error")
     return errors.select(raised.alias("flag")).dropna().distinct()
 
 
@@ -343,10 +357,13 @@ def lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return assets, nodes, above.unionByName(below)
 
 
-def incident_lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def incident_lineage(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges around the assets of the incidents, one per name and event type."""
-    names = table(spark, sf_dir, "events").withColumn("k", _k()).select(_asset(F.col("k")).alias("a"), "event_type")
-    names = names.dropna().select(F.element_at(F.split("a", "/"), -1).alias("name"), "event_type").distinct()
+    # Only views name no asset; said by their type, the filter needs no JSON.
+    named = _events(spark, sf_dir, events).filter(F.col("event_type") != "view")
+    names = named.select(_asset(F.col("k")).alias("a"), "event_type")
+    # A few rows, read from the log once: else every use would scan it, and the lowest node of a name would sort it.
+    names = stored(names.select(F.element_at(F.split("a", "/"), -1).alias("name"), "event_type").distinct(), "lineage-names")
     nodes = names.select(F.concat(F.lit("model.mart."), "name").alias("node_id"), "name").distinct()
     edges = names.select(
         F.concat(F.lit("model.mart."), "name").alias("child"), F.concat(F.lit("source.raw."), "event_type").alias("parent")

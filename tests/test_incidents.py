@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendwell.operators import context, incidents
+from mendwell.plans import surrogates as tables
 
 LOG = "run_id STRING, seq BIGINT, asset_key STRING, is_failure BOOLEAN, error_type STRING, error_message STRING, stack_trace STRING"
 RUNS = "run_id STRING, job_name STRING, status STRING, partition_key STRING, ended_at TIMESTAMP_NTZ"
@@ -90,6 +91,25 @@ def test_state_takes_the_last_change_per_column(state):
     assert rows == {"a": ("resolved", "y"), "b": ("open", "z"), "c": ("open", ""), "d": ("open", None)}
 
 
+def test_state_after_later_changes(spark):
+    """Folding only later changes into a state gives the state of the whole log."""
+    opened = spark.createDataFrame([(i, T) for i in "abcde"], "incident_id STRING, created_at TIMESTAMP_NTZ")
+    schema = "incident_id STRING, seq BIGINT, kind STRING, changed_at TIMESTAMP_NTZ, proposed_fix STRING"
+    log = spark.createDataFrame([("a", 1, "fix", T, "x"), ("b", 2, "resolve", T, None), ("c", 3, "fix", T, "y"), ("d", 4, "resolve", T, None)], schema)
+    later = spark.createDataFrame([("a", 5, "fix", T, "new"), ("b", 5, "fix", T, ""), ("c", 6, "resolve", T, None), ("d", 7, "resolve", None, None), ("gone", 8, "fix", T, "z")], schema)
+    before = incidents.incident_state(opened, log)
+    after, whole = incidents.state_after(before, later), incidents.incident_state(opened, log.unionByName(later))
+    assert after.columns == before.columns
+    assert sorted(after.collect(), key=str) == sorted(whole.select(*after.columns).collect(), key=str)
+
+
+def test_lineage_and_incidents_parse_the_log_once(spark, sf_dir, plan):
+    """The names that lineage is made of are few and stored, and no reader of the events repeats their JSON."""
+    for df in tables.incident_lineage(spark, sf_dir):
+        assert not any("events.parquet" in f for f in df.inputFiles()) and "SortAggregate" not in plan(df)
+    assert "get_json_object" not in plan(tables.captured(spark, sf_dir))
+
+
 def test_queues(state):
     assert [r.incident_id for r in incidents.open_incidents(state, 2).collect()] == ["d", "c"]
     assert sorted(r.incident_id for r in incidents.undiagnosed(state).collect()) == ["c", "d"]
