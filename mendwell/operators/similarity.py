@@ -6,6 +6,7 @@ result does not depend on how the rows were partitioned.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from mendwell.operators.nearest import PLACES, nearest_by_cells, unit
 
 # Query vectors sent to every task: at 384 doubles each about 6 MB.
 BROADCAST_QUERIES = 2_000
+# Words of which a task keeps the dimension.
+KEPT_WORDS = 200_000
 
 _HITS = "incident_id STRING, similar_id STRING, score DOUBLE"
 
@@ -127,31 +130,48 @@ def with_payload(hits: DataFrame, state: DataFrame) -> DataFrame:
     return hits.join(payload, "similar_id", "left").select("incident_id", "similar_id", "score", "rank", *blank)
 
 
+class _Places(dict):
+    """Dimensions of words, by their md5. A bounded number is kept; words are few and repeat."""
+
+    def __init__(self, dims: int) -> None:
+        self.dims = dims
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = place = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big") % self.dims
+        return place
+
+
+def _counted(text: bytes | None, places: _Places) -> np.ndarray | None:
+    """The unit vector of a text's words; none without words. Bytes split at the white space of ASCII alone."""
+    words = (text or b"").split()
+    if not words:
+        return None
+    counts = np.bincount(list(map(places.__getitem__, words)), minlength=places.dims)
+    return (counts / np.sqrt(counts @ counts)).astype(np.float32)
+
+
 def build_index(texts: DataFrame, id_column: str, text_column: str, dims: int = 384) -> DataFrame:
     """Unit vectors of hashed word counts; texts without words are skipped, one row per id.
 
-    A word's dimension comes from its md5, so that other systems give the same vectors. Words are counted
-    before they are shuffled. Of several texts of one id the one with the smallest hash counts; other columns keep
-    the values of one of its rows.
+    A word's dimension comes from its md5, so that other systems give the same vectors. A text is counted
+    where it is read: only vectors are shuffled. Of several texts of one id the one with the smallest hash counts; other
+    columns keep the values of one of its rows.
     """
     others = [c for c in texts.columns if c not in (id_column, text_column)]
-    words = F.filter(F.split(F.lower(text_column), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    spoken = texts.select(F.col(id_column), F.xxhash64(text_column).alias("_hash"), F.explode(words).alias("_word"))
-    place = F.conv(F.substring(F.md5("_word"), 1, 8), 16, 10).cast("bigint") % dims
-    counted = spoken.groupBy(id_column, "_hash", place.cast("int").alias("_dim")).agg(F.count(F.lit(1)).alias("_n"))
-    entries = counted.groupBy(id_column, "_hash").agg(
-        F.sort_array(F.collect_list(F.struct("_dim", "_n"))).alias("_e"), F.sqrt(F.sum((F.col("_n") * F.col("_n")).cast("double"))).alias("_norm")
-    )
-    zero = F.lit(0.0).cast("float")
-    # Each entry with the zeros up to the next one.
-    parts = F.transform(
-        "_e",
-        lambda e, k: F.concat(
-            F.array((e["_n"] / F.col("_norm")).cast("float")), F.array_repeat(zero, F.coalesce(F.get("_e", k + 1)["_dim"], F.lit(dims)) - e["_dim"] - 1)
-        ),
-    )
-    vector = F.concat(F.array_repeat(zero, F.col("_e")[0]["_dim"]), F.flatten(parts))
-    vectors = entries.select(id_column, "_hash", vector.alias("vector")).groupBy(id_column).agg(F.min_by("vector", "_hash").alias("vector"))
+
+    @F.pandas_udf("array<float>")
+    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = _Places(dims)
+        for batch in batches:
+            yield pd.Series([_counted(text, places) for text in batch], dtype=object)
+
+    spoken = F.lower(text_column).cast("binary")
+    each = texts.select(id_column, F.xxhash64(text_column).alias("_hash"), vectors_of(spoken).alias("_vector"))
+    # Filtered after the grouping: a filter before it would be put below the projection and count every text again.
+    counts = F.when(F.col("_vector").isNotNull(), F.col("_hash"))
+    vectors = each.groupBy(id_column).agg(F.min_by("_vector", counts).alias("vector")).filter(F.col("vector").isNotNull())
     if not others:
         return vectors
     payload = texts.drop(text_column).dropDuplicates([id_column])

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +90,30 @@ def test_index_of_texts(spark):
     assert rows["a"] @ rows["d"] == pytest.approx(0)
 
 
+def test_index_counts_texts_where_they_are_read(spark, plan):
+    """Words and their counts aren't shuffled; only white space of ASCII parts words."""
+    lines = ["a\tb\x0bc\x0cd\re\nA  b", "a\u00a0b \u2003 \x1c x\x85y", "\u0130 \u03a3\u03a3 \u00c9t\u00e9", "\U0001f600 \U0001f600", None, "\x0b\x0c"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id LONG, text STRING")
+    index = similarity.build_index(texts, "id", "text", 16)
+    shown = plan(index)
+    assert "Generate" not in shown and shown.count("ArrowEvalPython") == 1 and shown.count("Exchange") == 1
+    rows = {r.id: np.array(r.vector) for r in index.collect()}
+    assert set(rows) == {0, 1, 2, 3} and all(np.linalg.norm(v) == pytest.approx(1) for v in rows.values())
+    for k, v in rows.items():
+        low = texts.filter(F.col("id") == k).select(F.lower("text")).first()[0]
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", low) if w]
+        counts = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in words], minlength=16)
+        assert v == pytest.approx(counts / np.linalg.norm(counts))
+
+
+def test_places_are_the_same_beyond_the_words_that_are_kept(monkeypatch):
+    monkeypatch.setattr(similarity, "KEPT_WORDS", 2)
+    places = similarity._Places(64)
+    text = b"a b c d a b c d a"
+    assert similarity._counted(text, places) == pytest.approx(similarity._counted(text, similarity._Places(64)))
+    assert len(places) <= 2 and similarity._counted(None, places) is None and similarity._counted(b" \x0b", places) is None
+
+
 def test_upsert_replaces_by_id(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "id STRING, v INT")
     new = spark.createDataFrame([("b", 2), ("c", 2)], "id STRING, v INT")
