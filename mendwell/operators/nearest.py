@@ -71,14 +71,24 @@ def _number() -> Column:
     return F.monotonically_increasing_id()
 
 
+def _by_hash(df: DataFrame, vector: str) -> DataFrame:
+    """``df`` with a hash of asset and vector.
+
+    As the first of several keys it decides nearly every comparison of a sort, which else goes through assets and vectors number by number.
+    """
+    return df.withColumn("_h", F.xxhash64("asset", vector))
+
+
 # --- cells -------------------------------------------------------------------------
 
 
 def first_ids(index: DataFrame, keep: int) -> DataFrame:
     """``asset, vector, first_id, ids``: of rows with one vector only the first ``keep`` ids can be hits."""
-    same = Window.partitionBy("asset", "vector").orderBy("id")
-    few = index.select("asset", "vector", "id").distinct().withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= keep)
-    return few.groupBy("asset", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first_id", F.element_at("ids", 1))
+    same = Window.partitionBy("_h", "asset", "vector").orderBy("id")
+    each = _by_hash(index.select("asset", "vector", "id").distinct(), "vector")
+    few = each.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= keep)
+    lists = few.groupBy("_h", "asset", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return lists.drop("_h").withColumn("first_id", F.element_at("ids", 1))
 
 
 def build_cells(unique: DataFrame) -> DataFrame:
@@ -148,7 +158,9 @@ class Best:
         for part in _slices(len(rows), end - start):
             mine = rows[part]
             rough = self.small[0][mine] @ self.small[1][start:end].T
-            q, v = np.nonzero(rough >= (self.scores[mine, -1] - self.slack).astype(np.float32)[:, None])
+            near = rough >= (self.scores[mine, -1] - self.slack).astype(np.float32)[:, None]
+            # Few are near; numpy finds them much faster in a flat array.
+            q, v = np.divmod(np.flatnonzero(near), end - start)
             self.scored[mine] += end - start
             if len(q):
                 self._add(mine[q], v + start)
@@ -236,7 +248,8 @@ def nearest_by_cells(queries: DataFrame, index: DataFrame, k: int, exclude_self:
     once = stored(asked.groupBy("asset", F.col("vector").alias("query")).agg(F.count(F.lit(1)).alias("_n")).select("asset", "query", _number().alias("q")), "distinct-queries")
     unique = stored(first_ids(index, keep).withColumn("m", _number()), "index-vectors")
     found = search(once, unique, keep)
-    of_query = asked.join(once.withColumnRenamed("query", "vector"), ["asset", "vector"]).select("q", F.col("id").alias("incident_id"))
+    numbered = _by_hash(once.withColumnRenamed("query", "vector"), "vector")
+    of_query = _by_hash(asked, "vector").join(numbered, ["_h", "asset", "vector"]).select("q", F.col("id").alias("incident_id"))
     hits = of_query.join(found, "q")
     if exclude_self:
         hits = hits.filter(F.col("incident_id") != F.col("similar_id"))

@@ -509,6 +509,14 @@ def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(tables.captured(spark, sf_dir).drop("recent_metadata"), "captured")
 
 
+def _recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events, runs, captured incidents and their changes, each computed once."""
+    events = stored(tables.events(spark, sf_dir), "events")
+    runs = stored(tables.runs(spark, sf_dir, events), "runs")
+    opened = stored(tables.captured(spark, sf_dir, events, runs).drop("recent_metadata"), "captured")
+    return events, runs, opened, stored(tables.changes(spark, sf_dir, opened, events), "changes")
+
+
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = _captured(spark, sf_dir)
     return stored(incidents.incident_state(opened, tables.changes(spark, sf_dir, opened)), "state")
@@ -768,8 +776,9 @@ def tick_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- diagnosis and remediation ----------------------------------------------------------
 
 
-def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = incidents.classify(_captured(spark, sf_dir))
+def _diagnosed(spark: SparkSession, sf_dir: str, opened: DataFrame | None = None) -> DataFrame:
+    """All incidents with their diagnosis; ``opened`` are stored ones, if there are any."""
+    opened = incidents.classify(_captured(spark, sf_dir) if opened is None else opened)
     return diagnosis.diagnose(opened, tables.responses(opened), remediation.ALLOWLIST)
 
 
@@ -791,9 +800,9 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(tables.bronze_manifest(spark, sf_dir), "manifest")
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diagnosed = stored(_diagnosed(spark, sf_dir), "diagnosed")
-    return remediation.decide_actions(diagnosed, tables.flags(spark, sf_dir), _manifest(spark, sf_dir))
+def _decided(spark: SparkSession, sf_dir: str, opened: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    diagnosed = stored(_diagnosed(spark, sf_dir, opened), "diagnosed")
+    return remediation.decide_actions(diagnosed, tables.flags(spark, sf_dir, events), _manifest(spark, sf_dir))
 
 
 @query
@@ -811,15 +820,19 @@ def _full_context(spark: SparkSession, sf_dir: str, state: DataFrame, decided: D
     return _context(spark, sf_dir, decided, similar, events, runs)
 
 
-def _reports(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:
-    return diagnosis.build_reports(_full_context(spark, sf_dir, _state(spark, sf_dir), decided), NOW)
+def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The state, and reports of all incidents. Both are made from one capture; events are parsed and runs grouped once."""
+    events, runs, opened, log = _recorded(spark, sf_dir)
+    state = stored(incidents.incident_state(opened, log), "state")
+    decided = _decided(spark, sf_dir, opened, events)
+    return state, diagnosis.build_reports(_full_context(spark, sf_dir, state, decided, events, runs), NOW)
 
 
 @query
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all incidents with their context, written by date and read back, looked up per incident."""
     root = work_dir(spark, "reports")
-    files.write_reports(_reports(spark, sf_dir, _decided(spark, sf_dir)), root)
+    files.write_reports(_reports(spark, sf_dir)[1], root)
     back = files.read_reports(spark, root)
     path = lambda p: F.get_json_object("report", f"$.{p}")
     return back.select(
@@ -838,14 +851,15 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT = T.StructType([T.StructField(c, T.StringType()) for c in ("incident_id", "generated_at", "report")])
 
 
-def _report_store(spark: SparkSession, sf_dir: str) -> keyed_store.KeyedStore:
-    """All reports, written three times: as they are, again, and as of a day before."""
+def _report_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, keyed_store.KeyedStore]:
+    """The state, and all reports, written three times: as they are, again, and as of a day before."""
     store = keyed_store.KeyedStore(spark, work_dir(spark, "report-store"), REPORT, "incident_id", ("generated_at", "report"))
     at = F.get_json_object("report", "$.generated_at")
-    built = stored(_reports(spark, sf_dir, _decided(spark, sf_dir)).select("incident_id", at.alias("generated_at"), "report"), "built")
+    state, written = _reports(spark, sf_dir)
+    built = stored(written.select("incident_id", at.alias("generated_at"), "report"), "built")
     for rows in (built, built, built.withColumns({"generated_at": F.lit("1970-01-01"), "report": F.lit("{}")})):
         store.upsert(rows)
-    return store
+    return state, store
 
 
 def _report_fields() -> list[Column]:
@@ -856,14 +870,13 @@ def _report_fields() -> list[Column]:
 @query
 def report_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports kept by incident: written again they stay one each, and an older one replaces none."""
-    return _report_store(spark, sf_dir).read().select(*_report_fields())
+    return _report_store(spark, sf_dir)[1].read().select(*_report_fields())
 
 
 @query
 def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state and the report of one incident, the one with the largest id, read from its bucket."""
-    store = _report_store(spark, sf_dir)
-    state = _state(spark, sf_dir)
+    state, store = _report_store(spark, sf_dir)
     wanted = state.agg(F.max("incident_id")).first()[0] or ""
     one = incidents.incident_by_id(state, wanted).select("incident_id", "status", "asset_key")
     return one.join(store.lookup(wanted).select(*_report_fields()), "incident_id")
@@ -872,10 +885,7 @@ def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def second_tick_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is still undiagnosed once the reports of one tick have stamped their fixes on the incident log."""
-    events = stored(tables.events(spark, sf_dir), "events")
-    runs = stored(tables.runs(spark, sf_dir, events), "runs")
-    opened = stored(tables.captured(spark, sf_dir, events, runs).drop("recent_metadata"), "captured")
-    log = stored(tables.changes(spark, sf_dir, opened, events), "changes")
+    events, runs, opened, log = _recorded(spark, sf_dir)
     state = stored(incidents.incident_state(opened, log), "state")
     queue = stored(incidents.classify(incidents.diagnosis_queue(state, 10)), "queue")
     diagnosed = diagnosis.diagnose(queue, tables.responses(queue), remediation.ALLOWLIST)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendwell.operators import incidents, metrics, quality, similarity
+from mendwell.plans import catalog
 from mendwell.sources.keyed_store import KeyedStore
 
 REPORTS = "incident_id STRING, at STRING, report STRING"
@@ -108,3 +109,18 @@ def test_index_of_repeated_ids_and_payload(spark):
     rows = {r.id: r for r in similarity.build_index(texts, "id", "text", 16).collect()}
     assert set(rows) == {"a", "d"} and rows["d"].n == 4 and len(rows["a"].vector) == 16
     assert sorted(v for v in rows["a"].vector if v) == pytest.approx([5**-0.5, 2 * 5**-0.5])
+
+
+def test_reports_are_built_from_one_capture(spark, sf_dir, monkeypatch):
+    """State, decisions and context share the parsed events, the runs and the captured incidents."""
+    calls = []
+
+    def counted(name, fn):
+        monkeypatch.setattr(catalog.tables, name, lambda *a, **k: (calls.append(name), fn(*a, **k))[1])
+
+    for name in ("events", "runs", "captured", "changes"):
+        counted(name, getattr(catalog.tables, name))
+    monkeypatch.setattr(catalog, "_similar", lambda *a, **k: spark.createDataFrame([], "incident_id STRING, similar_id STRING, score DOUBLE, rank INT, asset_key STRING, error_type STRING, prior_fix STRING"))
+    state, written = catalog._reports(spark, sf_dir)
+    assert sorted(calls) == ["captured", "changes", "events", "runs"]
+    assert state.count() == written.select("incident_id").distinct().count() > 0

@@ -184,3 +184,18 @@ def test_cells_write_no_pairs(spark, monkeypatch):
     assert {(r.incident_id, r.similar_id, r.score, r["rank"]) for r in hits} == brute(rows, rows, 5, True, True)
     # Such vectors lie in no clusters: nearly every query meets every cell, of which there are over 20.
     assert max(sizes.values()) <= 6 * len(rows)
+
+
+def test_equal_vectors_are_grouped_by_hash_first(spark, plan, monkeypatch):
+    """Sorts compare hashes, not vectors; vectors that share a hash stay apart, and zeros of both signs are one."""
+    rows = [("a", "x", [1.0, 0.0]), ("b", "x", [1.0, -0.0]), ("b", "x", [1.0, 0.0]), ("c", "y", [1.0, 0.0]), ("d", "x", [0.0, 1.0]), ("e", "x", [1.0, 0.0])]
+    index = spark.createDataFrame(rows, SCHEMA)
+    sorts = [line for line in plan(nearest.first_ids(index, 2)).splitlines() if "Sort [" in line and "vector" in line]
+    assert sorts and all(re.search(r"Sort \[_h#", line) for line in sorts)
+    expected = {("x", (1.0, 0.0)): ["a", "b"], ("x", (0.0, 1.0)): ["d"], ("y", (1.0, 0.0)): ["c"]}
+    found = lambda: {(r.asset, tuple(abs(x) for x in r.vector)): r.ids for r in nearest.first_ids(index, 2).collect()}
+    hits = lambda: sorted(tuple(r) for r in nearest.nearest_by_cells(index.dropDuplicates(["id"]), index, 2, True).drop("scored").collect())
+    assert found() == expected
+    apart = hits()
+    monkeypatch.setattr(nearest, "_by_hash", lambda df, vector: df.withColumn("_h", F.lit(1)))
+    assert found() == expected and hits() == apart
