@@ -20,8 +20,8 @@ from mendwell.sources.files import stored
 PLACES = 6
 # Rows and numbers of one side that a task holds at a time, and the most vectors of a cell's piece.
 BLOCK_ROWS, BLOCK_NUMBERS, PIECE_ROWS = 40_000, 2_560_000, 4_000
-# Scores that are worked out at a time.
-SCORES = 4_000_000
+# Scores that are worked out at a time, and those of them that a core's cache can hold.
+SCORES, TILE = 4_000_000, 250_000
 # Bounds are rounded up by this much: scores are rounded to six places.
 SLACK = 1e-6
 
@@ -39,9 +39,9 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
-def _slices(rows: int, width: int) -> list[slice]:
-    """Runs of rows with at most ``SCORES`` scores of that width."""
-    step = max(1, SCORES // max(1, width))
+def _slices(rows: int, width: int, scores: int = SCORES) -> list[slice]:
+    """Runs of rows with at most ``scores`` scores of that width."""
+    step = max(1, scores // max(1, width))
     return [slice(k, k + step) for k in range(0, rows, step)]
 
 
@@ -149,21 +149,41 @@ class Best:
         self.small = queries.astype(np.float32), vectors.astype(np.float32)
         # What single precision may miss: each product and sum is off by at most 2^-24 of its size.
         self.slack = SLACK + (queries.shape[1] + 4) * 6e-8
+        # Components that aren't finite leave scores undefined, which are never near.
+        self.undefined = not (np.isfinite(queries).all() and np.isfinite(vectors).all())
         self.scores = np.full((len(queries), keep), -2.0)
         self.rows = np.full((len(queries), keep), -1)
         self.scored = np.zeros(len(queries), np.int64)
 
     def meet(self, rows: np.ndarray, start: int, end: int) -> None:
         """Score the queries ``rows`` with the vectors from ``start`` to ``end``."""
-        for part in _slices(len(rows), end - start):
+        width, waiting, held = end - start, [], 0
+        others = self.small[1][start:end].T
+        for part in _slices(len(rows), width, TILE):
             mine = rows[part]
-            rough = self.small[0][mine] @ self.small[1][start:end].T
-            near = rough >= (self.scores[mine, -1] - self.slack).astype(np.float32)[:, None]
-            # Few are near; numpy finds them much faster in a flat array.
-            q, v = np.divmod(np.flatnonzero(near), end - start)
-            self.scored[mine] += end - start
-            if len(q):
-                self._add(mine[q], v + start)
+            rough = self.small[0][mine] @ others
+            least = (self.scores[mine, -1] - self.slack).astype(np.float32)
+            if self.undefined:
+                rough[np.isnan(rough)] = -np.inf
+            # Few queries have any that is near; their largest scores tell which.
+            some = np.flatnonzero(rough.max(axis=1) >= least)
+            if not len(some):
+                continue
+            mine, rough = mine[some], rough[some]
+            near = rough >= least[some, None]
+            if width > self.keep and np.count_nonzero(near) > 4 * self.keep * len(mine):
+                # Nothing that lies further below the best ones here than single precision may miss on both sides.
+                best = np.partition(rough, width - self.keep, axis=1)[:, width - self.keep]
+                near &= rough >= (best - 2 * self.slack).astype(np.float32)[:, None]
+            q, v = np.divmod(np.flatnonzero(near), width)
+            waiting.append((mine[q], v + start))
+            held += len(q)
+            if held > SCORES // 8:
+                self._add(*map(np.concatenate, zip(*waiting, strict=True)))
+                waiting, held = [], 0
+        self.scored[rows] += width
+        if held:
+            self._add(*map(np.concatenate, zip(*waiting, strict=True)))
 
     def _add(self, q: np.ndarray, v: np.ndarray) -> None:
         exact = np.empty(len(q))

@@ -199,3 +199,31 @@ def test_equal_vectors_are_grouped_by_hash_first(spark, plan, monkeypatch):
     apart = hits()
     monkeypatch.setattr(nearest, "_by_hash", lambda df, vector: df.withColumn("_h", F.lit(1)))
     assert found() == expected and hits() == apart
+
+
+def test_few_of_a_cells_vectors_are_scored_exactly(monkeypatch):
+    """Ties, opposite vectors, and components that aren't finite; of a cell only what can be among the best is scored in double precision."""
+    monkeypatch.setattr(nearest, "TILE", 2_000)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(600, 12))
+    vectors[:40] = vectors[0]
+    vectors[300:330] = -vectors[0]
+    vectors[550] = np.nan
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    queries = np.r_[vectors[::3], -vectors[:1], np.full((1, 12), np.nan)]
+    order, pairs = rng.permutation(600), []
+
+    def counted(self, q, v, add=nearest.Best._add):
+        pairs.append(len(q))
+        add(self, q, v)
+
+    monkeypatch.setattr(nearest.Best, "_add", counted)
+    found = nearest.Best(queries, vectors, order, 5)
+    for start in range(0, 600, 200):
+        found.meet(np.arange(len(queries)), start, start + 200)
+    scores = np.round(queries @ vectors.T, 6) + 0.0
+    for k, row in enumerate(scores):
+        keep = np.flatnonzero(~np.isnan(row))
+        best = keep[np.lexsort((order[keep], -row[keep]))][:5]
+        assert found.rows[k].tolist() == (best.tolist() if len(best) else [-1] * 5)
+    assert (found.scored == 600).all() and sum(pairs) < 0.1 * scores.size
